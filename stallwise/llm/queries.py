@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import curve_packing, media, mixing, quality
+from stallwise.llm import curve_packing, jaccard_tree, media, mixing, quality
 from stallwise.session import table
 
 
@@ -29,6 +29,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
 
 
+def op9_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = F.array_contains("failed_rules", "too_few_words") | F.array_contains("failed_rules", "repeated_windows")
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op7_curve_packing": op7_curve_packing,
     "op8_media_columns": op8_media_columns,
+    "op9_jaccard_tree": op9_jaccard_tree,
     "op10_quality_rules": op10_quality_rules,
 }
 
