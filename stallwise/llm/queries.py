@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import curve_packing, jaccard_tree, media, mixing, quality
+from stallwise.llm import curve_packing, jaccard_tree, media, mixing, quality, toxicity
+from stallwise.llm.common import id_fold
 from stallwise.session import table
 
 
@@ -16,6 +17,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "uses")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
     "op7_curve_packing": op7_curve_packing,
     "op8_media_columns": op8_media_columns,
     "op9_jaccard_tree": op9_jaccard_tree,
