@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import curve_packing, jaccard_tree, media, mixing, quality, toxicity
+from stallwise.llm import curve_packing, jaccard_tree, media, mixing, pii, quality, toxicity
 from stallwise.llm.common import id_fold
 from stallwise.session import table
 
@@ -24,6 +24,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    digest = F.sha2(pii.joined(F.col("base_spans")), 256)
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_weak_pii": op4_weak_pii,
     "op7_curve_packing": op7_curve_packing,
     "op8_media_columns": op8_media_columns,
     "op9_jaccard_tree": op9_jaccard_tree,
