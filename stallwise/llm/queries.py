@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import curve_packing, jaccard_tree, media, mixing, pii, quality, toxicity
+from stallwise.llm import brown, curve_packing, jaccard_tree, media, mixing, pii, quality, toxicity
 from stallwise.llm.common import id_fold
 from stallwise.session import table
 
@@ -32,6 +32,12 @@ def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 5)
+    model, counts = brown.fit(docs, fold != 1)
+    return brown.score(docs, model, counts).select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_weak_pii": op4_weak_pii,
+    "op6_brown_lm": op6_brown_lm,
     "op7_curve_packing": op7_curve_packing,
     "op8_media_columns": op8_media_columns,
     "op9_jaccard_tree": op9_jaccard_tree,
