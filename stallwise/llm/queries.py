@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import brown, curve_packing, jaccard_tree, media, mixing, pii, quality, toxicity
+from stallwise.llm import brown, curve_packing, jaccard_tree, licenses, media, mixing, pii, quality, toxicity, warc
 from stallwise.llm.common import id_fold
 from stallwise.session import table
 
@@ -17,6 +17,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "uses")
 
 
+def op2_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_licence_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 4)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
@@ -32,6 +37,39 @@ def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+#: Time from a page's capture to its revisit in op5, in units of half a page_id.
+REVISIT_LAG = 2001
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Every page as a full response, and as a later revisit that claims it has not changed since."""
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    full = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 2).alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.col("page_id").cast("string")).alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 2 + REVISIT_LAG).alias("ts"), F.lit(304).alias("status"),
+        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), F.lit("later"), F.lit("server"), F.lit("x")).alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
+    )
+    return full.unionByName(revisit)
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    return found.select(
+        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"),
+        "canonical_url",
+        (F.col("base_id") / 2).cast("long").alias("base_page_id"),
+        "outcome",
+        F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";").alias("headers"),
+        F.length("payload").cast("long").alias("payload_chars"),
+        F.md5("payload").alias("payload_md5"),
+    )
+
+
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 5)
     model, counts = brown.fit(docs, fold != 1)
@@ -63,8 +101,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_licence_rules": op2_licence_rules,
     "op3_toxicity": op3_toxicity,
     "op4_weak_pii": op4_weak_pii,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_brown_lm": op6_brown_lm,
     "op7_curve_packing": op7_curve_packing,
     "op8_media_columns": op8_media_columns,
