@@ -168,7 +168,7 @@ def _payload_image(text: str | None) -> tuple[int, bytes]:
     return len(data), form(samples)
 
 
-def _chunks(batch: pa.RecordBatch, column: str, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` holds about ``most`` bytes, so that long texts stay bounded."""
     start = held = 0
     for i, value in enumerate(batch.column(column)):

@@ -26,6 +26,7 @@ from stallwise.session import checkpoint
 
 #: Rows of a hash bucket, on average, that a prefix sum sorts in one task.
 BUCKET_ROWS = 20_000
+SEED = 17
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[int], total: int, most: int) -> list[Fraction]:
@@ -122,10 +123,11 @@ def route(capacities: Sequence[int], members: Sequence[Sequence[int]], quotas: S
 
 def _documents(docs: DataFrame, sources: Column, size: Column, seed: int) -> DataFrame:
     """Compact rows: pattern (sorted distinct members, null among them), size and seeded order."""
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_t"))
-    return docs.withColumn("_t", F.xxhash64("text")).select(
-        "doc_id", size.alias("size"), sources.alias("pattern"), order.alias("_order")
-    )
+    return docs.select("doc_id", size.alias("size"), sources.alias("pattern"), _row_order(seed).alias("_order"))
+
+
+def _row_order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
 def _pattern_key(pattern: Column) -> Column:
@@ -133,14 +135,30 @@ def _pattern_key(pattern: Column) -> Column:
     return F.xxhash64(F.transform(pattern, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("null"))))
 
 
-def mix_to_weights(
+def mix_to_weights(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """A row for each row of ``docs``: see ``_mix``, whose row key it leaves out."""
+    return _mix(docs, *args, **kwargs).drop("_order")
+
+
+def mixed_documents(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_to_weights`` uses it.
+
+    Rows that are equal in doc_id and text are one document here, repeated by the sum of their uses.
+    """
+    seed = kwargs.get("seed", SEED)
+    uses = _mix(docs, *args, **kwargs).groupBy("_order").agg(F.sum("uses").alias("_uses")).where("_uses > 0")
+    keyed = docs.withColumn("_order", _row_order(seed)).dropDuplicates(["_order"])
+    return keyed.join(uses, "_order").withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select(*docs.columns)
+
+
+def _mix(
     docs: DataFrame,
     sources: Column | None = None,
     size: Column | None = None,
     weights: Sequence[int] = (1, 2, 3),
     budget: float = 1.0,
     repeats: int = 3,
-    seed: int = 17,
+    seed: int = SEED,
     max_patterns: int = 200_000,
 ) -> DataFrame:
     """How often the mix uses each document, so that sources come near their target sizes.
@@ -222,4 +240,5 @@ def mix_to_weights(
         "uses",
         "pattern_taken",
         "routes",
+        "_order",
     )

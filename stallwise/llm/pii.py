@@ -253,8 +253,8 @@ def classify(model: Model, x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
 
 
-def find_pii(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``spans``: arrays of (kind, begin, end) in code points, end exclusive.
+def find_pii(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9, base: str = "base_spans", spans: str = "spans") -> DataFrame:
+    """``docs`` with columns ``base`` and ``spans``: arrays of (kind, begin, end) in code points, end exclusive.
 
     Both are sorted by kind as in ``KINDS`` and then by begin; ``spans`` has the base ones and the candidates
     whose probability reaches ``threshold``. A null or empty text has none; repeated rows get equal spans.
@@ -265,7 +265,7 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text", threshold: float
     keyed = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(rank(x).alias("r"), x["begin"].alias("begin"), x["end"].alias("end"), x["kind"].alias("kind"))))
     sure = F.filter("_more", lambda x: classify(model, x) >= threshold)
     found = with_spans(docs, text)
-    found = found.withColumn("base_spans", slim(F.col("_base"))).withColumn("spans", slim(keyed(F.concat("_base", sure))))
+    found = found.withColumn(base, slim(F.col("_base"))).withColumn(spans, slim(keyed(F.concat("_base", sure))))
     return found.drop("_base", "_more")
 
 

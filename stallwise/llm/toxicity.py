@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_ro
         sample.unpersist()
 
 
-def _score(model: Model, whole_rows: bool):
+def _score(model: Model, whole_rows: bool, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros(SLOTS, bool)
         kept[model.slots] = True
@@ -159,19 +159,20 @@ def _score(model: Model, whole_rows: bool):
                     z = model.bias + table[np.unique(h[kept[h]])].sum()
                     scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
                 kept_names = batch.schema.names if whole_rows else batch.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept_names), pa.array(scores, pa.float64())], [*kept_names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept_names), pa.array(scores, pa.float64())], [*kept_names, column])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every row (None: all) and ``score``, the probability that its whole text is toxic.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = ("doc_id",), column: str = "score") -> DataFrame:
+    """Columns ``keep`` of every row (None: all) and ``column``, the probability that its whole text is toxic.
 
-    A null or empty text scores as one without features. Repeated rows get equal scores. A column of ``docs`` called
-    ``score`` is replaced.
+    A null or empty text scores as one without features. Repeated rows get equal scores. A column of ``docs`` of
+    the name ``column`` is replaced.
     """
     ship_package(docs.sparkSession)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", column)]
     picked = docs.select(*names, "text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: None if keep is None else -1]]
-    return picked.mapInArrow(_score(model, keep is None), ", ".join([*fields, "score double"]))
+    scored = picked.mapInArrow(_score(model, keep is None, column), ", ".join([*fields, f"`{column}` double"]))
+    return scored if keep is not None else scored.select(*[c for c in docs.columns if c != column], column)
