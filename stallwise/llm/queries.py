@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import brown, curve_packing, jaccard_tree, licenses, media, mixing, pii, quality, toxicity, warc
+from stallwise.llm import brown, curve_packing, jaccard_tree, licenses, media, mixing, oracles, pii, quality, toxicity, warc
 from stallwise.llm.common import id_fold
 from stallwise.session import table
 
@@ -112,4 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licence_rules": oracles.licence_sql(),
+    "op5_warc_revisits": oracles.revisit_sql(REVISIT_LAG),
+    "op9_jaccard_tree": oracles.JACCARD_SQL,
+    "op10_quality_rules": oracles.quality_sql(),
+}
