@@ -294,9 +294,9 @@ d as (select *, case when coalesce(ca <> cb, false) then 'distinct' when same_ph
   when same_phone and diff > 0.20 then 'borderline' when cos >= 0.82 and not conflict then 'borderline' else 'distinct' end as decision from j)"""
 
 
-@query("v07_decisions", _PAIRS + " select decision, count(*) as n from d group by decision")
+@query("v07_decisions", _PAIRS + " select decision, case when same_phone and diff <= 0.20 then 0.98 when ha = hb and cos >= 0.85 and not conflict then 0.92 else 0.90 end::double as confidence, count(*) as n from d where decision = 'auto_merge' group by 1, 2")
 def _(m):
-    return dedup.judged_pairs(_items(m)).groupBy("decision").agg(F.count("*").alias("n"))
+    return dedup.judged_pairs(_items(m)).where("decision = 'auto_merge'").groupBy("decision", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("j16_similar_pairs", _PAIRS + " select a_id, b_id from d where decision = 'auto_merge'")
@@ -396,7 +396,7 @@ _SENTENCES = ["ring under 20000", "widget less than 3000 birr", "bolt ከ10000 
 
 @query(
     "n02_sentences",
-    """select * from (values (0, 'household', null, null, null, 20000, 'ring'), (1, 'machinery', null, null, null, 3000, 'widget'), (2, 'building', null, null, null, 10000, 'bolt'), (3, 'automobile', null, null, 2000, 8000, 'gear'),
+    """select i, category, cast(area as varchar) as area, condition, min_price::bigint as min_price, max_price::bigint as max_price, q from (values (0, 'household', null, null, null, 20000, 'ring'), (1, 'machinery', null, null, null, 3000, 'widget'), (2, 'building', null, null, null, 10000, 'bolt'), (3, 'automobile', null, null, 2000, 8000, 'gear'),
   (4, 'furniture', null, 'brand_new', null, null, 'plate'), (5, 'furniture', null, null, null, 20000, 'plate'), (6, 'furniture', null, null, null, null, 'plate')) t(i, category, area, condition, min_price, max_price, q)""",
 )
 def _(m):
