@@ -22,7 +22,7 @@ LENGTHS = (4, 5, 6)
 TABLE_BITS = 18
 SLOTS = len(LENGTHS) << TABLE_BITS
 #: Most labelled rows and features that a fit uses.
-MAX_ROWS, MAX_FEATURES = 20_000, 16_384
+MAX_ROWS, MAX_FEATURES = 12_000, 6_144
 
 _BLANK = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 
@@ -88,9 +88,9 @@ def _active(slots: np.ndarray):
 def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression over the present features, each worth its ratio; accelerated descent."""
     n, m = len(rows), len(ratios)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    index = np.concatenate(rows) if n else np.empty(0, np.int64)
-    value = ratios[index]
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    index = np.concatenate(rows) if n else np.empty(0, np.int32)
+    value = ratios.astype(np.float32)[index]
     forward = lambda w, b: np.bincount(owner, value * w[index], n) + b
     probe = np.ones(m)
     top = 1.0
@@ -138,8 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_ro
         f0, f1 = np.array([r[1] for r in best], float), np.array([r[2] for r in best], float)
         ratios = np.log((f1 + 1) / (n1 + 2)) - np.log((f0 + 1) / (n0 + 2))
         found = sample.mapInArrow(_active(slots), "label int, features array<int>").toArrow()
-        rows = [np.asarray(x.values, np.int64) if x.values is not None else np.empty(0, np.int64) for x in found.column("features")]
-        w, bias = _logistic(rows, np.asarray(found.column("label"), float), ratios)
+        rows = [np.asarray(x.values, np.int32) for x in found.column("features")]
+        labels_ = np.asarray(found.column("label"), float)
+        del found
+        w, bias = _logistic(rows, labels_, ratios)
         return Model(slots, w * ratios, bias)
     finally:
         sample.unpersist()
