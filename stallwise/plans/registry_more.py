@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from stallwise.functions import similarity, text
 from stallwise.operators import browse, counters, dedup, holds, messaging, moderation, nlparse, price, search
 from stallwise.plans.registry import _LADDER, _TERM, _stats, _termed, query
+from stallwise.sources import files
 from stallwise.streaming import sessions
 
 L = F.lit
@@ -643,3 +644,51 @@ def _(m):
 def _(m):
     some = browse.ListingQuery(category="a", area="b", conditions=("fair",), min_price=0, max_price=10)
     return m.spark.createDataFrame([(browse.active_filters(some),), (browse.active_filters(browse.ListingQuery(max_price=150_000)),)], "n long")
+
+
+# -- sources and the rest ---------------------------------------------------------------------------------
+
+
+@query("sc05_query_parameters", "select 'household' as category, 100::bigint as min_price, 'newest' as sort")
+def _(m):
+    q = browse.parse_query({"category": "household", "minPrice": "100", "maxPrice": "x", "sort": "nope"})
+    return m.spark.createDataFrame([(q.category, q.min_price, q.sort)], "category string, min_price long, sort string")
+
+
+@query("sc06_corpus", "select 400::bigint as posts, 400::bigint as found")
+def _(m):
+    posts = files.corpus(m.spark, 400)
+    return posts.agg(F.count("*").alias("posts"), counters.count_if(text.price(F.col("text"))["etb"] == F.col("price_etb")).alias("found"))
+
+
+@query("sc07_resume", "select r.id, r.channel_id from raw_messages r join channels c on c.id = r.channel_id where r.message_id > coalesce(c.last_message_id, 0)")
+def _(m):
+    marks = m.channels.select(F.col("id").alias("channel_id"), F.coalesce("last_message_id", L(0)).alias("mark"))
+    return m.raw_messages.join(F.broadcast(marks), "channel_id").where("message_id > mark").select("id", "channel_id")
+
+
+@query("sc08_allowlist", "select id, channel_id from raw_messages where channel_id in (select id from channels where active)")
+def _(m):
+    return m.raw_messages.join(F.broadcast(m.channels.where("active").select(F.col("id").alias("channel_id"))), "channel_id", "left_semi").select("id", "channel_id")
+
+
+@query("x15_strip_contact_lines")
+def _(m):
+    return m.raw_messages.select("id", text.strip_contact_lines(F.col("raw_text")).alias("t"))
+
+
+@query("v05_embed", "select id, 64::bigint as dims from listings where title_en is not null")
+def _(m):
+    return m.listings.select("id", F.size(similarity.hashed_embedding(F.col("title_en"))).cast("long").alias("dims"))
+
+
+@query("s08_explain")
+def _(m):
+    plan = search.plan_text(search.ranked(search.keyword_hits(m.listings, "bolt", ["bolt"])))
+    return m.spark.createDataFrame([(line,) for line in plan.split("\n") if line.strip()], "line string")
+
+
+@query("n08_fill_gaps", "select 'phones' as category, 5000::bigint as max_price, 0.85::double as confidence")
+def _(m):
+    out = nlparse.fill_gaps({"category": ("phones", 0.9)}, {"category": ("books", 0.99), "max_price": (5000, 0.99)})
+    return m.spark.createDataFrame([(out["category"][0], out["max_price"][0], out["max_price"][1])], "category string, max_price long, confidence double")
