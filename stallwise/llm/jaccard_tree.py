@@ -2,19 +2,18 @@
 
 A document is its set of hashed word shingles. Documents with equal sets are one *class*. A pair of classes
 with Jaccard similarity t or more must share one of its first ``n - ceil(t n) + 1`` shingles in any common
-order, so blocks are keyed by those prefix shingles:
+order, so blocks are keyed by those prefix shingles.
 
-* Round one orders shingles by hash. A shingle in more than ``HOT`` prefixes is *hot*, a passage that
-  many documents share, say. Its block is not searched.
-* Round two gives each class with hot prefix shingles as many further ones, in the same order, as it takes
-  to have a full prefix of others. With up to ``SPARE`` hot shingles in both prefixes, a pair must share one
-  that is not hot. Classes with more (they mostly consist of hot shingles) stay in the hot blocks.
+The order puts shingles that many documents share last. Which these are is read from a sketch of fixed size, in which every
+shingle of every document counts at its hash's bucket; an order by such a sketch is as exact as any. A passage that
+a third of all documents share is then no key at all, unless a document consists of little else.
 
-Within blocks, first every member is compared with the block's hub, which joins most copies in a pass that is
-linear in the block. Blocks that still hold several components are searched by signature trees: leaves are
-members, inner nodes hold the OR of their members' token bitmaps, size ranges and least bit counts, and a dual
-traversal drops node pairs whose largest possible overlap is too small. Large blocks are dealt out as pairs
-of bounded chunks. Every candidate is checked against whole shingle sets; nothing is capped or sampled.
+Blocks of equal members count once. First every member is compared with its block's hub, the member that has most
+in common with others, which joins most copies in a pass that is linear in the block. The families of hubs that
+still hold several components are searched by signature trees: leaves are members, inner nodes hold the OR of their members' token
+bitmaps, size ranges and least bit counts, and a dual traversal drops node pairs whose largest possible overlap
+is too small. A bitmap has as many bits as its set has members or up to twice as many, so it stays selective, and
+folds in half to meet a smaller one. Large blocks are dealt out as pairs of bounded chunks. Every candidate is checked against whole shingle sets; nothing is capped or sampled.
 
 Shingles and sets are compared by 64-bit hashes.
 """
@@ -32,8 +31,9 @@ from pyspark.sql import functions as F
 
 from stallwise.session import checkpoint, ship_package
 
+#: Documents beyond a bucket's usual count that make its shingles common ones, and buckets.
 HOT = 256
-SPARE = 24
+BUCKETS, PART = 1 << 18, 1 << 12
 BITS = 512
 CHUNK = 256
 #: Rows below which a table of class ids is broadcast; above it is joined by a shuffle.
@@ -79,9 +79,10 @@ def shingle_set(text: str | None, size: int = 4) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """``BITS`` bits, as int64 words, with a bit set for each shingle's low bits."""
-    flags = np.zeros(BITS, np.uint8)
-    flags[shingles & (BITS - 1)] = 1
+    """A bit for each shingle's low bits, as int64 words; ``BITS`` bits or the next power of two of the set's size."""
+    m = max(BITS, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else BITS
+    flags = np.zeros(m, np.uint8)
+    flags[shingles & (m - 1)] = 1
     return np.packbits(flags).view(np.int64)
 
 
@@ -101,22 +102,71 @@ def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _sketch(size: int, percent: int):
+def _class_id(shingles: np.ndarray) -> int | None:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
+
+
+def _describe(size: int):
+    """A row for each document, and at a partition's end the parts of its bucket counts."""
+    names = ["doc_id", "tid", "cid", "n", "bits", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
         for whole in batches:
             for batch in _slices(whole):
                 sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("tid"),
-                        pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([s[: prefix_length(len(s), percent) + SPARE] if len(s) else s for s in sets], pa.list_(pa.int64())),
-                        pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "tid", "cid", "n", "window", "bits"],
-                )
+                seen += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
+                none = [None] * len(sets)
+                columns = [batch.column("doc_id"), batch.column("tid"), [_class_id(s) for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], none, none]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        parts = [p for p in range(BUCKETS // PART) if seen[p * PART : (p + 1) * PART].any()]
+        if parts:
+            none = [None] * len(parts)
+            columns = [none, none, none, none, none, parts, [seen[p * PART : (p + 1) * PART].tobytes() for p in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the counts of each part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
+
+
+def common_buckets(parts: DataFrame) -> np.ndarray:
+    """Which buckets count far more than the mean: eight standard deviations of a Poisson count, and ``HOT``.
+
+    Sums in two steps, and gets one array of fixed size to the driver.
+    """
+    schema = "part int, counts binary"
+    some = parts.withColumn("_salt", F.spark_partition_id() % 64).repartition("part", "_salt").select("part", "counts").mapInArrow(_add, schema)
+    counts = np.zeros(BUCKETS, np.int64)
+    for row in some.repartition("part").mapInArrow(_add, schema).collect():
+        counts[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["counts"], np.int64)
+    return counts > counts.mean() + 8 * np.sqrt(counts.mean()) + HOT
+
+
+def _windows(size: int, percent: int, common: np.ndarray):
+    """Class and prefix of each document with shingles: in hash order, common ones last."""
+    packed = np.packbits(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.unpackbits(packed)[:BUCKETS].astype(bool)
+        for whole in batches:
+            for batch in _slices(whole):
+                sets = [s for s in (shingle_set(t, size) for t in batch.column("text").to_pylist()) if len(s)]
+                prefixes = []
+                for s in sets:
+                    p, last = prefix_length(len(s), percent), late[s & (BUCKETS - 1)]
+                    first = s[~last][:p]
+                    prefixes.append(first if len(first) == p else np.concatenate([first, s[last][: p - len(first)]]))
+                yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["cid", "prefix"])
 
     return run
 
@@ -128,34 +178,51 @@ def _count(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words.view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, side: np.ndarray, percent: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, bits: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of members of different groups that may reach ``percent``, by dual tree traversal.
 
     ``side`` is 0 or 1 for members of two chunks that are compared with each other only, or 2 for all members of
-    a chunk that is compared with itself.
+    a chunk that is compared with itself. Members whose bitmaps are equally long share a tree; for members on
+    either side of a step in length, which is a step in size, the longer bitmaps are folded.
     """
-    order = np.lexsort((bits[:, 0], n))
-    n, bits, group, side = n[order].astype(np.int64), bits[order], group[order], side[order]
-    levels = [(n, n, bits, _count(bits), group, group, side, side)]
+    width = np.array([len(x) for x in bits])
+    found = []
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        found.append(_tree(own, n, np.stack([bits[k] for k in own]), group, side, percent, fan))
+        step = w * 64
+        low = own[100 * n[own].astype(np.int64) > percent * step]
+        high = np.flatnonzero((width == 2 * w) & (percent * n.astype(np.int64) <= 100 * step))
+        if len(low) and len(high):
+            folded = [bits[k] for k in low] + [bits[k][:w] | bits[k][w:] for k in high]
+            both = np.r_[low, high]
+            i, j = _tree(both, n, np.stack(folded), group, side, percent, fan)
+            apart = width[i] != width[j]
+            found.append((i[apart], j[apart]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _tree(rows: np.ndarray, n: np.ndarray, bits: np.ndarray, group: np.ndarray, side: np.ndarray, percent: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((bits[:, 0], n[rows]))
+    rows, bits = rows[order], bits[order]
+    size, g, s = n[rows].astype(np.int64), group[rows], side[rows]
+    levels = [(size, size, bits, _count(bits), g, g, s, s)]
     while len(levels[-1][0]) > fan:
         low, high, ored, ones, g0, g1, s0, s1 = levels[-1]
         at = np.arange(0, len(low), fan)
-        r = np.minimum.reduceat, np.maximum.reduceat
-        levels.append((r[0](low, at), r[1](high, at), np.bitwise_or.reduceat(ored, at, axis=0), r[0](ones, at), r[0](g0, at), r[1](g1, at), r[0](s0, at), r[1](s1, at)))
-    k = len(levels[-1][0])
-    a, b = np.triu_indices(k)
+        least, most = np.minimum.reduceat, np.maximum.reduceat
+        levels.append((least(low, at), most(high, at), np.bitwise_or.reduceat(ored, at, axis=0), least(ones, at), least(g0, at), most(g1, at), least(s0, at), most(s1, at)))
+    a, b = np.triu_indices(len(levels[-1][0]))
+    shift = np.arange(fan)
     for depth in range(len(levels) - 1, -1, -1):
         low, high, ored, ones, g0, g1, s0, s1 = levels[depth]
         if depth < len(levels) - 1:
             m = len(low)
-            shift = np.arange(fan)
-            a = (a[:, None, None] * fan + shift[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
-            b = (b[:, None, None] * fan + shift[None, None, :] + np.zeros((1, fan, 1), np.int64)).ravel()
-            keep = (a < m) & (b < m) & (a <= b)
-            a, b = a[keep], b[keep]
+            a, b = (a[:, None, None] * fan + shift[None, :, None] + 0 * shift[None, None, :]).ravel(), (b[:, None, None] * fan + shift[None, None, :] + 0 * shift[None, :, None]).ravel()
+            inside = (a < m) & (b < m) & (a <= b)
+            a, b = a[inside], b[inside]
         if depth == 0:
-            keep = a < b
-            a, b = a[keep], b[keep]
+            a, b = a[a < b], b[a < b]
         apart = ~((g0[a] == g1[a]) & (g0[b] == g1[b]) & (g0[a] == g0[b])) & ~((s0[a] == s1[a]) & (s0[b] == s1[b]) & (s0[a] == s0[b]) & (s0[a] < 2))
         near = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & apart
         a, b = a[near], b[near]
@@ -163,51 +230,90 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, side: np.ndar
         lost_a, lost_b = np.maximum(0, ones[a] - shared), np.maximum(0, ones[b] - shared)
         fits = (100 * high[a] - percent * low[b] >= (100 + percent) * lost_a) & (100 * high[b] - percent * low[a] >= (100 + percent) * lost_b)
         a, b = a[fits], b[fits]
-    return order[a], order[b]
+    return rows[a], rows[b]
 
 
-def _search(percent: int):
-    names = ["tag", "token", "p", "q"]
+_GROUP = ("hub", "p", "q")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        """Column arrays of whole groups; rows come sorted by group."""
-        held: list[dict] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*names, "cid", "comp", "n", "salt")}
-            cols["bits"] = batch.column("bits").flatten().to_numpy().reshape(batch.num_rows, -1)
-            new = np.zeros(batch.num_rows, bool)
-            for c in names:
-                new[1:] |= cols[c][1:] != cols[c][:-1]
-            starts = np.r_[0, np.flatnonzero(new), batch.num_rows]
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                part = {c: v[i:j] for c, v in cols.items()}
-                if held and any(held[-1][c][0] != part[c][0] for c in names):
-                    yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-                    held = []
-                held.append(part)
-        if held:
-            yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+def _groups(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Column arrays of whole (hub, p, q) groups, which come sorted; columns ``lists`` have an array in each row."""
+    held: list[dict] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in lists}
+        for c in lists:
+            cols[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        new = np.zeros(batch.num_rows, bool)
+        for c in _GROUP:
+            new[1:] |= cols[c][1:] != cols[c][:-1]
+        starts = np.r_[0, np.flatnonzero(new), batch.num_rows]
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            part = {c: v[i:j] for c, v in cols.items()}
+            if held and any(held[-1][c][0] != part[c][0] for c in _GROUP):
+                yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+                held = []
+            held.append(part)
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+
+def _sides(g: dict[str, np.ndarray]) -> np.ndarray:
+    own = g["p"][0] == g["q"][0]
+    return np.full(len(g["salt"]), 2) if own else (g["salt"] == g["q"]).astype(np.int64)
+
+
+def _search(percent: int):
+    """The members of each group that have a possible partner in it, by signature trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
-        for g in groups(batches):
-            own = g["p"][0] == g["q"][0]
-            side = np.full(len(g["n"]), 2) if own else (g["salt"] == g["q"]).astype(np.int64)
-            i, j = tree_pairs(g["n"], g["bits"], g["comp"], side, percent)
+        names = [*_GROUP, "salt", "cid", "comp"]
+        out: list[list[np.ndarray]] = []
+        for g in _groups(batches, ("bits",)):
+            i, j = tree_pairs(g["n"], list(g["bits"]), g["comp"], _sides(g), percent)
             if len(i):
-                x, y = g["cid"][i], g["cid"][j]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-            if sum(x.shape[1] for x in out) > 50_000 or len(out) > 5_000:
-                yield flush(out)
+                rows = np.unique(np.r_[i, j])
+                out.append([g[c][rows] for c in names])
+            if len(out) > 2_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
                 out = []
         if out:
-            yield flush(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return run
+
 
-    def flush(out: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _links(percent: int):
+    """Links between components of each group: enough of them to join all that its similar pairs join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ("members",)):
+            sets = [np.frombuffer(x, np.int64) for x in g["members"]]
+            i, j = tree_pairs(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], g["comp"], _sides(g), percent)
+            root = {c: c for c in np.unique(g["comp"]).tolist()}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            a, b = [], []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                cx, cy = find(int(g["comp"][x])), find(int(g["comp"][y]))
+                if cx == cy:
+                    continue
+                low, high = (x, y) if len(sets[x]) <= len(sets[y]) else (y, x)
+                at = np.searchsorted(sets[high], sets[low])
+                at[at == len(sets[high])] = 0
+                both = int((sets[high][at] == sets[low]).sum())
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    root[max(cx, cy)] = min(cx, cy)
+                    a.append(int(g["cid"][x]))
+                    b.append(int(g["cid"][y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -215,15 +321,17 @@ def _search(percent: int):
 # -- checks and components ---------------------------------------------------------------------------
 
 
-def _ship(size: int):
+def _ship(size: int, fields: tuple[str, ...]):
+    """A row for each tag of a text: the tag's ``fields``, the class and its whole set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, 2 << 20):
-                rows = []
+                rows: list[tuple] = []
                 for text, cid, tags in zip(batch.column("text").to_pylist(), batch.column("cid").to_pylist(), batch.column("tags").to_pylist(), strict=True):
                     data = shingle_set(text, size).tobytes()
                     for t in tags:
-                        rows.append((t["hub"], t["salt"], t["role"], cid, data))
+                        rows.append((*(t[f] for f in fields), cid, data))
                         if len(rows) >= 1000:
                             yield _batch(rows)
                             rows = []
@@ -231,8 +339,8 @@ def _ship(size: int):
                     yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["hub", "salt", "role", "cid", "members"])
+        kinds = [pa.int64()] * (len(fields) + 1) + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*fields, "cid", "members"])
 
     return run
 
@@ -265,6 +373,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _with_sets(docs: DataFrame, classes: DataFrame, tagged: DataFrame, fields: tuple[str, ...], size: int) -> DataFrame:
+    """``fields``, cid and members of each row of ``tagged`` (cid and fields): sets computed from one text a class."""
+    tags = tagged.groupBy("cid").agg(F.collect_list(F.struct(*[F.col(f).cast("long").alias(f) for f in fields])).alias("tags"))
+    wanted = checkpoint(tags.join(classes, "cid").select("cid", "tags", "rep.tid", F.col("rep.doc_id").alias("rep_id")))
+    found = docs.join(_small(wanted), "tid").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "cid", "tags")
+    return found.mapInArrow(_ship(size, fields), ", ".join(f"{f} long" for f in fields) + ", cid long, members binary")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the class pairs (a, b), those whose whole shingle sets are similar enough.
 
@@ -273,10 +389,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(2 * CHUNK)).alias("s"))
     partner = pairs.join(chunks, "a").select(F.col("b").alias("cid"), F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), s)").alias("salt"), F.lit(1).alias("role"))
     own = chunks.select(F.col("a").alias("cid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("salt"), F.lit(0).alias("role"))
-    tags = partner.unionByName(own).groupBy("cid").agg(F.collect_list(F.struct("hub", "salt", "role")).alias("tags"))
-    wanted = checkpoint(tags.join(classes, "cid").select("cid", "tags", "rep.tid", F.col("rep.doc_id").alias("rep_id")))
-    found = docs.join(_small(wanted), "tid").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "cid", "tags")
-    sets = found.mapInArrow(_ship(size), "hub long, salt long, role int, cid long, members binary")
+    sets = _with_sets(docs, classes, partner.unionByName(own), ("hub", "salt", "role"), size)
     sorted_ = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "cid")
     return sorted_.mapInArrow(_compare(percent), "a long, b long")
 
@@ -301,33 +414,28 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
-def _blocks(sketched: DataFrame, percent: int) -> DataFrame:
-    """(tag, token, cid) rows whose shared (tag, token) covers every similar pair of classes."""
-    classes = sketched.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("window").alias("window"))
-    p = F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")
-    rows = classes.select("cid", F.explode(F.slice("window", F.lit(1), p)).alias("token"))
+def _blocks(read: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(token, cid, weight) rows of the prefix shingles that several classes have: every similar pair shares a token.
+
+    A class's ``weight`` tells how common its prefix shingles are among other classes' prefixes.
+    """
+    classes = read.mapInArrow(_windows(size, percent, common), "cid long, prefix array<long>").groupBy("cid").agg(F.first("prefix").alias("prefix"))
+    rows = classes.select("cid", F.explode("prefix").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     live = checkpoint(rows.join(often, "token"))
-    cold = live.where(F.col("df") <= HOT).select(F.lit(1).alias("tag"), "token", "cid")
-    hot = live.where(F.col("df") > HOT)
-    hot_tokens = _small(hot.select("token").distinct().withColumn("is_hot", F.lit(1)))
-    affected = _small(hot.select("cid").distinct())
-    spread = sketched.join(affected, "cid", "left_semi").select("cid", p.alias("p"), F.posexplode("window").alias("pos", "token")).distinct()
-    spread = spread.join(hot_tokens, "token", "left").where("is_hot is null")
-    chosen = spread.groupBy("cid", "p").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("free"))
-    chosen = checkpoint(chosen.select("cid", F.expr("transform(slice(free, 1, p), x -> x.token)").alias("free"), (F.size("free") >= F.col("p")).alias("full")))
-    second = chosen.select("cid", F.explode("free").alias("token"))
-    again = second.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    second = second.join(again, "token").select(F.lit(2).alias("tag"), "token", "cid")
-    stuck = hot.select("token", "cid").join(chosen.where("full").select("cid"), "cid", "left_anti").select(F.lit(3).alias("tag"), "token", "cid")
-    return cold.unionByName(second).unionByName(stuck)
+    return live.join(live.groupBy("cid").agg(F.sum(F.log2("df")).alias("weight")), "cid").select("token", "cid", "weight")
 
 
 def _similar_bitmaps(percent: int) -> str:
+    """Whether classes a and b may be similar, by their sizes and bitmaps, the longer of which is folded."""
     lost = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
+    fold = "zip_with(slice(bits_{0}, 1, size(bits_{1})), slice(bits_{0}, size(bits_{1}) + 1, size(bits_{1})), (x, y) -> x | y)"
+    fits = lambda x, y: (
+        f"100 * n_a - {percent} * n_b >= {100 + percent} * {lost.format(x, y)} and 100 * n_b - {percent} * n_a >= {100 + percent} * {lost.format(y, x)}"
+    )
     return (
-        f"100 * n_a - {percent} * n_b >= {100 + percent} * {lost.format('bits_a', 'bits_b')} and "
-        f"100 * n_b - {percent} * n_a >= {100 + percent} * {lost.format('bits_b', 'bits_a')}"
+        f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a and case when size(bits_a) = size(bits_b) then {fits('bits_a', 'bits_b')} "
+        f"when size(bits_a) < size(bits_b) then {fits('bits_a', fold.format('b', 'a'))} else {fits(fold.format('a', 'b'), 'bits_b')} end"
     )
 
 
@@ -340,42 +448,64 @@ def jaccard_components(docs: DataFrame, text: str = "text", size: int = 4, perce
     Repeated rows are copies of each other. A null doc_id takes part but is never a component's id unless the
     whole component has none. Columns other than doc_id and the text are not read.
     """
+    out = _rooted(docs, text, size, percent)
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"),
+    )
+
+
+def first_of_components(docs: DataFrame, text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id (null last) of each component, and those without shingles.
+
+    Rows that are equal in doc_id and text are one.
+    """
+    out = _rooted(docs, text, size, percent)
+    first = out.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tid")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("_id"), F.col("x.tid").alias("_tid")).unionByName(out.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct())
+    same = F.xxhash64(docs[text]) == kept["_tid"]
+    return docs.join(kept, same & docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", text])
+
+
+def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """doc_id, tid, n, cid, root, component_id and n_class of every row; the last three null without shingles."""
     ship_package(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tid"))
-    sketched = checkpoint(read.mapInArrow(_sketch(size, percent), "doc_id long, tid long, cid long, n int, window array<long>, bits array<long>"))
+    described = checkpoint(read.mapInArrow(_describe(size), "doc_id long, tid long, cid long, n int, bits array<long>, part int, counts binary"))
+    common = common_buckets(described.where("part is not null").select("part", "counts"))
+    sketched = described.where("part is null").drop("part", "counts")
     classes = checkpoint(
         sketched.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n_class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     )
     shape = classes.select("cid", "n", "bits")
-    blocks = checkpoint(_blocks(sketched, percent))
+    blocks = checkpoint(_blocks(read, common, size, percent))
 
-    # Every member against its block's hub.
-    hubs = blocks.groupBy("tag", "token").agg(F.min("cid").alias("hub"))
-    stars = blocks.join(hubs, ["tag", "token"]).where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    # Every member against the hub of its block: the member whose prefix shingles occur most in others'.
+    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1")]
+    one_each = blocks.groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("hub"), *members).groupBy("m", "x0", "x1").agg(F.min(F.struct("token", "hub")).alias("x"))
+    families = checkpoint(blocks.join(one_each.select("x.token", "x.hub"), "token").where("cid <> hub").select("hub", "cid").distinct())
+    stars = families.select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     stars = checkpoint(stars.join(a, "a").join(b, "b").where(_similar_bitmaps(percent)).select("a", "b"))
     linked = checkpoint(_verified(read, classes, stars, size, percent))
     first = components(linked)
 
-    # Blocks that hold several components still, by signature trees; pairs already refuted are not checked again.
-    member = blocks.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    mixed = member.groupBy("tag", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    dealt = member.join(mixed.select("tag", "token", F.ceil(F.col("m") / CHUNK).alias("s")), ["tag", "token"]).join(shape, "cid")
-    dealt = dealt.withColumn("salt", F.expr("pmod(xxhash64(cid, token), s)")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-    dealt = dealt.select("tag", "token", F.least("salt", "t").alias("p"), F.greatest("salt", "t").alias("q"), "salt", "cid", "comp", "n", "bits")
-    dealt = dealt.repartition("tag", "token", "p", "q").sortWithinPartitions("tag", "token", "p", "q")
-    pairs = checkpoint(dealt.mapInArrow(_search(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = _verified(read, classes, pairs, size, percent)
+    # A hub's family is all members of its blocks. Families in several components still are searched by trees.
+    member = families.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+    mixed = member.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / CHUNK).alias("s")).where("c0 <> c1").select("hub", "s")
+    dealt = member.join(mixed, "hub").join(shape, "cid")
+    dealt = dealt.withColumn("salt", F.expr("pmod(xxhash64(cid, hub), s)")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+    dealt = dealt.select("hub", F.least("salt", "t").alias("p"), F.greatest("salt", "t").alias("q"), "salt", "cid", "comp", "n", "bits")
+    dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")
+    near = checkpoint(dealt.mapInArrow(_search(percent), "hub long, p long, q long, salt long, cid long, comp long"))
+    sets = _with_sets(read, classes, near, ("hub", "p", "q", "salt", "comp"), size).repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "salt", "cid")
+    more = sets.mapInArrow(_links(percent), "a long, b long")
     roots = components(linked.unionByName(more))
 
     # The least doc_id of each component, back to every row.
     rooted = classes.select("cid", "least", "n_class").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("cid", "component_id", "n_class")
-    out = sketched.select("doc_id", "n", "cid").join(named, "cid", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"),
-    )
+    named = rooted.join(least, "root").select("cid", "root", "component_id", "n_class")
+    return sketched.select("doc_id", "tid", "n", "cid").join(named, "cid", "left")

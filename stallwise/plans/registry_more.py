@@ -677,9 +677,10 @@ def _(m):
     return m.raw_messages.select("id", text.strip_contact_lines(F.col("raw_text")).alias("t"))
 
 
-@query("v05_embed", "select id, 64::bigint as dims from listings where title_en is not null")
+@query("v05_embed", "select p_partkey, 64::bigint as dims, 1.0::double as norm from part")
 def _(m):
-    return m.listings.select("id", F.size(similarity.hashed_embedding(F.col("title_en"))).cast("long").alias("dims"))
+    embedded = m.part.select("p_partkey", similarity.hashed_embedding(F.col("p_name")).alias("e"))
+    return embedded.select("p_partkey", F.size("e").cast("long").alias("dims"), F.round(similarity.dot(F.col("e"), F.col("e")), 6).alias("norm"))
 
 
 @query("s08_explain")

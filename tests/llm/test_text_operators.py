@@ -197,8 +197,8 @@ def _components(df):
 
 
 def test_components_with_hot_passages_and_edits(spark, monkeypatch):
-    """Small limits send blocks through every path: hot shingles, both rounds, chunk pairs and trees."""
-    for name, value in {"HOT": 6, "CHUNK": 5, "SPARE": 3, "SMALL_ROWS": 3}.items():
+    """Small limits send blocks through every path: hot shingles, both orders, chunk pairs and trees."""
+    for name, value in {"HOT": 6, "CHUNK": 5, "SMALL_ROWS": 3}.items():
         monkeypatch.setattr(jaccard_tree, name, value)
     rng = np.random.default_rng(3)
     word = lambda: f"w{rng.integers(0, 5000)}"
