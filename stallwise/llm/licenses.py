@@ -1,12 +1,14 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits, single blanks) and looked up
-among known licence sentences; the identifiers found, in order, are matched against ordered rules. Both
-tables are literals of fixed size in one projection, so a scan neither shuffles nor runs user functions.
+A text becomes words (lower case, letters and digits) with marks between them where lines, sentences and paragraphs
+end. Known licence sentences are found between two marks, also where they are wrapped or stand in comments; the
+identifiers found, in order, are matched against ordered rules. Both tables are literals of fixed size in one
+projection, so a scan neither shuffles nor runs user functions.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -76,17 +78,38 @@ RULES = (
 HIDES = {"BSD-3-Clause": "BSD-2-Clause"}
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
-
-
 def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def sentences(text: Column) -> Column:
-    """Parts of a text between line ends, and after ``.``, ``!``, ``?``, ``;`` or ``:`` with a blank behind."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
+def marked_words(text: Column) -> Column:
+    """Words with one mark between each two: a blank, ``W`` for a line end, ``S`` for a sentence's, ``P`` for a paragraph's.
+
+    A sentence ends after ``.``, ``!``, ``?``, ``;`` or ``:`` with a blank or a line end behind; a paragraph at a line
+    without letters and digits, such as an empty comment line. Comment marks are neither, and go.
+    """
+    t = F.concat(F.lit("0\n\n"), F.lower(text), F.lit("\n\n0"))
+    gap = r"[^a-z0-9\nA-Z]"
+    for pattern, mark in (
+        (r"\n[^a-z0-9\n]*(?:dnl|rem)(?=[ \t\n])", "\n"),
+        (r"\n[^a-z0-9]*\n", " P "),
+        (rf"\n{gap}+", "\n"),
+        (rf"(?<=[a-z0-9])(?={gap}*+\n){gap}*?[.!?;:]{gap}*+\n", " S "),
+        (r"[.!?;:][ \t]+", " S "),
+        (r"\n", " W "),
+        (r"[^a-z0-9SWP]+", " "),
+        (r"(?<=[a-z0-9])[SWP ]*P[SWP ]*", "P"),
+        (r"(?<=[a-z0-9])[SW ]*S[SW ]*", "S"),
+        (r"(?<=[a-z0-9])[W ]*W[W ]*", "W"),
+    ):
+        t = F.regexp_replace(t, pattern, mark)
+    return t
+
+
+def _pattern(sentence: str) -> str:
+    """A known sentence among marked words: it may be wrapped anywhere, and cut where it has a sentence end itself."""
+    parts = [_plain(x).replace(" ", "[ W]") for x in re.split(r"[.!?;:][ \t]+", sentence)]
+    return "[ SW]".join(x for x in parts if x)
 
 
 def licence_scan(docs: DataFrame, text: str = "text", known: dict[str, str] | None = None, rules: tuple[LicenceRule, ...] = RULES) -> DataFrame:
@@ -98,13 +121,11 @@ def licence_scan(docs: DataFrame, text: str = "text", known: dict[str, str] | No
     """
     known = SENTENCES if known is None else known
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (_plain(s), name)])
-    shortest = min(len(_plain(s)) for s in known.values())
-    longest = max(len(_plain(s)) for s in known.values())
     t = text_or_empty(F.col(text))
-    # Only parts of a length that a known sentence can have are looked up.
-    parts = F.transform(F.filter(sentences(t), lambda x: F.char_length(x) >= shortest), normalised)
-    fitting = F.filter(parts, lambda x: F.char_length(x).between(shortest, longest))
-    found = F.filter(F.transform(fitting, lambda x: F.element_at(table, x)), lambda x: x.isNotNull())
+    # Of sentences that start alike the longest counts.
+    any_known = "|".join(sorted(map(_pattern, known.values()), key=len, reverse=True))
+    runs = F.regexp_extract_all(marked_words(t), F.lit(f"(?<=[SWP])(?:{any_known})(?=[SWP])"), F.lit(0))
+    found = F.filter(F.transform(runs, lambda x: F.element_at(table, F.translate(x, "SW", "  "))), lambda x: x.isNotNull())
     words = "|".join(sorted({"licens", "permission", "redistribut", "rights", "copy of", "warrant", "free software", "copyright", "compliance", "neither", "applicable law"}))
     likely = t.rlike(f"(?i){words}") if known is SENTENCES else F.lit(True)
     ids = F.when(likely, found).otherwise(F.array().cast("array<string>"))

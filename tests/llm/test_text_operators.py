@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -376,6 +377,24 @@ def test_licence_rules_need_order(spark):
     assert licenses.licence_scan(awkward(spark)).count() == 14 and licenses.licence_scan(empty(spark)).count() == 0
 
 
+def test_every_licence_rule_on_wrapped_and_commented_text(spark):
+    def written(rule, mark, width):
+        paragraphs = [textwrap.wrap(licenses.SENTENCES[x], width) for x in rule.sentences]
+        return "\n".join(["some code", "", *[(mark + line).rstrip() for p in paragraphs for line in [*p, ""]], "more code"])
+
+    def flowing(rule, mark, width):
+        ended = [licenses.SENTENCES[x] if licenses.SENTENCES[x][-1] in ".;:" else licenses.SENTENCES[x] + ": the address." for x in rule.sentences]
+        return "\n".join(mark + line for line in textwrap.wrap(" ".join(ended), width))
+
+    cases = [(r, how(r, mark, width)) for r in licenses.RULES for how in (written, flowing) for mark in ("", "# ", " * ", "// ", ";; ", "dnl ") for width in (40, 72, 1000)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licence_scan(docs).collect()}
+    for i, (rule, text) in enumerate(cases):
+        assert (got[i]["licences"], got[i]["sentence_ids"]) == ([rule.licence], list(rule.sentences)), text
+    apart = spark.createDataFrame([(0, licenses.SENTENCES["isc-grant"].replace("provided", "\n\nprovided")), (1, "Licensed under the Apache License. Version 2.0."), (2, "." * 200_000 + " licens " + "\n" * 200_000)], "doc_id long, text string")
+    assert all(r["licences"] == [] for r in licenses.licence_scan(apart).collect())
+
+
 def test_revisits(spark, monkeypatch):
     monkeypatch.setattr(warc, "SLICE_ROWS", 2)
     full = {"ETag": '"1"', "Content-Type": "t", "Server": "s"}
