@@ -113,9 +113,12 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Matches of the wider patterns that overlap no base span and, of each other, none before them."""
+    """Matches of the wider patterns that overlap no base span and, of each other, none before them.
+
+    Each test before a pattern is a part of it, so it holds for every text that can match.
+    """
     may = {
-        "email": text.rlike(r"(?i)\[at\]|\(at\)| dot |\[dot\]|\(dot\)"),
+        "email": text.rlike(r"(?i)(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)| dot |\.)"),
         "ip": text.contains(":"),
         "card": text.rlike(r"[0-9]{4}[ .-][0-9]{4}"),
         "phone": text.rlike(r"[0-9]\)?[ ./-][0-9]{2}"),

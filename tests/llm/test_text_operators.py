@@ -295,6 +295,16 @@ def test_weak_labels_add_obfuscated_spans(spark):
     assert redacted[105] == "contact <email> now" and redacted[205] == rows[95][1]
 
 
+def test_wider_email_needs_no_other_form_in_its_text(spark):
+    texts = ["write to jane at example.com", "JANE AT EXAMPLE.COM", "jane at example dot com", "jane(at)example.com", "jane [at] example (dot) com", "we met at noon", "a dot b"]
+    docs = spark.createDataFrame([(i, f"{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["s"]) for x in r["_more"]] for r in pii.with_spans(docs).collect()}
+    assert [x[1] for i in range(7) for x in got[i]] == ["jane at example.com", "JANE AT EXAMPLE.COM", "jane at example dot com", "jane(at)example.com", "jane [at] example (dot) com"]
+    rows = [(i, f"please mail jane{'abcdefghij'[i % 10]} at example.com today") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(" <email> " in r["text"] for r in pii.redact(pii.find_pii(docs, pii.fit(docs))).collect())
+
+
 def test_pii_of_awkward_rows(spark):
     for d in (awkward(spark), empty(spark)):
         found = pii.find_pii(d, pii.fit(d), base="b", spans="s")
