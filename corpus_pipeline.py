@@ -15,6 +15,8 @@ from stallwise.llm import curve_packing, jaccard_tree, mixing, pii, toxicity
 from stallwise.session import checkpoint, table
 
 TOXIC = 0.3
+#: Near duplicates share so many percent of their runs of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component; of its repeated rows one.
 
+    Linked are documents whose five-word shingles have a Jaccard similarity of 0.8 or more, which is wider than op9's rule.
+
     Documents without words link with nothing and stay.
     """
-    return jaccard_tree.first_of_components(docs)
+    return jaccard_tree.first_of_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
