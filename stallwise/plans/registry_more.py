@@ -280,13 +280,19 @@ _ITEM = """items as (
   from sightings s join listings l on l.id = s.listing_id join embeddings e on e.vec_id = s.listing_id % 50 where s.listing_id < 400)"""
 
 
-def _items(m):
-    rows = m.sightings.where("listing_id < 400").join(m.listings.select(F.col("id").alias("listing_id"), "category_slug", F.col("title_en").alias("title"), F.col("extraction_confidence").alias("confidence")), "listing_id")
+def _described(m, sightings):
+    """``sightings`` as items; a listing's vector is that of its id modulo 50."""
+    rows = sightings.join(m.listings.select(F.col("id").alias("listing_id"), "category_slug", F.col("title_en").alias("title"), F.col("extraction_confidence").alias("confidence")), "listing_id")
     vectors = m.embeddings.where("vec_id < 50").select(F.col("vec_id").alias("_v"), "embedding")
     rows = rows.join(F.broadcast(vectors), F.col("listing_id") % 50 == F.col("_v"))
     return rows.select(F.col("raw_message_id").alias("id"), F.col("posted_at").alias("ord"), "category_slug", "title", F.col("phone_normalized").alias("phone"), "price_etb", F.substring(F.md5((F.col("listing_id") % 700).cast("string")), 1, 16).alias("phash"), "embedding", "channel_id", "confidence")
 
 
+def _items(m):
+    """The sightings that ``_ITEM`` takes."""
+    return _described(m, m.sightings.where("listing_id < 400"))
+
+
 _PAIRS = f"""with {_ITEM},
 p as (select a.id as a_id, b.id as b_id, a.ord as a_ord, b.ord as b_ord, a.phone as pa, b.phone as pb, a.price_etb as ea, b.price_etb as eb, a.category_slug as ca, b.category_slug as cb, a.phash as ha, b.phash as hb, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cos
   from items a join items b on (a.ord, a.id) < (b.ord, b.id) and (a.phone = b.phone or a.phash = b.phash)),
@@ -311,8 +317,8 @@ def _(m):
 
 
 def _clusters(m):
-    items = _items(m)
-    return items, dedup.leaders(items, dedup.judged_pairs(items).where("decision = 'auto_merge'"))
+    items = _described(m, m.sightings)
+    return items, dedup.leader_clusters(items)
 
 
 @query("v09_leader_clusters")

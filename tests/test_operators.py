@@ -107,6 +107,36 @@ def test_leaders_equal_the_sequential_pass(spark):
     assert {r["id"]: r["leader_id"] for r in dedup.leaders(frame, links).collect()} == want
 
 
+def test_leader_clusters_equal_the_sequential_pass_over_all_pairs(spark):
+    rng = random.Random(11)
+    hashes = [f"{rng.getrandbits(64):016x}" for _ in range(3)]
+    hashes += [f"{int(hashes[0], 16) ^ 0b111:016x}", None, "bad"]
+    rows = [
+        (i, rng.randint(0, 40), rng.choice(["a", "a", "b", None, ""]), rng.choice(["iphone 13", "iphone 14", "sofa", None]), rng.choice(["1", "2", "", None]), rng.choice([None, 0, 100, 110, 400]), rng.choice(hashes), rng.choice([[1.0, 0.0], [0.9, 0.3], [0.0, 1.0]]))
+        for i in range(160)
+    ]
+    rows += [(200 + i, 50, *rows[i % 3][2:]) for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, ord long, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
+    side = lambda n: items.select(F.struct("ord", "id").alias(f"k{n}"), F.struct(*dedup.ITEM).alias(n))
+    pairs = side("a").crossJoin(side("b")).where("ka < kb").where(dedup.decision()["decision"] == "auto_merge").select("ka.id", F.col("kb.id").alias("b")).collect()
+    near, lead, want = {tuple(r) for r in pairs}, [], {}
+    for i in (r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))):
+        hit = next((j for j in lead if (j, i) in near), None)
+        want[i] = i if hit is None else hit
+        lead += [i] if hit is None else []
+    got = dedup.leader_clusters(items).collect()
+    assert len(got) == len(rows) and {r["id"]: r["leader_id"] for r in got} == want and 1 < len(lead) < len(rows) / 2
+
+
+@pytest.mark.parametrize("name", ["v09_leader_clusters", "v10_canonical_rows", "a18_dedup_report"])
+def test_clusters_take_every_sighting(spark, sf_dir, name):
+    from stallwise.plans import market, registry, registry_more  # noqa: F401
+
+    out = registry.QUERIES[name](spark, sf_dir)
+    n = {"v09_leader_clusters": F.count("*"), "v10_canonical_rows": F.sum("n_members"), "a18_dedup_report": F.sum("evaluated")}[name]
+    assert out.agg(n.alias("n")).first()["n"] == market.Market(spark, sf_dir).sightings.count()
+
+
 def test_bands_share_one_at_six_flips(spark):
     rng = random.Random(3)
     rows = []
