@@ -137,6 +137,14 @@ def test_clusters_take_every_sighting(spark, sf_dir, name):
     assert out.agg(n.alias("n")).first()["n"] == market.Market(spark, sf_dir).sightings.count()
 
 
+def test_every_live_place_is_known_among_many(spark):
+    synonyms = spark.createDataFrame([], "synonym string, canonical_term string, category_slug string")
+    categories = spark.createDataFrame([], "slug string, name_en string")
+    listings = spark.range(30_000).selectExpr("'live' as status", "concat('area ', id) as location_area")
+    listings = listings.unionByName(spark.createDataFrame([("live", a) for a in browse.AREA_SPELLINGS], "status string, location_area string"))
+    assert nlparse.lexicon(synonyms, categories, listings).live_areas == {a.lower() for a in browse.AREA_SPELLINGS}
+
+
 def test_bands_share_one_at_six_flips(spark):
     rng = random.Random(3)
     rows = []
