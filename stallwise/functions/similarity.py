@@ -54,10 +54,11 @@ def image_hash(key: Column) -> Column:
     return F.when(key.rlike("^[0-9a-fA-F]{16}$"), F.lower(key)).otherwise(F.substring(F.sha2(key, 256), 1, 16))
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """A deterministic unit vector of a text's words by signed feature hashing; zeros for a blank text.
+def hashed_embedding(text: Column, dims: int = 768) -> Column:
+    """A deterministic unit vector of a text's words by signed feature hashing; zeros for a text without words.
 
-    Stands in for a model where none is plugged in, so that clustering and search run end to end.
+    Words whose signs cancel everywhere give the unit vector of the first slot, so that only texts without words are
+    zeros. Stands in for a model where none is plugged in, so that clustering and search run end to end.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dims)).alias("slot"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
@@ -65,6 +66,7 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
 
     def unit(acc: Column) -> Column:
         norm = F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(acc, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+        alone = F.when(F.size(words) > 0, 1.0).otherwise(0.0)
+        return F.transform(acc, lambda x, i: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.when(i == 0, alone).otherwise(0.0)))
 
     return F.aggregate(hashed, F.array_repeat(F.lit(0.0), dims), add, unit)

@@ -683,7 +683,7 @@ def _(m):
     return m.raw_messages.select("id", text.strip_contact_lines(F.col("raw_text")).alias("t"))
 
 
-@query("v05_embed", "select p_partkey, 64::bigint as dims, 1.0::double as norm from part")
+@query("v05_embed", "select p_partkey, 768::bigint as dims, case when regexp_matches(p_name, '[A-Za-z0-9]') then 1.0 else 0.0 end::double as norm from part")
 def _(m):
     embedded = m.part.select("p_partkey", similarity.hashed_embedding(F.col("p_name")).alias("e"))
     return embedded.select("p_partkey", F.size("e").cast("long").alias("dims"), F.round(similarity.dot(F.col("e"), F.col("e")), 6).alias("norm"))
