@@ -2,20 +2,25 @@
 
 A document is its set of hashed word shingles. Documents with equal sets are one *class*. A pair of classes
 with Jaccard similarity t or more must share one of its first ``n - ceil(t n) + 1`` shingles in any common
-order, so blocks are keyed by those prefix shingles.
+order, so the roots of the trees are the blocks of classes that have such a prefix shingle in common.
 
 The order puts shingles that many documents share last. Which these are is read from a sketch of fixed size, in which every
 shingle of every document counts at its hash's bucket; an order by such a sketch is as exact as any. A passage that
 a third of all documents share is then no key at all, unless a document consists of little else.
 
-Blocks of equal members count once. First every member is compared with its block's hub, the member that has most
-in common with others, which joins most copies in a pass that is linear in the block. The families of hubs that
-still hold several components are searched by signature trees: leaves are members, inner nodes hold the OR of their members' token
-bitmaps, size ranges and least bit counts, and a dual traversal drops node pairs whose largest possible overlap
-is too small. A bitmap has as many bits as its set has members or up to twice as many, so it stays selective, and
-folds in half to meet a smaller one. Large blocks are dealt out as pairs of bounded chunks. Every candidate is checked against whole shingle sets; nothing is capped or sampled.
+A block of up to ``LEAF`` classes is one signature tree: leaves are classes, inner nodes hold the OR of their members' token
+bitmaps, size ranges and least bit counts, and a dual traversal of the tree with itself drops node pairs whose largest
+possible overlap is too small. A bitmap has as many bits as its set has members or up to twice as many, so it stays
+selective, and folds in half to meet a smaller one. Blocks of the same members are one tree. The pairs that the traversal leaves
+form a graph, of which a spanning forest is checked against whole shingle sets. Trees in which a pair of the forest
+failed, and some that the traversal left are still in different components, are traversed once more for those pairs alone.
 
-Shingles and sets are compared by 64-bit hashes.
+A block of more classes is first compared with its routing class, the one that most large blocks have, which is linear
+in the block and joins most near copies. If several components are left, its classes are laid out in order of
+(outside of the largest component, size) in leaves of about ``LEAF``; pairs of leaves are dropped by size range and
+component range, and the trees of each remaining pair are traversed against each other.
+
+Every link is checked against whole shingle sets; nothing is capped or sampled. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,16 +31,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stallwise.session import checkpoint, ship_package
 
 #: Documents beyond a bucket's usual count that make its shingles common ones, and buckets.
 HOT = 256
 BUCKETS, PART = 1 << 18, 1 << 12
-BITS = 512
-CHUNK = 256
+#: Least and most bits of a bitmap.
+BITS, MOST_BITS = 512, 1 << 17
+#: Classes of a tree, and partners of a class that one task compares.
+LEAF = CHUNK = 256
+#: Parts over which the rows of a common shingle are dealt.
+SALTS = 64
+#: Rows that one reading of a class's text serves.
+TAGS = 10_000
+#: Sets of more shingles are compared one pair at a time.
+LONG = 1 << 14
 #: Rows below which a table of class ids is broadcast; above it is joined by a shuffle.
 SMALL_ROWS = 500_000
 REMEMBERED = 600_000
@@ -79,8 +93,8 @@ def shingle_set(text: str | None, size: int = 4) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle's low bits, as int64 words; ``BITS`` bits or the next power of two of the set's size."""
-    m = max(BITS, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else BITS
+    """A bit for each shingle's low bits, as int64 words; as many bits as the next power of two of the set's size, within bounds."""
+    m = min(MOST_BITS, max(BITS, 1 << (len(shingles) - 1).bit_length())) if len(shingles) else BITS
     flags = np.zeros(m, np.uint8)
     flags[shingles & (m - 1)] = 1
     return np.packbits(flags).view(np.int64)
@@ -152,21 +166,83 @@ def common_buckets(parts: DataFrame) -> np.ndarray:
     return counts > counts.mean() + 8 * np.sqrt(counts.mean()) + HOT
 
 
-def _windows(size: int, percent: int, common: np.ndarray):
-    """Class and prefix of each document with shingles: in hash order, common ones last."""
+def _prefixes(size: int, percent: int, common: np.ndarray):
+    """A row (token, late, cid) for each prefix shingle, in hash order with common (``late``) ones last.
+
+    A class gives its rows once for each run of up to ``REMEMBERED`` classes of a task, so copies hardly add any.
+    """
     packed = np.packbits(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(packed)[:BUCKETS].astype(bool)
+        last = np.unpackbits(packed)[:BUCKETS].astype(bool)
+        given: set[int] = set()
         for whole in batches:
             for batch in _slices(whole):
-                sets = [s for s in (shingle_set(t, size) for t in batch.column("text").to_pylist()) if len(s)]
-                prefixes = []
-                for s in sets:
-                    p, last = prefix_length(len(s), percent), late[s & (BUCKETS - 1)]
-                    first = s[~last][:p]
-                    prefixes.append(first if len(first) == p else np.concatenate([first, s[last][: p - len(first)]]))
-                yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["cid", "prefix"])
+                tokens, lates, cids, sizes = [], [], [], []
+                if len(given) > REMEMBERED:
+                    given.clear()
+                for text in batch.column("text").to_pylist():
+                    s = shingle_set(text, size)
+                    cid = _class_id(s)
+                    if cid is None or cid in given:
+                        continue
+                    given.add(cid)
+                    p, late = prefix_length(len(s), percent), last[s & (BUCKETS - 1)]
+                    first = s[~late][:p]
+                    rest = s[late][: p - len(first)]
+                    tokens += [first, rest]
+                    lates += [len(first), len(rest)]
+                    cids.append(cid)
+                    sizes.append(len(first) + len(rest))
+                if cids:
+                    late = np.repeat(np.tile([False, True], len(cids)), lates)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(late), pa.array(np.repeat(np.array(cids, np.int64), sizes))], ["token", "late", "cid"])
+
+    return run
+
+
+def _blocks(leaf: int):
+    """Member lists of the tokens that several classes have; rows come sorted by (token, cid).
+
+    A ``large`` block is more than ``leaf`` members, or of a late token, and comes in several lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "large", "members"]
+        kept_t, kept_c, kept_l = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        open_large = None
+
+        def lists(t: np.ndarray, c: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+            starts = np.r_[True, t[1:] != t[:-1]]
+            offsets = np.r_[np.flatnonzero(starts), len(t)].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(t[starts]), pa.array(large[starts]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(c))], names)
+
+        def closed(t: np.ndarray, c: np.ndarray, late: np.ndarray, partly: int | None) -> Iterator[pa.RecordBatch]:
+            if not len(t):
+                return
+            at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            n = np.diff(np.r_[at, len(t)])
+            large = late[at] | (n > leaf) | (t[at] == partly if partly is not None else False)
+            keep = np.repeat((n > 1) | large, n)
+            if keep.any():
+                yield lists(t[keep], c[keep], np.repeat(large, n)[keep])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, c, late = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "cid", "late"))
+            t, c, late = np.r_[kept_t, t], np.r_[kept_c, c], np.r_[kept_l, late]
+            new = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
+            t, c, late = t[new], c[new], late[new]
+            tail = int(np.searchsorted(t, t[-1]))
+            if len(t) - tail > leaf and t[-1] != open_large:
+                yield from closed(t[:tail], c[:tail], late[:tail], open_large)
+                open_large, t, c, late, tail = t[-1], t[tail:], c[tail:], late[tail:], 0
+            if t[-1] == open_large:
+                tail = len(t) - 1
+            yield from closed(t[:tail], c[:tail], late[:tail], open_large)
+            kept_t, kept_c, kept_l = t[tail:], c[tail:], late[tail:]
+        yield from closed(kept_t, kept_c, kept_l, open_large)
 
     return run
 
@@ -233,18 +309,16 @@ def _tree(rows: np.ndarray, n: np.ndarray, bits: np.ndarray, group: np.ndarray,
     return rows[a], rows[b]
 
 
-_GROUP = ("hub", "p", "q")
+_GROUP = ("root", "p", "q")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Column arrays of whole (hub, p, q) groups, which come sorted; columns ``lists`` have an array in each row."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Column arrays of whole (root, p, q) groups, which come sorted."""
     held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in lists}
-        for c in lists:
-            cols[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         new = np.zeros(batch.num_rows, bool)
         for c in _GROUP:
             new[1:] |= cols[c][1:] != cols[c][:-1]
@@ -261,25 +335,71 @@ def _groups(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterat
 
 def _sides(g: dict[str, np.ndarray]) -> np.ndarray:
     own = g["p"][0] == g["q"][0]
-    return np.full(len(g["salt"]), 2) if own else (g["salt"] == g["q"]).astype(np.int64)
+    return np.full(len(g["leaf"]), 2) if own else (g["leaf"] == g["q"]).astype(np.int64)
+
+
+def forest(i: np.ndarray, j: np.ndarray, members: int) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of pairs (i, j), from the member of most pairs outwards, as (parent, child)."""
+    ends = np.r_[i, j]
+    order = np.argsort(ends, kind="stable")
+    near = np.r_[j, i][order]
+    degree = np.bincount(ends, minlength=members)
+    first = np.r_[0, np.cumsum(degree)]
+    seen = np.zeros(members, bool)
+    out = []
+    for start in np.argsort(-degree, kind="stable"):
+        if seen[start] or not degree[start]:
+            continue
+        seen[start] = True
+        queue = [int(start)]
+        for x in queue:
+            new = near[first[x] : first[x + 1]]
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
+            queue += new.tolist()
+            out += [(x, y) for y in new.tolist()]
+    return out
 
 
-def _search(percent: int):
-    """The members of each group that have a possible partner in it, by signature trees."""
+def _traverse(percent: int):
+    """(root, a, b): a spanning forest of the possible pairs of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*_GROUP, "salt", "cid", "comp"]
-        out: list[list[np.ndarray]] = []
-        for g in _groups(batches, ("bits",)):
-            i, j = tree_pairs(g["n"], list(g["bits"]), g["comp"], _sides(g), percent)
+        out: list[tuple] = []
+        for g in _groups(batches):
+            i, j = tree_pairs(g["n"], list(g["bits"]), g["cid"], np.full(len(g["n"]), 2), percent)
             if len(i):
-                rows = np.unique(np.r_[i, j])
-                out.append([g[c][rows] for c in names])
-            if len(out) > 2_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                out += [(int(g["root"][0]), int(g["cid"][x]), int(g["cid"][y])) for x, y in forest(i, j, len(g["n"]))]
+            if len(out) > 10_000:
+                yield _edges(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+            yield _edges(out)
+
+    return run
+
+
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["root", "a", "b"])
+
+
+def _between(percent: int, longest: int):
+    """Of each tree or pair of trees, the members that have a possible partner in another component.
+
+    Pairs with a long set come as pairs: ``b`` is the partner of ``cid``; other members have no ``b``.
+    """
+    names = [*_GROUP, "leaf", "comp", "cid", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            i, j = tree_pairs(g["n"], list(g["bits"]), g["comp"], _sides(g), percent)
+            if not len(i):
+                continue
+            long = np.maximum(g["n"][i], g["n"][j]) > longest
+            rows = np.unique(np.r_[i[~long], j[~long]])
+            columns = [np.r_[g[c][rows], g[c][i[long]]] for c in names[:-1]]
+            b = pa.array(np.r_[np.zeros(len(rows), np.int64), g["cid"][j[long]]], mask=np.r_[np.ones(len(rows), bool), np.zeros(int(long.sum()), bool)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), b], names)
 
     return run
 
@@ -288,7 +408,7 @@ def _links(percent: int):
     """Links between components of each group: enough of them to join all that its similar pairs join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ("members",)):
+        for g in _groups(batches):
             sets = [np.frombuffer(x, np.int64) for x in g["members"]]
             i, j = tree_pairs(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], g["comp"], _sides(g), percent)
             root = {c: c for c in np.unique(g["comp"]).tolist()}
@@ -302,13 +422,7 @@ def _links(percent: int):
             a, b = [], []
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 cx, cy = find(int(g["comp"][x])), find(int(g["comp"][y]))
-                if cx == cy:
-                    continue
-                low, high = (x, y) if len(sets[x]) <= len(sets[y]) else (y, x)
-                at = np.searchsorted(sets[high], sets[low])
-                at[at == len(sets[high])] = 0
-                both = int((sets[high][at] == sets[low]).sum())
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                if cx != cy and similar(sets[x], sets[y], percent):
                     root[max(cx, cy)] = min(cx, cy)
                     a.append(int(g["cid"][x]))
                     b.append(int(g["cid"][y]))
@@ -318,6 +432,17 @@ def _links(percent: int):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``percent`` or more."""
+    low, high = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(low) or 100 * len(low) < percent * len(high):
+        return False
+    at = np.searchsorted(high, low)
+    at[at == len(high)] = 0
+    both = int((high[at] == low).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 # -- checks and components ---------------------------------------------------------------------------
 
 
@@ -356,10 +481,7 @@ def _compare(percent: int):
                     hub, of, last = h, members, None
                 elif h == hub and cid != last:
                     last = cid
-                    at = np.searchsorted(of, members)
-                    at[at == len(of)] = 0
-                    both = int((of[at] == members).sum())
-                    if 100 * both >= percent * (len(of) + len(members) - both):
+                    if similar(of, members, percent):
                         a.append(h)
                         b.append(cid)
             if a:
@@ -368,16 +490,23 @@ def _compare(percent: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` for a join's lesser side: broadcast where its counted rows are few, else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` for a join's lesser side: broadcast where its counted rows, or their ``weight``, are few, else left to a shuffle."""
+    size = df.agg(F.sum(F.lit(1) if weight is None else weight).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= SMALL_ROWS else df
 
 
 def _with_sets(docs: DataFrame, classes: DataFrame, tagged: DataFrame, fields: tuple[str, ...], size: int) -> DataFrame:
-    """``fields``, cid and members of each row of ``tagged`` (cid and fields): sets computed from one text a class."""
-    tags = tagged.groupBy("cid").agg(F.collect_list(F.struct(*[F.col(f).cast("long").alias(f) for f in fields])).alias("tags"))
+    """``fields``, cid and members of each row of ``tagged`` (cid and fields): sets computed from one text a class.
+
+    A class of very many tags has its text read several times, for up to about ``TAGS`` each.
+    """
+    tagged = checkpoint(tagged.select("cid", *[F.col(f).cast("long").alias(f) for f in fields]))
+    many = tagged.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(TAGS)).alias("_s")).where("_s > 1")
+    tags = tagged.join(_small(many), "cid", "left").withColumn("_s", F.pmod(F.xxhash64(*fields), F.coalesce("_s", F.lit(1))))
+    tags = tags.groupBy("cid", "_s").agg(F.collect_list(F.struct(*fields)).alias("tags"))
     wanted = checkpoint(tags.join(classes, "cid").select("cid", "tags", "rep.tid", F.col("rep.doc_id").alias("rep_id")))
-    found = docs.join(_small(wanted), "tid").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "cid", "tags")
+    found = docs.join(_small(wanted, F.size("tags") + 1), "tid").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "cid", "tags")
     return found.mapInArrow(_ship(size, fields), ", ".join(f"{f} long" for f in fields) + ", cid long, members binary")
 
 
@@ -386,9 +515,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
 
     The sets of a hub's partners travel to it once, in chunks, each with a copy of the hub's own set.
     """
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(2 * CHUNK)).alias("s"))
-    partner = pairs.join(chunks, "a").select(F.col("b").alias("cid"), F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), s)").alias("salt"), F.lit(1).alias("role"))
-    own = chunks.select(F.col("a").alias("cid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("salt"), F.lit(0).alias("role"))
+    pairs = pairs.select("a", "b").distinct()
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(2 * CHUNK)).alias("s")).where("s > 1")
+    partner = pairs.join(_small(many), "a", "left").select(F.col("b").alias("cid"), F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), coalesce(s, 1L))").alias("salt"), F.lit(1).alias("role"))
+    own = partner.select(F.col("hub").alias("cid"), "hub", "salt", F.lit(0).alias("role")).distinct()
     sets = _with_sets(docs, classes, partner.unionByName(own), ("hub", "salt", "role"), size)
     sorted_ = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "cid")
     return sorted_.mapInArrow(_compare(percent), "a long, b long")
@@ -414,16 +544,35 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
-def _blocks(read: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, cid, weight) rows of the prefix shingles that several classes have: every similar pair shares a token.
+def _large_blocks(blocks: DataFrame) -> DataFrame:
+    """(root, cid) of the large blocks, those of the same members once."""
+    large = checkpoint(blocks.where("large").select("token", F.explode("members").alias("cid")))
+    same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1")]
+    one_each = large.groupBy("token").agg(*same).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token"))
+    return checkpoint(large.join(_small(one_each.select("token")), "token").select(F.col("token").alias("root"), "cid"))
+
 
-    A class's ``weight`` tells how common its prefix shingles are among other classes' prefixes.
+def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Rows (root, p, q, leaf, cid, comp) of the leaves of large blocks that may hold links between components.
+
+    A leaf's members are neighbours in the order of (outside of the block's largest component, size), by a histogram of
+    sizes and a hash within a size. Leaf pairs (p, q) are kept where sizes fit and components differ.
     """
-    classes = read.mapInArrow(_windows(size, percent, common), "cid long, prefix array<long>").groupBy("cid").agg(F.first("prefix").alias("prefix"))
-    rows = classes.select("cid", F.explode("prefix").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    live = checkpoint(rows.join(often, "token"))
-    return live.join(live.groupBy("cid").agg(F.sum(F.log2("df")).alias("weight")), "cid").select("token", "cid", "weight")
+    shares = member.groupBy("root", "comp").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("root", "main")
+    mine = member.join(_small(mixed), "root").join(shape.select("cid", "n"), "cid").select("root", "cid", "comp", (F.col("comp") != F.col("main")).alias("out"), "n")
+    mine = checkpoint(mine)
+    sizes = mine.groupBy("root", "out", "n").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("root").orderBy("out", "n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("root", "out", "n", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
+    placed = mine.join(_small(sizes), ["root", "out", "n"]).withColumn("leaf", F.expr(f"(k0 + pmod(xxhash64(cid, root), k)) div {LEAF}"))
+    placed = checkpoint(placed.select("root", "leaf", "cid", "comp", "n"))
+    nodes = placed.groupBy("root", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    p, q = (nodes.select("root", *[F.col(c).alias(f"{x}_{c}") for c in nodes.columns[1:]]) for x in "pq")
+    fits = f"p_leaf <= q_leaf and 100L * p_high >= {percent}L * q_low and 100L * q_high >= {percent}L * p_low and not (p_c0 = p_c1 and q_c0 = q_c1 and p_c0 = q_c0)"
+    pairs = checkpoint(p.join(q, "root").where(fits).select("root", F.col("p_leaf").alias("p"), F.col("q_leaf").alias("q")))
+    visits = pairs.select("root", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("leaf"))
+    return placed.join(_small(visits), ["root", "leaf"]).select("root", "cid", "comp", "p", "q", "leaf")
 
 
 def _similar_bitmaps(percent: int) -> str:
@@ -480,29 +629,40 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
         sketched.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n_class"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     )
     shape = classes.select("cid", "n", "bits")
-    blocks = checkpoint(_blocks(read, common, size, percent))
-
-    # Every member against the hub of its block: the member whose prefix shingles occur most in others'.
-    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1")]
-    one_each = blocks.groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("hub"), *members).groupBy("m", "x0", "x1").agg(F.min(F.struct("token", "hub")).alias("x"))
-    families = checkpoint(blocks.join(one_each.select("x.token", "x.hub"), "token").where("cid <> hub").select("hub", "cid").distinct())
-    stars = families.select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    rows = read.mapInArrow(_prefixes(size, percent, common), "token long, late boolean, cid long")
+    rows = rows.withColumn("_salt", F.when(F.col("late"), F.pmod("cid", F.lit(SALTS)))).repartition("token", "_salt").sortWithinPartitions("token", "_salt", "cid")
+    blocks = checkpoint(rows.select("token", "late", "cid").mapInArrow(_blocks(LEAF), "token long, large boolean, members array<long>"))
+
+    # Small blocks: a tree for each list of members.
+    lists = blocks.where("not large").select(F.xxhash64("members").alias("root"), "members").groupBy("root").agg(F.first("members").alias("members"))
+    trees = checkpoint(lists.select("root", F.explode("members").alias("cid")))
+    dealt = trees.join(shape, "cid").repartition("root").sortWithinPartitions("root").select("root", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "cid", "n", "bits")
+    near = checkpoint(dealt.mapInArrow(_traverse(percent), "root long, a long, b long"))
+
+    # Large blocks: every member against the routing class, the one that most large blocks have.
+    large = _large_blocks(blocks)
+    often = large.groupBy("cid").agg(F.count("*").alias("w"))
+    routing = large.join(_small(often), "cid").groupBy("root").agg(F.max_by("cid", F.struct("w", "cid")).alias("a"))
+    stars = large.join(_small(routing), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
     a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    stars = checkpoint(stars.join(a, "a").join(b, "b").where(_similar_bitmaps(percent)).select("a", "b"))
-    linked = checkpoint(_verified(read, classes, stars, size, percent))
+    hubs = a.join(_small(routing.select("a").distinct()), "a", "left_semi")
+    stars = stars.join(b, "b").join(_small(hubs), "a").where(_similar_bitmaps(percent)).select("a", "b")
+    linked = checkpoint(_verified(read, classes, near.select("a", "b").unionByName(stars), size, percent))
     first = components(linked)
 
-    # A hub's family is all members of its blocks. Families in several components still are searched by trees.
-    member = families.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    mixed = member.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / CHUNK).alias("s")).where("c0 <> c1").select("hub", "s")
-    dealt = member.join(mixed, "hub").join(shape, "cid")
-    dealt = dealt.withColumn("salt", F.expr("pmod(xxhash64(cid, hub), s)")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-    dealt = dealt.select("hub", F.least("salt", "t").alias("p"), F.greatest("salt", "t").alias("q"), "salt", "cid", "comp", "n", "bits")
-    dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")
-    near = checkpoint(dealt.mapInArrow(_search(percent), "hub long, p long, q long, salt long, cid long, comp long"))
-    sets = _with_sets(read, classes, near, ("hub", "p", "q", "salt", "comp"), size).repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "salt", "cid")
+    # What is left: trees with a failed pair between components, and large blocks of several components.
+    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    failed = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("root").distinct()
+    again = trees.join(_small(failed), "root", "left_semi").join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
+    again = again.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "leaf": F.lit(0).cast("long")})
+    member = large.join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
+    searched = again.unionByName(_leaf_pairs(member, shape, percent)).join(shape, "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    left = checkpoint(searched.select(*_GROUP, "leaf", "comp", "cid", "n", "bits").mapInArrow(_between(percent, LONG), "root long, p long, q long, leaf long, comp long, cid long, b long"))
+    sets = _with_sets(read, classes, left.where("b is null"), (*_GROUP, "leaf", "comp"), size).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "leaf", "cid")
     more = sets.mapInArrow(_links(percent), "a long, b long")
-    roots = components(linked.unionByName(more))
+    more = more.unionByName(_verified(read, classes, left.where("b is not null").select(F.col("cid").alias("a"), "b"), size, percent))
+    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # The least doc_id of each component, back to every row.
     rooted = classes.select("cid", "least", "n_class").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

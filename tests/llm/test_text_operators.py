@@ -197,9 +197,10 @@ def _components(df):
     return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in df.collect())
 
 
-def test_components_with_hot_passages_and_edits(spark, monkeypatch):
-    """Small limits send blocks through every path: hot shingles, both orders, chunk pairs and trees."""
-    for name, value in {"HOT": 6, "CHUNK": 5, "SMALL_ROWS": 3}.items():
+@pytest.mark.parametrize("limits", [{}, {"HOT": 6, "LEAF": 5, "CHUNK": 2, "SMALL_ROWS": 3, "LONG": 300, "TAGS": 2}, {"HOT": 6, "LEAF": 3}])
+def test_components_with_hot_passages_and_edits(spark, monkeypatch, limits):
+    """Small limits send blocks through every path: late shingles, large blocks, leaf pairs, long sets, shuffled joins."""
+    for name, value in limits.items():
         monkeypatch.setattr(jaccard_tree, name, value)
     rng = np.random.default_rng(3)
     word = lambda: f"w{rng.integers(0, 5000)}"
@@ -226,6 +227,27 @@ def test_components_of_awkward_rows(spark):
     assert jaccard_tree.jaccard_components(empty(spark)).count() == 0
 
 
+def test_forest_spans_every_graph():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(2, 12))
+        i, j = rng.integers(0, n, (2, int(rng.integers(1, 14))))
+        i, j = i[i != j], j[i != j]
+        tree = jaccard_tree.forest(i, j, n)
+        parts = lambda e, n=n: sorted(map(sorted, _parts(n, e)))
+        assert parts(tree) == parts(list(zip(i.tolist(), j.tolist(), strict=True))) and len(tree) == n - len(parts(tree))
+
+
+def _parts(n, edges):
+    groups = [{k} for k in range(n)]
+    for a, b in edges:
+        x, y = next(g for g in groups if a in g), next(g for g in groups if b in g)
+        if x is not y:
+            x |= y
+            groups.remove(y)
+    return groups
+
+
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(4)
     sets = []
