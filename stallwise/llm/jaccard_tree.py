@@ -362,14 +362,15 @@ def forest(i: np.ndarray, j: np.ndarray, members: int) -> list[tuple[int, int]]:
 
 
 def _traverse(percent: int):
-    """(root, a, b): a spanning forest of the possible pairs of each tree."""
+    """(root, a, b, more): a spanning forest of the possible pairs of each tree, and whether there are other pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for g in _groups(batches):
             i, j = tree_pairs(g["n"], list(g["bits"]), g["cid"], np.full(len(g["n"]), 2), percent)
             if len(i):
-                out += [(int(g["root"][0]), int(g["cid"][x]), int(g["cid"][y])) for x, y in forest(i, j, len(g["n"]))]
+                tree = forest(i, j, len(g["n"]))
+                out += [(int(g["root"][0]), int(g["cid"][x]), int(g["cid"][y]), len(tree) < len(i)) for x, y in tree]
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -380,7 +381,8 @@ def _traverse(percent: int):
 
 
 def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["root", "a", "b"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["root", "a", "b", "more"])
 
 
 def _between(percent: int, longest: int):
@@ -637,7 +639,7 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     lists = blocks.where("not large").select(F.xxhash64("members").alias("root"), "members").groupBy("root").agg(F.first("members").alias("members"))
     trees = checkpoint(lists.select("root", F.explode("members").alias("cid")))
     dealt = trees.join(shape, "cid").repartition("root").sortWithinPartitions("root").select("root", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "cid", "n", "bits")
-    near = checkpoint(dealt.mapInArrow(_traverse(percent), "root long, a long, b long"))
+    near = checkpoint(dealt.mapInArrow(_traverse(percent), "root long, a long, b long, more boolean"))
 
     # Large blocks: every member against the routing class, the one that most large blocks have.
     large = _large_blocks(blocks)
@@ -653,7 +655,8 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     # What is left: trees with a failed pair between components, and large blocks of several components.
     of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    failed = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("root").distinct()
+    failed = near.where("more").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("root").distinct()
+    failed = checkpoint(failed)
     again = trees.join(_small(failed), "root", "left_semi").join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
     again = again.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "leaf": F.lit(0).cast("long")})
     member = large.join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
