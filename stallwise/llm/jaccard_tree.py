@@ -12,13 +12,14 @@ A block of up to ``LEAF`` classes is one signature tree: leaves are classes, inn
 bitmaps, size ranges and least bit counts, and a dual traversal of the tree with itself drops node pairs whose largest
 possible overlap is too small. A bitmap has as many bits as its set has members or up to twice as many, so it stays
 selective, and folds in half to meet a smaller one. Blocks of the same members are one tree. The pairs that the traversal leaves
-form a graph, of which a spanning forest is checked against whole shingle sets. Trees in which a pair of the forest
-failed, and some that the traversal left are still in different components, are traversed once more for those pairs alone.
+form a graph, of which a spanning forest is kept; the forests of all trees join classes to *families*, beyond which no tree
+has a possible pair. A family's sets are shipped once and checked where its own tree leaves a pair.
 
-A block of more classes is first compared with its routing class, the one that most large blocks have, which is linear
-in the block and joins most near copies. If several components are left, its classes are laid out in order of
-(outside of the largest component, size) in leaves of about ``LEAF``; pairs of leaves are dropped by size range and
-component range, and the trees of each remaining pair are traversed against each other.
+A block of more classes is first compared, by bitmaps, with its routing class, the one that most large blocks have, which is
+linear in the block and puts most near copies into one family. A family of more than ``LEAF`` classes is checked in leaves
+of neighbours by size, and against its routing class. If a large block or family is in several components still, its classes are
+laid out in order of (outside of the largest component, size) in leaves of about ``LEAF``; pairs of leaves are dropped by
+size range and component range, and the trees of each remaining pair are traversed against each other.
 
 Every link is checked against whole shingle sets; nothing is capped or sampled. Shingles and sets are compared by 64-bit hashes.
 """
@@ -362,15 +363,14 @@ def forest(i: np.ndarray, j: np.ndarray, members: int) -> list[tuple[int, int]]:
 
 
 def _traverse(percent: int):
-    """(root, a, b, more): a spanning forest of the possible pairs of each tree, and whether there are other pairs."""
+    """(a, b): a spanning forest of the possible pairs of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for g in _groups(batches):
             i, j = tree_pairs(g["n"], list(g["bits"]), g["cid"], np.full(len(g["n"]), 2), percent)
             if len(i):
-                tree = forest(i, j, len(g["n"]))
-                out += [(int(g["root"][0]), int(g["cid"][x]), int(g["cid"][y]), len(tree) < len(i)) for x, y in tree]
+                out += [(int(g["cid"][x]), int(g["cid"][y])) for x, y in forest(i, j, len(g["n"]))]
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -381,8 +381,7 @@ def _traverse(percent: int):
 
 
 def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["root", "a", "b", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
 
 
 def _between(percent: int, longest: int):
@@ -554,21 +553,35 @@ def _large_blocks(blocks: DataFrame) -> DataFrame:
     return checkpoint(large.join(_small(one_each.select("token")), "token").select(F.col("token").alias("root"), "cid"))
 
 
-def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Rows (root, p, q, leaf, cid, comp) of the leaves of large blocks that may hold links between components.
+def _stars(member: DataFrame, weights: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member (root, cid) that may be similar to the routing class of its root, the one of most weight."""
+    weights = checkpoint(weights)
+    heavy = member.join(_small(weights), "cid", "left").groupBy("root").agg(F.max_by("cid", F.struct(F.coalesce("w", F.lit(0)), "cid")).alias("a"))
+    heavy = checkpoint(heavy)
+    pairs = checkpoint(member.join(_small(heavy), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    hubs = a.join(_small(heavy.select("a").distinct()), "a", "left_semi")
+    return pairs.join(b, "b").join(_small(checkpoint(hubs), F.size("bits_a")), "a").where(_similar_bitmaps(percent)).select("a", "b")
+
+
+def _laid_out(mine: DataFrame) -> DataFrame:
+    """``mine`` (root, cid, out, n and more) with ``leaf``: neighbours in the order of (out, n), about ``LEAF`` a leaf.
 
-    A leaf's members are neighbours in the order of (outside of the block's largest component, size), by a histogram of
-    sizes and a hash within a size. Leaf pairs (p, q) are kept where sizes fit and components differ.
+    The order is by a histogram of sizes and, within a size, by a hash.
     """
-    shares = member.groupBy("root", "comp").agg(F.count("*").alias("k"))
-    mixed = shares.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("root", "main")
-    mine = member.join(_small(mixed), "root").join(shape.select("cid", "n"), "cid").select("root", "cid", "comp", (F.col("comp") != F.col("main")).alias("out"), "n")
     mine = checkpoint(mine)
     sizes = mine.groupBy("root", "out", "n").agg(F.count("*").alias("k"))
     before = Window.partitionBy("root").orderBy("out", "n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("root", "out", "n", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
-    placed = mine.join(_small(sizes), ["root", "out", "n"]).withColumn("leaf", F.expr(f"(k0 + pmod(xxhash64(cid, root), k)) div {LEAF}"))
-    placed = checkpoint(placed.select("root", "leaf", "cid", "comp", "n"))
+    sizes = checkpoint(sizes.select("root", "out", "n", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0")))
+    return mine.join(_small(sizes), ["root", "out", "n"]).withColumn("leaf", F.expr(f"(k0 + pmod(xxhash64(cid, root), k)) div {LEAF}")).drop("k", "k0")
+
+
+def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Rows (root, cid, comp, p, q, leaf) of the leaves (p, q) that may hold links between components of a root's members."""
+    shares = member.groupBy("root", "comp").agg(F.count("*").alias("k"))
+    mixed = checkpoint(shares.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("root", "main"))
+    mine = member.join(_small(mixed), "root").join(shape.select("cid", "n"), "cid").select("root", "cid", "comp", (F.col("comp") != F.col("main")).alias("out"), "n")
+    placed = checkpoint(_laid_out(mine))
     nodes = placed.groupBy("root", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     p, q = (nodes.select("root", *[F.col(c).alias(f"{x}_{c}") for c in nodes.columns[1:]]) for x in "pq")
     fits = f"p_leaf <= q_leaf and 100L * p_high >= {percent}L * q_low and 100L * q_high >= {percent}L * p_low and not (p_c0 = p_c1 and q_c0 = q_c1 and p_c0 = q_c0)"
@@ -577,6 +590,16 @@ def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     return placed.join(_small(visits), ["root", "leaf"]).select("root", "cid", "comp", "p", "q", "leaf")
 
 
+def _searched(docs: DataFrame, classes: DataFrame, member: DataFrame, shape: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components (root, p, q, leaf, cid, comp) of each leaf, or pair of leaves p < q."""
+    dealt = member.join(shape, "cid").select(*_GROUP, "leaf", "comp", "cid", "n", "bits").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    left = checkpoint(dealt.mapInArrow(_between(percent, LONG), "root long, p long, q long, leaf long, comp long, cid long, b long"))
+    sets = _with_sets(docs, classes, left.where("b is null"), (*_GROUP, "leaf", "comp"), size).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "leaf", "cid")
+    links = sets.mapInArrow(_links(percent), "a long, b long")
+    long = left.where("b is not null").select(F.col("cid").alias("a"), "b")
+    return links if long.isEmpty() else links.unionByName(_verified(docs, classes, long, size, percent))
+
+
 def _similar_bitmaps(percent: int) -> str:
     """Whether classes a and b may be similar, by their sizes and bitmaps, the longer of which is folded."""
     lost = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
@@ -639,33 +662,33 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     lists = blocks.where("not large").select(F.xxhash64("members").alias("root"), "members").groupBy("root").agg(F.first("members").alias("members"))
     trees = checkpoint(lists.select("root", F.explode("members").alias("cid")))
     dealt = trees.join(shape, "cid").repartition("root").sortWithinPartitions("root").select("root", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "cid", "n", "bits")
-    near = checkpoint(dealt.mapInArrow(_traverse(percent), "root long, a long, b long, more boolean"))
-
+    near = checkpoint(dealt.mapInArrow(_traverse(percent), "a long, b long").distinct())
     # Large blocks: every member against the routing class, the one that most large blocks have.
     large = _large_blocks(blocks)
-    often = large.groupBy("cid").agg(F.count("*").alias("w"))
-    routing = large.join(_small(often), "cid").groupBy("root").agg(F.max_by("cid", F.struct("w", "cid")).alias("a"))
-    stars = large.join(_small(routing), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    hubs = a.join(_small(routing.select("a").distinct()), "a", "left_semi")
-    stars = stars.join(b, "b").join(_small(hubs), "a").where(_similar_bitmaps(percent)).select("a", "b")
-    linked = checkpoint(_verified(read, classes, near.select("a", "b").unionByName(stars), size, percent))
-    first = components(linked)
-
-    # What is left: trees with a failed pair between components, and large blocks of several components.
-    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    failed = near.where("more").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("root").distinct()
-    failed = checkpoint(failed)
-    again = trees.join(_small(failed), "root", "left_semi").join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
-    again = again.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "leaf": F.lit(0).cast("long")})
-    member = large.join(of("cid"), "cid", "left").select("root", "cid", F.coalesce("root_cid", "cid").alias("comp"))
-    searched = again.unionByName(_leaf_pairs(member, shape, percent)).join(shape, "cid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    left = checkpoint(searched.select(*_GROUP, "leaf", "comp", "cid", "n", "bits").mapInArrow(_between(percent, LONG), "root long, p long, q long, leaf long, comp long, cid long, b long"))
-    sets = _with_sets(read, classes, left.where("b is null"), (*_GROUP, "leaf", "comp"), size).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "leaf", "cid")
-    more = sets.mapInArrow(_links(percent), "a long, b long")
-    more = more.unionByName(_verified(read, classes, left.where("b is not null").select(F.col("cid").alias("a"), "b"), size, percent))
-    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    if not large.isEmpty():
+        near = checkpoint(near.unionByName(_stars(large, large.groupBy("cid").agg(F.count("*").alias("w")), shape, percent)))
+
+    # Families: whole sets are compared in leaves, and in families of several leaves with the routing class too.
+    families = components(near)
+    families = checkpoint(families.select("root", F.col("node").alias("cid")).unionByName(families.select("root", F.col("root").alias("cid")).distinct()))
+    many = checkpoint(families.groupBy("root").agg(F.count("*").alias("k")).where(f"k > {LEAF}").select("root"))
+    wide = families.join(_small(many), "root", "left_semi")
+    leaves = families.join(_small(many), "root", "left_anti").select("root", "cid", F.lit(0).cast("long").alias("leaf"))
+    if not many.isEmpty():
+        leaves = leaves.unionByName(_laid_out(wide.join(shape.select("cid", "n"), "cid").select("root", "cid", F.lit(False).alias("out"), "n")).select("root", "cid", "leaf"))
+    own = leaves.select("root", "cid", F.col("cid").alias("comp"), F.col("leaf").alias("p"), F.col("leaf").alias("q"), "leaf")
+    linked = checkpoint(_searched(read, classes, own, shape, size, percent))
+    if not many.isEmpty():
+        often = near.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("w"))
+        linked = checkpoint(linked.unionByName(_verified(read, classes, _stars(wide, often, shape, percent), size, percent)))
+    roots = components(linked)
+
+    # What is left: large blocks and families of several components.
+    if not (many.isEmpty() and large.isEmpty()):
+        of = roots.select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+        member = checkpoint(large.unionByName(wide).join(of, "cid", "left").select("root", "cid", F.coalesce("comp", "cid").alias("comp")))
+        more = _searched(read, classes, _leaf_pairs(member, shape, percent), shape, size, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # The least doc_id of each component, back to every row.
     rooted = classes.select("cid", "least", "n_class").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
