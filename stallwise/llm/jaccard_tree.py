@@ -546,22 +546,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _large_blocks(blocks: DataFrame) -> DataFrame:
-    """(root, cid) of the large blocks, those of the same members once."""
+    """(root, cid) of the large blocks, joined where they have the same routing class, which is the root.
+
+    A block's routing class is the one of its members that most large blocks have.
+    """
     large = checkpoint(blocks.where("large").select("token", F.explode("members").alias("cid")))
+    if large.isEmpty():
+        return large.select(F.col("token").alias("root"), "cid")
     same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1")]
-    one_each = large.groupBy("token").agg(*same).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token"))
-    return checkpoint(large.join(_small(one_each.select("token")), "token").select(F.col("token").alias("root"), "cid"))
+    one_each = checkpoint(large.groupBy("token").agg(*same).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token"))
+    large = checkpoint(large.join(_small(one_each), "token"))
+    routing = _routing(large.withColumnRenamed("token", "root"), large.groupBy("cid").agg(F.count("*").alias("w"))).withColumnsRenamed({"root": "token", "a": "root"})
+    return checkpoint(large.join(_small(routing), "token").select("root", "cid").distinct())
+
+
+def _routing(member: DataFrame, weights: DataFrame) -> DataFrame:
+    """(root, a): of the members (root, cid) of each root the one of most weight."""
+    weighed = member.join(_small(checkpoint(weights)), "cid", "left")
+    return checkpoint(weighed.groupBy("root").agg(F.max_by("cid", F.struct(F.coalesce("w", F.lit(0)), "cid")).alias("a")))
 
 
-def _stars(member: DataFrame, weights: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each member (root, cid) that may be similar to the routing class of its root, the one of most weight."""
-    weights = checkpoint(weights)
-    heavy = member.join(_small(weights), "cid", "left").groupBy("root").agg(F.max_by("cid", F.struct(F.coalesce("w", F.lit(0)), "cid")).alias("a"))
-    heavy = checkpoint(heavy)
-    pairs = checkpoint(member.join(_small(heavy), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+def _stars(member: DataFrame, routing: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member (root, cid) that may be similar to the routing class (root, a) of its root."""
+    pairs = checkpoint(member.join(_small(routing), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    hubs = a.join(_small(heavy.select("a").distinct()), "a", "left_semi")
-    return pairs.join(b, "b").join(_small(checkpoint(hubs), F.size("bits_a")), "a").where(_similar_bitmaps(percent)).select("a", "b")
+    hubs = checkpoint(a.join(_small(routing.select("a").distinct()), "a", "left_semi"))
+    return pairs.join(b, "b").join(_small(hubs, F.size("bits_a")), "a").where(_similar_bitmaps(percent)).select("a", "b")
 
 
 def _laid_out(mine: DataFrame) -> DataFrame:
@@ -663,10 +673,10 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     trees = checkpoint(lists.select("root", F.explode("members").alias("cid")))
     dealt = trees.join(shape, "cid").repartition("root").sortWithinPartitions("root").select("root", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "cid", "n", "bits")
     near = checkpoint(dealt.mapInArrow(_traverse(percent), "a long, b long").distinct())
-    # Large blocks: every member against the routing class, the one that most large blocks have.
+    # Large blocks: every member against the routing class.
     large = _large_blocks(blocks)
     if not large.isEmpty():
-        near = checkpoint(near.unionByName(_stars(large, large.groupBy("cid").agg(F.count("*").alias("w")), shape, percent)))
+        near = checkpoint(near.unionByName(_stars(large, checkpoint(large.select("root", F.col("root").alias("a")).distinct()), shape, percent)))
 
     # Families: whole sets are compared in leaves, and in families of several leaves with the routing class too.
     families = components(near)
@@ -680,7 +690,7 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     linked = checkpoint(_searched(read, classes, own, shape, size, percent))
     if not many.isEmpty():
         often = near.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("w"))
-        linked = checkpoint(linked.unionByName(_verified(read, classes, _stars(wide, often, shape, percent), size, percent)))
+        linked = checkpoint(linked.unionByName(_verified(read, classes, _stars(wide, _routing(wide, often), shape, percent), size, percent)))
     roots = components(linked)
 
     # What is left: large blocks and families of several components.
