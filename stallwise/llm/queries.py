@@ -72,8 +72,8 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 5)
-    model, counts = brown.fit(docs, fold != 1)
-    return brown.score(docs, model, counts).select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, words = brown.fit(docs, fold != 1)
+    return brown.score(docs, model, words).select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -375,10 +375,52 @@ def test_brown_scores(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_brown_is_a_distribution_and_classes_rare_words(spark):
+    """After any word, all words, one unseen word of each class and the end have a probability of about 1 in all."""
+    rng = np.random.default_rng(2)
+    noun = lambda k: f"n{k}ooo" if k % 10 else f"n{k}iii"
+    verb = lambda k: f"v{k}iii" if k % 10 else f"v{k}ooo"
+    rows = [" ".join(f"the {noun(rng.integers(0, 150))}" if x else f"runs {verb(rng.integers(0, 150))}" for x in rng.integers(0, 2, 40)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    model, words = brown.fit(docs, F.lit(True), classes=5, seeds=2, endings=8, held=50)
+    table = {r["h"]: (r["n"], r["class"]) for r in words.collect()}
+    seen = Counter(w for t in rows for w in t.split())
+    assert {brown.word_hash(w.encode()): n for w, n in seen.items()} == {h: n for h, (n, _) in table.items() if h != brown.END_HASH}
+    of = {w: table[brown.word_hash(w.encode())][1] for w in seen}
+    nouns, verbs = Counter(of[w] for w in seen if w[0] == "n"), Counter(of[w] for w in seen if w[0] == "v")
+    assert nouns.most_common(1)[0][0] != verbs.most_common(1)[0][0] and min(max(nouns.values()) / sum(nouns.values()), max(verbs.values()) / sum(verbs.values())) > 0.9
+    size = [sum(n for n, c in table.values() if c == k) + 0.5 * (sum(c == k for _, c in table.values()) + 1) for k in range(4)]
+    for h in range(5):
+        p = 10.0 ** model.transition[h]
+        assert p.sum() == pytest.approx(1) and all(sum(n + 0.5 for n, c in table.values() if c == k) + 0.5 == pytest.approx(size[k]) for k in range(4))
+    probe = spark.createDataFrame([(0, "the n900iii"), (1, "the " + next(w for w in seen if w[0] == "n"))], "doc_id long, text string")
+    for r, text in zip(sorted(brown.score(probe, model, words).collect(), key=lambda r: r["doc_id"]), [x["text"] for x in probe.collect()], strict=True):
+        want, before = 0.0, 4
+        for w in text.split():
+            h = brown.word_hash(w.encode())
+            by_ending = int(model.ends[brown.ending(w.encode(), 8)])
+            n, c = table.get(h, (0, by_ending))
+            want += model.transition[before, c] + np.log10(n + 0.5) - np.log10(size[c])
+            before = model.seeds.get(h, by_ending)
+        assert r["score"] == pytest.approx(want + model.transition[before, 4])
+
+
+def test_most_frequent_words_by_histogram(spark):
+    rng = np.random.default_rng(5)
+    n = np.r_[rng.integers(1, 4, 3000), rng.integers(4, 5000, 200)]
+    h = rng.integers(-(1 << 63), 1 << 63, len(n))
+    counts = spark.createDataFrame(list(zip(h.tolist(), n.tolist(), strict=True)), "h long, n long")
+    for k in (1, 50, 200, 1500, 5000):
+        got = brown.most_frequent(counts, k)
+        assert 0.8 * min(k, len(n)) - 1 <= len(got) <= k and got[-1]["n"] >= np.sort(n)[::-1][min(k, len(n)) - 1] * 0.98
+    assert brown.most_frequent(counts.limit(0), 5) == []
+
+
 def test_brown_of_awkward_rows(spark):
     for d in (awkward(spark), empty(spark)):
-        model, counts = brown.fit(d, F.lit(True))
-        scored = brown.score(d, model, counts, keep=("doc_id", "size"))
+        model, words = brown.fit(d, F.lit(True))
+        scored = brown.score(d.withColumn("base", F.lit("b")), model, words, keep=("doc_id", "size", "score", "n", "base"))
+        assert scored.columns == ["doc_id", "size", "n", "base", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         rows = scored.collect()
         assert len(rows) == d.count() and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
 
