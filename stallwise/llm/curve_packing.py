@@ -12,10 +12,10 @@ import os
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from stallwise.session import checkpoint, ship_package
 DIMS, BITS, HASHED = 3, 10, 64
 #: Distinct chunks of text whose ids a Python worker remembers; beyond it the memory is emptied.
 REMEMBERED = 600_000
+#: Bits of a cell of the curve, least bytes of ids in a range, and most ranges.
+CELL_BITS, RANGE_BYTES, MOST_RANGES = 14, 8 << 20, 20_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -62,10 +64,12 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 class _Tokens:
     """A tokenizer with a memory of chunks between spaces, as two little-endian bytes an id.
 
-    Its normalizer and its splitter never look across a space or a line feed, so the ids of a text are those
-    of its chunks in order. One lives in each Python worker.
+    Its normalizer and its splitter must never look across a space or a line feed, so that the ids of a text are those
+    of its chunks in order; a tokenizer that gives other ids for ``PROBES`` is refused. One lives in each Python worker.
     """
 
+    PROBES = ("a b", " a  b\nc ", "The cat's 12 345.67 (x) ... \n\n\tend", "\u00e9 e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\u200d x", "a\u00a0b\r\nc ---- ## 1 2 3")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -75,6 +79,9 @@ class _Tokens:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than two bytes")
         self.known: dict[str, bytes] = {}
+        whole = [np.array(self.model.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in self.PROBES]
+        if whole != self(list(self.PROBES)):
+            raise ValueError(f"{path} does not encode words apart from each other")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -174,27 +181,27 @@ def cut(sizes: Iterator[tuple[object, int]], length: int) -> Iterator[tuple[obje
 
 def _pack(length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, np.ndarray]] = {}
 
-        def documents() -> Iterator[tuple[int, int]]:
+        def documents() -> Iterator[tuple[int, int, int]]:
             row = 0
             for batch in batches:
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                for part, doc, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                     held[row] = (doc, np.frombuffer(ids.as_buffer(), "<u2").astype("<u4"))
-                    yield row, len(held[row][1])
+                    yield part, row, len(held[row][1])
                     row += 1
 
         out: list[tuple] = []
-        for row, start, n, sequence, offset in cut(documents(), length):
-            doc, ids = held[row]
-            piece = ids[start : start + n]
-            out.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), base + sequence, offset, *([piece.tobytes()] if keep_ids else [])))
-            if start + n == len(ids):
-                del held[row]
-            if len(out) >= (512 if keep_ids else 8192):
-                yield _batch(out)
-                out = []
+        for part, rows in groupby(documents(), key=lambda x: x[0]):
+            for row, start, n, sequence, offset in cut(((r, k) for _, r, k in rows), length):
+                doc, ids = held[row]
+                piece = ids[start : start + n]
+                out.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), (part << 40) + sequence, offset, *([piece.tobytes()] if keep_ids else [])))
+                if start + n == len(ids):
+                    del held[row]
+                if len(out) >= (512 if keep_ids else 8192):
+                    yield _batch(out)
+                    out = []
         if out:
             yield _batch(out)
 
@@ -206,6 +213,28 @@ def _pack(length: int, keep_ids: bool):
     return run
 
 
+def _in_ranges(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """``keyed`` with ``part``, its range of the curve, and the number of ranges of about ``RANGE_BYTES`` of ids each.
+
+    Bounds come from a histogram of fixed size over cells of the curve. A cell that is heavier than a range is dealt out by hash.
+    """
+    cell = F.shiftright("curve_key", DIMS * BITS - CELL_BITS).cast("int")
+    cells = sorted(keyed.groupBy(cell.alias("cell")).agg(F.sum(F.length("ids")).alias("n")).collect())
+    most = max(RANGE_BYTES, sum(r["n"] for r in cells) // MOST_RANGES)
+    placed, part, room = [], -1, 0
+    for r in cells:
+        k = -(-r["n"] // most)
+        if k > 1 or r["n"] > room:
+            placed.append((r["cell"], part + 1, k))
+            part, room = part + k, most - r["n"] if k == 1 else 0
+        else:
+            placed.append((r["cell"], part, 1))
+            room -= r["n"]
+    plan = keyed.sparkSession.createDataFrame(placed, "cell int, first long, k long")
+    dealt = keyed.withColumn("cell", cell).join(F.broadcast(plan), "cell").withColumn("part", F.expr("first + pmod(tie, k)"))
+    return dealt.select("part", "curve_key", "tie", "doc_id", "ids"), max(1, part + 1)
+
+
 def pack_along_curve(
     docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, seed: int = 5, keep_ids: bool = True
 ) -> DataFrame:
@@ -216,12 +245,12 @@ def pack_along_curve(
 
     A null or empty text is its end id alone. Null and repeated doc_ids are packed row by row. Documents of
     equal keys (copies) are spread by a hash, so a key with a third of all rows still splits. An empty table
-    gives no pieces. Other columns of ``docs`` are not read.
+    gives no pieces. Other columns of ``docs`` are not read. Reruns give the same pieces.
     """
     ship_package(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     encoded = checkpoint(picked.mapInArrow(_encode(tokenizer, end, seed), "doc_id long, curve_key long, ids binary"))
-    order = ["curve_key", "_tie", "doc_id"]
-    laid = encoded.withColumn("_tie", F.xxhash64("doc_id", "ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid, parts = _in_ranges(encoded.withColumn("tie", F.xxhash64("doc_id", "ids")))
+    laid = laid.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "curve_key", "tie", "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
-    return laid.select("doc_id", "ids").mapInArrow(_pack(length, keep_ids), schema)
+    return laid.select("part", "doc_id", "ids").mapInArrow(_pack(length, keep_ids), schema)
