@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.session import ship_package
+from stallwise.session import checkpoint, ship_package
 
 LENGTHS = (4, 5, 6)
 TABLE_BITS = 18
+PART = 1 << 20
 SLOTS = len(LENGTHS) << TABLE_BITS
 #: Most labelled rows and features that a fit uses.
-MAX_ROWS, MAX_FEATURES = 12_000, 6_144
+MAX_ROWS, MAX_FEATURES = 12_000, 16_384
 
 _BLANK = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 
@@ -88,14 +89,25 @@ def _active(slots: np.ndarray):
 def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression over the present features, each worth its ratio; accelerated descent."""
     n, m = len(rows), len(ratios)
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    index = np.concatenate(rows) if n else np.empty(0, np.int32)
-    value = ratios.astype(np.float32)[index]
-    forward = lambda w, b: np.bincount(owner, value * w[index], n) + b
+    # Parts of about a million present features: only they have whole arrays of weights at a time.
+    size = np.array([len(r) for r in rows], np.int64)
+    edges = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + PART, PART)) if n else np.zeros(1, int)
+    parts = [(a, np.concatenate(rows[a:b]), size[a:b]) for a, b in zip(edges, [*edges[1:], n], strict=True) if b > a]
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        worth = ratios * w
+        out = np.zeros(n)
+        for a, index, sizes in parts:
+            out[a : a + len(sizes)] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), worth[index], len(sizes))
+        return out
+
+    def backward(rest: np.ndarray) -> np.ndarray:
+        return ratios * sum((np.bincount(index, np.repeat(rest[a : a + len(sizes)], sizes), m) for a, index, sizes in parts), np.zeros(m))
+
     probe = np.ones(m)
     top = 1.0
     for _ in range(20):
-        probe = np.bincount(index, value * np.bincount(owner, value * probe[index], n)[owner], m)
+        probe = backward(forward(probe))
         top = np.linalg.norm(probe) or 1.0
         probe = probe / top
     rate = 1.0 / (0.25 * (top + n) + penalty)
@@ -103,26 +115,36 @@ def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, pe
     for step in range(steps):
         ahead = step / (step + 3)
         w_, b_ = w + ahead * (w - pw), b + ahead * (b - pb)
-        wrong = 1 / (1 + np.exp(-np.clip(forward(w_, b_), -35, 35))) - labels
+        wrong = 1 / (1 + np.exp(-np.clip(forward(w_) + b_, -35, 35))) - labels
         pw, pb = w, b
-        w = w_ - rate * (np.bincount(index, value * wrong[owner], m) + penalty * w_)
+        slope = backward(wrong) + penalty * w_
+        w = w_ - rate * slope
         b = b_ - rate * wrong.sum()
+        if abs(wrong.sum()) + np.abs(slope).max(initial=0.0) < 1e-3:
+            break
     return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Fit on at most ``max_rows`` labelled rows, those whose doc_ids' hashes are least.
+    """Fit on at most ``max_rows`` labelled documents, those whose doc_ids' hashes are least, with ``max_features`` n-grams.
 
-    ``usable`` restricts the labels by a condition on their doc_id. Null labels and null doc_ids are left out; of
-    several labels of one doc_id the highest holds. Without labels of both classes the model scores every
+    Both bound the driver's memory; scores are of whole texts of all rows. ``usable`` restricts the labels by a condition on
+    their doc_id. Null labels and null doc_ids are left out; of several labels of one doc_id the highest holds, of several
+    texts of one doc_id the one whose hash is least. Without labels of both classes the model scores every
     text by the share of toxic labels alone (0 without labels).
     """
     ship_package(docs.sparkSession)
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if usable is not None:
         picked = picked.where(usable)
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
+    picked = checkpoint(picked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")))
+    # A bound on the hash leaves little more than the rows wanted, so that no task hands on more than its share of them.
+    share = min(1.0, 1.1 * (max_rows + 100) / max(1, picked.count()))
+    if share < 1:
+        picked = picked.where(F.xxhash64("doc_id") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    sample = sample.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
     sample = sample.repartition(8).persist()
     try:
         size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
