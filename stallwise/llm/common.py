@@ -26,6 +26,16 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column of the table has it (regardless of case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def id_fold(col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % F.lit(folds), F.lit(0))

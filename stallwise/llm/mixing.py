@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stallwise.llm.common import word_count
+from stallwise.llm.common import unused, word_count
 from stallwise.session import checkpoint
 
 #: Rows of a hash bucket, on average, that a prefix sum sorts in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
+#: Least and most buckets of a pattern, as powers of two.
+LEAST_BUCKETS, MOST_BUCKETS = 6, 17
 SEED = 17
 
 
@@ -123,11 +125,17 @@ def route(capacities: Sequence[int], members: Sequence[Sequence[int]], quotas: S
 
 def _documents(docs: DataFrame, sources: Column, size: Column, seed: int) -> DataFrame:
     """Compact rows: pattern (sorted distinct members, null among them), size and seeded order."""
-    return docs.select("doc_id", size.alias("size"), sources.alias("pattern"), _row_order(seed).alias("_order"))
+    return docs.select("doc_id", size.alias("size"), sources.alias("pattern"), _row_order(seed, sources).alias("_order"))
 
 
-def _row_order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+def _row_order(seed: int, sources: Column) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), _pattern_key(sources))
+
+
+def _members(sources: Column | None) -> Column:
+    """The sorted distinct sources of a row; of a null array the null source."""
+    member = F.array(F.col("source")) if sources is None else sources
+    return F.coalesce(F.sort_array(F.array_distinct(member)), F.array(F.lit(None).cast("string")))
 
 
 def _pattern_key(pattern: Column) -> Column:
@@ -143,12 +151,15 @@ def mix_to_weights(docs: DataFrame, *args, **kwargs) -> DataFrame:
 def mixed_documents(docs: DataFrame, *args, **kwargs) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_to_weights`` uses it.
 
-    Rows that are equal in doc_id and text are one document here, repeated by the sum of their uses.
+    Rows that are equal in doc_id, text and sources are one document here, repeated by the sum of their uses; if they differ
+    in other columns, the one whose hash is least stands for them. Columns of any name are kept.
     """
-    seed = kwargs.get("seed", SEED)
-    uses = _mix(docs, *args, **kwargs).groupBy("_order").agg(F.sum("uses").alias("_uses")).where("_uses > 0")
-    keyed = docs.withColumn("_order", _row_order(seed)).dropDuplicates(["_order"])
-    return keyed.join(uses, "_order").withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select(*docs.columns)
+    order, used, use, row = unused(docs.columns, "_order", "_uses", "_use", "_row")
+    uses = _mix(docs, *args, **kwargs).groupBy(F.col("_order").alias(order)).agg(F.sum("uses").alias(used)).where(F.col(used) > 0)
+    key = _row_order(kwargs.get("seed", SEED), _members(args[0] if args else kwargs.get("sources")))
+    keyed = docs.select(key.alias(order), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).groupBy(order).agg(F.min_by(row, F.xxhash64(row)).alias(row))
+    again = keyed.join(uses, order).withColumn(use, F.explode(F.sequence(F.lit(1).cast("long"), F.col(used))))
+    return again.select(f"{row}.*")
 
 
 def _mix(
@@ -174,11 +185,10 @@ def _mix(
     mean by less than one, and from run to run they are the same.
 
     A null source is a source of its own, last; a null or empty text has size 0 and is never used; an
-    empty array belongs to no source and is not used. Repeated rows are counted and used row by row.
+    empty array belongs to no source and is not used. Repeated rows are counted and used row by row. An empty table gives
+    no rows. Columns other than doc_id, text and those that ``sources`` and ``size`` name are not read.
     """
-    member = F.array(F.col("source")) if sources is None else sources
-    member = F.sort_array(F.array_distinct(member))
-    rows = checkpoint(_documents(docs, F.coalesce(member, F.array(F.lit(None).cast("string"))), size if size is not None else word_count(F.col("text")), seed))
+    rows = checkpoint(_documents(docs, _members(sources), size if size is not None else word_count(F.col("text")), seed))
     spark = docs.sparkSession
 
     patterns = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
@@ -198,7 +208,7 @@ def _mix(
     flow = route([n for _, n, _ in patterns], [[at[x] for x in p] for p, _, _ in patterns], [round(t) for t in targets], repeats)
 
     count = sum(n for _, _, n in patterns)
-    buckets = 1 << max(4, (max(1, count // BUCKET_ROWS) - 1).bit_length())
+    buckets = 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, (max(1, count // BUCKET_ROWS) - 1).bit_length()))
     plan = spark.createDataFrame(
         [
             (list(p), sum(f.values()), held[at[p[0]]] if p else 0, float(targets[at[p[0]]]) if p else 0.0, n, [(names[j], f[j]) for j in sorted(f)])

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.common import text_or_empty
+from stallwise.llm.common import text_or_empty, unused
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -210,10 +210,10 @@ def posterior(estimate: tuple[float, list[dict[int, tuple[float, float]]]], vote
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_more``, the base spans and the candidates of each text."""
+def with_spans(docs: DataFrame, text: str = "text", base: str = "_base", more: str = "_more") -> DataFrame:
+    """``docs`` with ``base`` and ``more``, the base spans and the candidates of each text."""
     t = text_or_empty(F.col(text))
-    return docs.withColumn("_base", base_spans(t)).withColumn("_more", candidate_spans(t, F.col("_base")))
+    return docs.withColumn(base, base_spans(t)).withColumn(more, candidate_spans(t, F.col(base)))
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
@@ -261,15 +261,16 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text", threshold: float
 
     Both are sorted by kind as in ``KINDS`` and then by begin; ``spans`` has the base ones and the candidates
     whose probability reaches ``threshold``. A null or empty text has none; repeated rows get equal spans.
-    Columns of ``docs`` with these two names are replaced.
+    Columns of ``docs`` with these two names are replaced; others of any name stay.
     """
     rank = lambda x: sum((F.when(x["kind"] == k, F.lit(i)).otherwise(F.lit(0)) for i, k in enumerate(KINDS)), F.lit(0))
     slim = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["begin"].alias("begin"), x["end"].alias("end")))
     keyed = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(rank(x).alias("r"), x["begin"].alias("begin"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    sure = F.filter("_more", lambda x: classify(model, x) >= threshold)
-    found = with_spans(docs, text)
-    found = found.withColumn(base, slim(F.col("_base"))).withColumn(spans, slim(keyed(F.concat("_base", sure))))
-    return found.drop("_base", "_more")
+    _base, _more = unused([*docs.columns, base, spans], "_base", "_more")
+    sure = F.filter(_more, lambda x: classify(model, x) >= threshold)
+    found = with_spans(docs, text, _base, _more)
+    found = found.withColumn(base, slim(F.col(_base))).withColumn(spans, slim(keyed(F.concat(_base, sure))))
+    return found.drop(_base, _more)
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:

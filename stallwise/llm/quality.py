@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.common import text_or_empty, words
+from stallwise.llm.common import text_or_empty, unused, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -81,41 +81,42 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the metric columns of the threshold table beside its own.
 
     A null text counts as empty; ratios of nothing are 0. Columns of ``docs`` with a metric's name are
-    replaced.
+    replaced; others of any name stay.
     """
+    _w, _lines, _s, _p, _stops, _bangs, _uppers = unused(docs.columns, "_w", "_lines", "_s", "_p", "_stops", "_bangs", "_uppers")
     t = text_or_empty(F.col(text))
     n = F.col("n_words")
     per_word = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
     chars = F.char_length(t)
-    df = docs.withColumn("_w", words(F.col(text))).withColumn("_lines", lines)
-    df = df.withColumn("_s", repeated_window_words(F.col("_w")))
-    df = df.withColumn("_p", _covered(F.col("_s")))
+    df = docs.withColumn(_w, words(F.col(text))).withColumn(_lines, lines)
+    df = df.withColumn(_s, repeated_window_words(F.col(_w)))
+    df = df.withColumn(_p, _covered(F.col(_s)))
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
+            "n_words": F.size(_w).cast("long"),
             "word_chars": _without(t, " \t\n\x0b\x0c\r").cast("long"),
             "n_symbols": (chars - _without(t, SYMBOLS)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _span(F.col("_p")),
-            "_stops": F.size(F.filter("_w", lambda x: F.array_contains(stop, F.lower(x)))).cast("long"),
-            "_bangs": (chars - _without(t, "!")).cast("long"),
-            "_uppers": (chars - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long"),
+            "n_lines": F.size(_lines).cast("long"),
+            "n_dup_lines": (F.size(_lines) - F.size(F.array_distinct(_lines))).cast("long"),
+            "n_repeat_words": _span(F.col(_p)),
+            _stops: F.size(F.filter(_w, lambda x: F.array_contains(stop, F.lower(x)))).cast("long"),
+            _bangs: (chars - _without(t, "!")).cast("long"),
+            _uppers: (chars - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long"),
         }
     )
     return df.withColumns(
         {
             "repeat_ratio": per_word(F.col("n_repeat_words")),
             "symbol_ratio": per_word(F.col("n_symbols")),
-            "exclamation_ratio": per_word(F.col("_bangs")),
-            "stop_word_ratio": per_word(F.col("_stops")),
+            "exclamation_ratio": per_word(F.col(_bangs)),
+            "stop_word_ratio": per_word(F.col(_stops)),
             "mean_word_length": per_word(F.col("word_chars")),
-            "upper_ratio": F.when(F.col("word_chars") > 0, F.col("_uppers") / F.col("word_chars")).otherwise(F.lit(0.0)),
+            "upper_ratio": F.when(F.col("word_chars") > 0, F.col(_uppers) / F.col("word_chars")).otherwise(F.lit(0.0)),
             "dup_line_ratio": F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")).otherwise(F.lit(0.0)),
         }
-    ).drop("_w", "_lines", "_s", "_p", "_stops", "_bangs", "_uppers")
+    ).drop(_w, _lines, _s, _p, _stops, _bangs, _uppers)
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -136,7 +137,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     """``docs`` with metrics, ``failed_rules`` (array of names) and ``kept``.
 
     A row with a null or empty text has no words and so fails the length rule; repeated rows get equal
-    verdicts; an empty table gives an empty table.
+    verdicts; an empty table gives an empty table. Columns of ``docs`` with the name of a result are replaced.
     """
     df = quality_metrics(docs, text).withColumn("failed_rules", compile_rules(rules))
     return df.withColumn("kept", F.size("failed_rules") == 0)

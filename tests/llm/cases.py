@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, pattern string, spans string, n int, bits string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, pattern string, spans string, n int, bits string, _order string, _uses long, _w string, _base string, part string, row int"
 
 
 def awkward(spark: SparkSession) -> DataFrame:
@@ -16,7 +16,7 @@ def awkward(spark: SparkSession) -> DataFrame:
         (None, base + " x", None, "a"), (None, None, None, None), (6, long_text, "en", "c"), (7, "é\U0001f600 a@b.co 1.2.3.4 +1 234 567 8901", "fr", "c"),
         (8, "7" * 5000, "en", "c"), (9, "x" * 200_000, "en", "c"), (10, "one", "en", "a"), (11, "ONE", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, None, 1, 2.0, "p", "s", 3, "b") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None, 1, 2.0, "p", "s", 3, "b", "o", 4, "w", "e", "a", 5) for r in rows], SCHEMA)
 
 
 def empty(spark: SparkSession) -> DataFrame:

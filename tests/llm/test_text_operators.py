@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,33 @@ def test_route_is_cheapest_on_small_networks():
         assert (sum(used), -sum(cost(u, c) for u, c in zip(used, caps, strict=True))) == best
 
 
+def test_clashing_columns_and_rows_of_two_sources(spark):
+    own = ["_order", "_uses", "_w", "_base", "part", "row"]
+    for d in (mixing.mixed_documents(awkward(spark)), quality.quality_rules(awkward(spark)), pii.find_pii(awkward(spark), pii.fit(awkward(spark)))):
+        assert {tuple(r[c] for c in own) for r in d.select(*own).collect()} == {("o", 4, "w", "e", "a", 5)}
+    docs = spark.createDataFrame([(1, "a b", "x", "m"), (1, "a b", "y", "n"), (1, "a b", "y", "n")], "doc_id long, text string, source string, _row string")
+    mixed = mixing.mix_to_weights(docs)
+    uses = {r["s"]: r["u"] for r in mixed.groupBy(F.col("sources")[0].alias("s")).agg(F.sum("uses").alias("u")).collect()}
+    assert Counter((r["source"], r["_row"]) for r in mixing.mixed_documents(docs).collect()) == {("x", "m"): uses["x"], ("y", "n"): uses["y"]}
+
+
+def test_toxicity_bounds_the_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "bad words"), (3, "more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=3)
+    assert np.isfinite(model.bias) and toxicity.score(docs, model).count() == 302
+
+
+def test_packing_agrees_between_runs_and_splits_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(curve_packing, "RANGE_BYTES", 2_000)
+    texts = ["the same words in each of many copies " * 8] * 40 + [f"text {i} with {i * 7} other words " * (i % 9) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    runs = [sorted(tuple(r) for r in curve_packing.pack_along_curve(d, path, length=256).collect()) for d in (docs.repartition(3), docs.repartition(5, "text"))]
+    assert runs[0] == runs[1]
+    assert len({r[5] >> 40 for r in runs[0]}) > 6
+
+
 def test_mix_comes_near_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = queries.op1_mixing(spark, sf_dir).collect()
