@@ -491,6 +491,15 @@ def _compare(percent: int):
     return run
 
 
+def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpoint of a table of ids, in no more partitions than its counted rows fill.
+
+    One of a single partition is joined and grouped with others like it without a shuffle.
+    """
+    made = checkpoint(df)
+    return made.coalesce(max(1, -(-made.count() // rows)))
+
+
 def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """``df`` for a join's lesser side: broadcast where its counted rows, or their ``weight``, are few, else left to a shuffle."""
     size = df.agg(F.sum(F.lit(1) if weight is None else weight).alias("n")).first()["n"] or 0
@@ -502,11 +511,11 @@ def _with_sets(docs: DataFrame, classes: DataFrame, tagged: DataFrame, fields: t
 
     A class of very many tags has its text read several times, for up to about ``TAGS`` each.
     """
-    tagged = checkpoint(tagged.select("cid", *[F.col(f).cast("long").alias(f) for f in fields]))
+    tagged = settled(tagged.select("cid", *[F.col(f).cast("long").alias(f) for f in fields]))
     many = tagged.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(TAGS)).alias("_s")).where("_s > 1")
     tags = tagged.join(_small(many), "cid", "left").withColumn("_s", F.pmod(F.xxhash64(*fields), F.coalesce("_s", F.lit(1))))
     tags = tags.groupBy("cid", "_s").agg(F.collect_list(F.struct(*fields)).alias("tags"))
-    wanted = checkpoint(tags.join(classes, "cid").select("cid", "tags", "rep.tid", F.col("rep.doc_id").alias("rep_id")))
+    wanted = settled(tags.join(classes, "cid").select("cid", "tags", "rep.tid", F.col("rep.doc_id").alias("rep_id")))
     found = docs.join(_small(wanted, F.size("tags") + 1), "tid").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "cid", "tags")
     return found.mapInArrow(_ship(size, fields), ", ".join(f"{f} long" for f in fields) + ", cid long, members binary")
 
@@ -530,19 +539,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, with a checkpoint each, until no edge changes.
     """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen == state or not seen["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        turned = lambda *ends: F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends]))
+        both = now.select(turned(("a", "b"), ("b", "a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        small = large.join(least, "a").select(turned(("b", "m"), ("a", "m"))).where("a <> b")
+        now = settled(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def _large_blocks(blocks: DataFrame) -> DataFrame:
@@ -550,27 +560,27 @@ def _large_blocks(blocks: DataFrame) -> DataFrame:
 
     A block's routing class is the one of its members that most large blocks have.
     """
-    large = checkpoint(blocks.where("large").select("token", F.explode("members").alias("cid")))
+    large = settled(blocks.where("large").select("token", F.explode("members").alias("cid")))
     if large.isEmpty():
         return large.select(F.col("token").alias("root"), "cid")
     same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x1")]
-    one_each = checkpoint(large.groupBy("token").agg(*same).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token"))
-    large = checkpoint(large.join(_small(one_each), "token"))
+    one_each = settled(large.groupBy("token").agg(*same).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token"))
+    large = settled(large.join(_small(one_each), "token"))
     routing = _routing(large.withColumnRenamed("token", "root"), large.groupBy("cid").agg(F.count("*").alias("w"))).withColumnsRenamed({"root": "token", "a": "root"})
-    return checkpoint(large.join(_small(routing), "token").select("root", "cid").distinct())
+    return settled(large.join(_small(routing), "token").select("root", "cid").distinct())
 
 
 def _routing(member: DataFrame, weights: DataFrame) -> DataFrame:
     """(root, a): of the members (root, cid) of each root the one of most weight."""
-    weighed = member.join(_small(checkpoint(weights)), "cid", "left")
-    return checkpoint(weighed.groupBy("root").agg(F.max_by("cid", F.struct(F.coalesce("w", F.lit(0)), "cid")).alias("a")))
+    weighed = member.join(_small(settled(weights)), "cid", "left")
+    return settled(weighed.groupBy("root").agg(F.max_by("cid", F.struct(F.coalesce("w", F.lit(0)), "cid")).alias("a")))
 
 
 def _stars(member: DataFrame, routing: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member (root, cid) that may be similar to the routing class (root, a) of its root."""
-    pairs = checkpoint(member.join(_small(routing), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    pairs = settled(member.join(_small(routing), "root").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     a, b = (shape.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    hubs = checkpoint(a.join(_small(routing.select("a").distinct()), "a", "left_semi"))
+    hubs = settled(a.join(_small(routing.select("a").distinct()), "a", "left_semi"), 1000)
     return pairs.join(b, "b").join(_small(hubs, F.size("bits_a")), "a").where(_similar_bitmaps(percent)).select("a", "b")
 
 
@@ -579,23 +589,23 @@ def _laid_out(mine: DataFrame) -> DataFrame:
 
     The order is by a histogram of sizes and, within a size, by a hash.
     """
-    mine = checkpoint(mine)
+    mine = settled(mine)
     sizes = mine.groupBy("root", "out", "n").agg(F.count("*").alias("k"))
     before = Window.partitionBy("root").orderBy("out", "n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = checkpoint(sizes.select("root", "out", "n", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0")))
+    sizes = settled(sizes.select("root", "out", "n", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0")))
     return mine.join(_small(sizes), ["root", "out", "n"]).withColumn("leaf", F.expr(f"(k0 + pmod(xxhash64(cid, root), k)) div {LEAF}")).drop("k", "k0")
 
 
 def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """Rows (root, cid, comp, p, q, leaf) of the leaves (p, q) that may hold links between components of a root's members."""
     shares = member.groupBy("root", "comp").agg(F.count("*").alias("k"))
-    mixed = checkpoint(shares.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("root", "main"))
+    mixed = settled(shares.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("root", "main"))
     mine = member.join(_small(mixed), "root").join(shape.select("cid", "n"), "cid").select("root", "cid", "comp", (F.col("comp") != F.col("main")).alias("out"), "n")
-    placed = checkpoint(_laid_out(mine))
+    placed = settled(_laid_out(mine))
     nodes = placed.groupBy("root", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     p, q = (nodes.select("root", *[F.col(c).alias(f"{x}_{c}") for c in nodes.columns[1:]]) for x in "pq")
     fits = f"p_leaf <= q_leaf and 100L * p_high >= {percent}L * q_low and 100L * q_high >= {percent}L * p_low and not (p_c0 = p_c1 and q_c0 = q_c1 and p_c0 = q_c0)"
-    pairs = checkpoint(p.join(q, "root").where(fits).select("root", F.col("p_leaf").alias("p"), F.col("q_leaf").alias("q")))
+    pairs = settled(p.join(q, "root").where(fits).select("root", F.col("p_leaf").alias("p"), F.col("q_leaf").alias("q")))
     visits = pairs.select("root", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("leaf"))
     return placed.join(_small(visits), ["root", "leaf"]).select("root", "cid", "comp", "p", "q", "leaf")
 
@@ -603,7 +613,7 @@ def _leaf_pairs(member: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
 def _searched(docs: DataFrame, classes: DataFrame, member: DataFrame, shape: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components (root, p, q, leaf, cid, comp) of each leaf, or pair of leaves p < q."""
     dealt = member.join(shape, "cid").select(*_GROUP, "leaf", "comp", "cid", "n", "bits").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    left = checkpoint(dealt.mapInArrow(_between(percent, LONG), "root long, p long, q long, leaf long, comp long, cid long, b long"))
+    left = settled(dealt.mapInArrow(_between(percent, LONG), "root long, p long, q long, leaf long, comp long, cid long, b long"))
     sets = _with_sets(docs, classes, left.where("b is null"), (*_GROUP, "leaf", "comp"), size).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "leaf", "cid")
     links = sets.mapInArrow(_links(percent), "a long, b long")
     long = left.where("b is not null").select(F.col("cid").alias("a"), "b")
@@ -670,33 +680,33 @@ def _rooted(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
 
     # Small blocks: a tree for each list of members.
     lists = blocks.where("not large").select(F.xxhash64("members").alias("root"), "members").groupBy("root").agg(F.first("members").alias("members"))
-    trees = checkpoint(lists.select("root", F.explode("members").alias("cid")))
+    trees = settled(lists.select("root", F.explode("members").alias("cid")))
     dealt = trees.join(shape, "cid").repartition("root").sortWithinPartitions("root").select("root", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "cid", "n", "bits")
-    near = checkpoint(dealt.mapInArrow(_traverse(percent), "a long, b long").distinct())
+    near = settled(dealt.mapInArrow(_traverse(percent), "a long, b long").distinct())
     # Large blocks: every member against the routing class.
     large = _large_blocks(blocks)
     if not large.isEmpty():
-        near = checkpoint(near.unionByName(_stars(large, checkpoint(large.select("root", F.col("root").alias("a")).distinct()), shape, percent)))
+        near = settled(near.unionByName(_stars(large, settled(large.select("root", F.col("root").alias("a")).distinct()), shape, percent)))
 
     # Families: whole sets are compared in leaves, and in families of several leaves with the routing class too.
     families = components(near)
-    families = checkpoint(families.select("root", F.col("node").alias("cid")).unionByName(families.select("root", F.col("root").alias("cid")).distinct()))
-    many = checkpoint(families.groupBy("root").agg(F.count("*").alias("k")).where(f"k > {LEAF}").select("root"))
+    families = settled(families.select("root", F.col("node").alias("cid")).unionByName(families.select("root", F.col("root").alias("cid")).distinct()))
+    many = settled(families.groupBy("root").agg(F.count("*").alias("k")).where(f"k > {LEAF}").select("root"))
     wide = families.join(_small(many), "root", "left_semi")
     leaves = families.join(_small(many), "root", "left_anti").select("root", "cid", F.lit(0).cast("long").alias("leaf"))
     if not many.isEmpty():
         leaves = leaves.unionByName(_laid_out(wide.join(shape.select("cid", "n"), "cid").select("root", "cid", F.lit(False).alias("out"), "n")).select("root", "cid", "leaf"))
     own = leaves.select("root", "cid", F.col("cid").alias("comp"), F.col("leaf").alias("p"), F.col("leaf").alias("q"), "leaf")
-    linked = checkpoint(_searched(read, classes, own, shape, size, percent))
+    linked = settled(_searched(read, classes, own, shape, size, percent))
     if not many.isEmpty():
         often = near.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("w"))
-        linked = checkpoint(linked.unionByName(_verified(read, classes, _stars(wide, _routing(wide, often), shape, percent), size, percent)))
+        linked = settled(linked.unionByName(_verified(read, classes, _stars(wide, _routing(wide, often), shape, percent), size, percent)))
     roots = components(linked)
 
     # What is left: large blocks and families of several components.
     if not (many.isEmpty() and large.isEmpty()):
         of = roots.select(F.col("node").alias("cid"), F.col("root").alias("comp"))
-        member = checkpoint(large.unionByName(wide).join(of, "cid", "left").select("root", "cid", F.coalesce("comp", "cid").alias("comp")))
+        member = settled(large.unionByName(wide).join(of, "cid", "left").select("root", "cid", F.coalesce("comp", "cid").alias("comp")))
         more = _searched(read, classes, _leaf_pairs(member, shape, percent), shape, size, percent)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
