@@ -62,11 +62,18 @@ def hashed_embedding(text: Column, dims: int = 768) -> Column:
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dims)).alias("slot"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    add = lambda acc, h: F.transform(acc, lambda x, i: x + F.when(i == h["slot"], h["sign"]).otherwise(0.0))
+    # Arrays of one element bind what the lambda functions within read many times.
+    bind = lambda value, f: F.transform(F.array(value), f)[0]
 
-    def unit(acc: Column) -> Column:
-        norm = F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s, x: s + x * x))
-        alone = F.when(F.size(words) > 0, 1.0).otherwise(0.0)
-        return F.transform(acc, lambda x, i: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.when(i == 0, alone).otherwise(0.0)))
+    def sparse(h: Column) -> Column:
+        slots = F.array_distinct(F.transform(h, lambda x: x["slot"]))
+        of = lambda s: F.aggregate(F.filter(h, lambda x: x["slot"] == s), F.lit(0.0), lambda acc, x: acc + x["sign"])
+        return bind(slots, lambda at: F.struct(at.alias("at"), F.transform(at, of).alias("sums")))
 
-    return F.aggregate(hashed, F.array_repeat(F.lit(0.0), dims), add, unit)
+    def dense(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v["sums"], F.lit(0.0), lambda acc, x: acc + x * x))
+        value = lambda i: F.coalesce(F.get(v["sums"], F.array_position(v["at"], i).cast("int") - 1), F.lit(0.0))
+        alone = lambda i: F.when((i == 0) & (F.size(v["at"]) > 0), 1.0).otherwise(0.0)
+        return bind(norm, lambda n: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.when(n > 0, value(i) / n).otherwise(alone(i))))
+
+    return bind(hashed, lambda h: bind(sparse(h), dense))
