@@ -29,7 +29,8 @@ def price_difference(a: Column, b: Column) -> Column:
 
 
 def unaccent(text: Column) -> Column:
-    return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Letters of Western Europe without their accents, sharp s as two letters."""
+    return F.replace(F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"), F.lit("ß"), F.lit("ss"))
 
 
 def trigrams(text: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from stallwise.operators import ranking
 
 #: Least samples of a bucket by use, and the trimming and outlier rules; fixed values.
 MIN_SAMPLE, MODERATION_MIN_SAMPLE, AUTOFILL_MIN_SAMPLE, TRIM_MIN_SAMPLE, OUTLIER_RATIO = 8, 5, 5, 12, 0.3
@@ -114,5 +115,5 @@ def bucket_summary(stats: DataFrame) -> DataFrame:
 
 def running_rank(listings: DataFrame) -> DataFrame:
     """Each live priced listing's price rank in its category, cheapest first, ties by id."""
-    order = Window.partitionBy("category_slug").orderBy("price_etb", "id")
-    return listings.where((F.col("status") == "live") & F.col("price_etb").isNotNull()).select("id", "category_slug", F.row_number().over(order).alias("price_rank"))
+    live = listings.where((F.col("status") == "live") & F.col("price_etb").isNotNull()).select("id", "category_slug", "price_etb")
+    return ranking.numbered(live, "category_slug", ["price_etb", "id"], "price_rank").select("id", "category_slug", F.col("price_rank").cast("int").alias("price_rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stallwise.functions import similarity, text
-from stallwise.operators import browse, counters, dedup, holds, merge, messaging, moderation, price, search
+from stallwise.operators import browse, counters, dedup, holds, merge, messaging, moderation, price, ranking, search
 from stallwise.plans.market import Market, twin
 from stallwise.streaming import sessions
 
@@ -50,9 +50,9 @@ def _(m):
     return m.raw_messages.where("processed_at is null").orderBy("posted_at", "id").limit(40).select("id", "channel_id", "posted_at")
 
 
-@query("sc04_all_raw", "select id, channel_id, posted_at from raw_messages order by posted_at, id limit 200")
+@query("sc04_all_raw", "select id, channel_id, posted_at from raw_messages")
 def _(m):
-    return m.raw_messages.orderBy("posted_at", "id").limit(200).select("id", "channel_id", "posted_at")
+    return m.raw_messages.select("id", "channel_id", "posted_at")
 
 
 @query(
@@ -505,13 +505,15 @@ def _(m):
 
 @query("w06_running_high_water", "select id, max(message_id) over (partition by channel_id order by posted_at desc, id rows unbounded preceding) as high_water from raw_messages")
 def _(m):
-    return m.raw_messages.select("id", F.max("message_id").over(Window.partitionBy("channel_id").orderBy(F.desc("posted_at"), "id").rowsBetween(Window.unboundedPreceding, 0)).alias("high_water"))
+    rows = m.raw_messages.select("id", "channel_id", "posted_at", "message_id")
+    return ranking.running_max(rows, "channel_id", [F.desc("posted_at"), "id"], "message_id", "high_water").select("id", "high_water")
 
 
 @query("w07_batches", "select id, channel_id, floor((n - 1) / 20)::int as batch, ((n - 1) % 20 + 1)::int as position from (select id, channel_id, row_number() over (partition by channel_id order by posted_at, id) as n from raw_messages)")
 def _(m):
-    n = F.row_number().over(Window.partitionBy("channel_id").orderBy("posted_at", "id"))
-    return m.raw_messages.withColumn("n", n).select("id", "channel_id", F.floor((F.col("n") - 1) / 20).cast("int").alias("batch"), ((F.col("n") - 1) % 20 + 1).cast("int").alias("position"))
+    n = F.col("n") - 1
+    rows = ranking.numbered(m.raw_messages.select("id", "channel_id", "posted_at"), "channel_id", ["posted_at", "id"], "n")
+    return rows.select("id", "channel_id", F.floor(n / 20).cast("int").alias("batch"), (n % 20 + 1).cast("int").alias("position"))
 
 
 @query("t01_first_page", "select id, price_etb from listings where status = 'live' and price_etb is not null order by price_etb, id limit 25")

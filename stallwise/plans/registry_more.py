@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stallwise.functions import similarity, text
-from stallwise.operators import browse, counters, dedup, holds, messaging, moderation, nlparse, price, search
+from stallwise.operators import browse, counters, dedup, holds, messaging, moderation, nlparse, price, ranking, search
 from stallwise.plans.registry import _LADDER, _TERM, _stats, _termed, query
 from stallwise.sources import files
 from stallwise.streaming import sessions
@@ -50,10 +50,9 @@ def _(m):
     return _frame(m, _PHONES).select("i", text.strict_phone(F.col("s")).alias("phone"))
 
 
-@query("x04_handles", "select id, array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '(?:^|[^[:word:]@.])(@[a-zA-Z0-9_]{4,32})(?:$|[^[:word:].])', 1))), ',') as handles from raw_messages where not regexp_matches(raw_text, '[[:word:]]@|@[a-zA-Z0-9_]+\\.') and not regexp_matches(raw_text, '(?i)t(elegram)?\\.me/')")
+@query("x04_handles")
 def _(m):
-    plain = m.raw_messages.where(~F.col("raw_text").rlike(r"[0-9A-Za-z_]@|@[a-zA-Z0-9_]+\.") & ~F.col("raw_text").rlike(r"(?i)t(elegram)?\.me/"))
-    return plain.select("id", F.array_join(text.handles(F.col("raw_text")), ",").alias("handles"))
+    return m.raw_messages.select("id", F.array_join(text.handles(F.col("raw_text")), ",").alias("handles"))
 
 
 @query("x05_price_value", "select l_orderkey, l_linenumber, l_quantity, case when round_even(l_quantity * 1000, 0) between 50 and 150000000 then round_even(l_quantity * 1000, 0)::int end as thousands, case when round_even(l_extendedprice, 0) between 50 and 150000000 then round_even(l_extendedprice, 0)::int end as plain from lineitem")
@@ -154,12 +153,13 @@ def _(m):
     return m.raw_messages.select("id", F.substring(F.get(F.split(F.trim(t), "\n"), L(0)), 1, 50).alias("title"), F.substring(t, 1, 150).alias("description"), ((F.size(words) >= 3) & ~t.startswith("http")).alias("is_listing"))
 
 
-@query("x20_batches", "select batch, string_agg('[' || position || '] ' || substr(raw_text, 1, 20), chr(10) order by position) as prompt from (select raw_text, floor((n - 1) / 20)::int as batch, (n - 1) % 20 + 1 as position from (select raw_text, row_number() over (order by id) as n from (select * from raw_messages order by id limit 100))) group by batch")
+@query("x20_batches", "select channel_id, batch, string_agg('[' || position || '] ' || raw_text, chr(10) order by position) as prompt from (select channel_id, raw_text, floor((n - 1) / 20)::int as batch, (n - 1) % 20 + 1 as position from (select channel_id, raw_text, row_number() over (partition by channel_id order by posted_at, id) as n from raw_messages)) group by channel_id, batch")
 def _(m):
-    n = F.row_number().over(Window.orderBy("id")) - 1
-    rows = m.raw_messages.orderBy("id").limit(100).withColumn("n", n).withColumn("batch", F.floor(F.col("n") / 20).cast("int"))
-    lines = F.array_sort(F.collect_list(F.struct((F.col("n") % 20 + 1).alias("k"), F.substring("raw_text", 1, 20).alias("t"))))
-    return rows.groupBy("batch").agg(F.array_join(F.transform(lines, lambda x: F.concat(L("["), x["k"].cast("string"), L("] "), x["t"])), "\n").alias("prompt"))
+    n = F.col("n") - 1
+    rows = ranking.numbered(m.raw_messages.select("id", "channel_id", "posted_at"), "channel_id", ["posted_at", "id"], "n").select("id", "channel_id", F.floor(n / 20).cast("int").alias("batch"), (n % 20 + 1).alias("k"))
+    lines = F.array_sort(F.collect_list(F.struct("k", F.col("raw_text").alias("t"))))
+    prompt = F.array_join(F.transform(lines, lambda x: F.concat(L("["), x["k"].cast("string"), L("] "), x["t"])), "\n")
+    return rows.join(m.raw_messages.select("id", "raw_text"), "id").groupBy("channel_id", "batch").agg(prompt.alias("prompt"))
 
 
 @query("x21_field_merge", "select id, coalesce(nullif(price_etb, 0), 1) as price_etb, coalesce(category_slug, 'other') as category_slug, least(greatest(coalesce(case when id % 7 = 0 then null else extraction_confidence * 1.2 end, case when status = 'live' then 0.85 else 0 end), 0), 1)::double as confidence from listings")
@@ -276,8 +276,8 @@ def _(m):
 
 
 _ITEM = """items as (
-  select s.raw_message_id as id, s.posted_at as ord, l.category_slug, l.title_en as title, s.phone_normalized as phone, s.price_etb, substr(md5(cast(s.listing_id % 700 as string)), 1, 16) as phash, e.embedding, s.channel_id
-  from sightings s join listings l on l.id = s.listing_id join embeddings e on e.vec_id = s.listing_id % 50 where s.listing_id < 400)"""
+  select s.raw_message_id as id, s.posted_at as ord, l.category_slug, l.title_en as title, s.phone_normalized as phone, s.price_etb, s.listing_id % 700 as h, s.listing_id % 50 as v, l.extraction_confidence as confidence
+  from sightings s join listings l on l.id = s.listing_id)"""
 
 
 def _described(m, sightings):
@@ -288,32 +288,31 @@ def _described(m, sightings):
     return rows.select(F.col("raw_message_id").alias("id"), F.col("posted_at").alias("ord"), "category_slug", "title", F.col("phone_normalized").alias("phone"), "price_etb", F.substring(F.md5((F.col("listing_id") % 700).cast("string")), 1, 16).alias("phash"), "embedding", "channel_id", "confidence")
 
 
-def _items(m):
-    """The sightings that ``_ITEM`` takes."""
-    return _described(m, m.sightings.where("listing_id < 400"))
+#: Items of one class (alike in all that the rules read) are folded to the first; the titles name no models.
+_LINKS = f"""with {_ITEM},
+c as (select *, first_value(id) over (partition by category_slug, h, v, phone, case when phone is not null then title end, case when phone is not null then price_etb end order by ord, id) as head from items),
+heads as (select * from c where id = head),
+cosines as (select a.vec_id as va, b.vec_id as vb, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cos from embeddings a, embeddings b where a.vec_id < 50 and b.vec_id < 50),
+p as (select a.id as a_id, b.id as b_id, true as same_phone, a.h = b.h as same_hash, a.category_slug as ca, b.category_slug as cb, abs(a.price_etb - b.price_etb)::double / greatest(a.price_etb, b.price_etb) as diff, a.v as va, b.v as vb
+    from heads a join heads b on a.phone = b.phone and (a.ord, a.id) < (b.ord, b.id)
+  union all select a.id, b.id, false, true, a.category_slug, b.category_slug, null, a.v, b.v from heads a join heads b on a.h = b.h and (a.phone is null or b.phone is null) and (a.ord, a.id) < (b.ord, b.id)),
+d as (select a_id, b_id, case when same_phone and diff <= 0.20 then 0.98 when same_hash and cos >= 0.85 then 0.92 when same_phone and cos >= 0.80 then 0.90 end::double as confidence
+  from p join cosines on cosines.va = p.va and cosines.vb = p.vb where coalesce(ca = cb, true))"""
 
 
-_PAIRS = f"""with {_ITEM},
-p as (select a.id as a_id, b.id as b_id, a.ord as a_ord, b.ord as b_ord, a.phone as pa, b.phone as pb, a.price_etb as ea, b.price_etb as eb, a.category_slug as ca, b.category_slug as cb, a.phash as ha, b.phash as hb, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as cos
-  from items a join items b on (a.ord, a.id) < (b.ord, b.id) and (a.phone = b.phone or a.phash = b.phash)),
-j as (select *, coalesce(pa = pb, false) as same_phone, coalesce(pa <> pb, false) as conflict, abs(ea - eb)::double / nullif(greatest(ea, eb), 0) as diff from p),
-d as (select *, case when coalesce(ca <> cb, false) then 'distinct' when same_phone and (diff <= 0.20 or ea is null or eb is null) then 'auto_merge' when ha = hb and cos >= 0.85 and not conflict then 'auto_merge' when same_phone and cos >= 0.80 then 'auto_merge'
-  when same_phone and diff > 0.20 then 'borderline' when cos >= 0.82 and not conflict then 'borderline' else 'distinct' end as decision from j)"""
-
-
-@query("v07_decisions", _PAIRS + " select decision, case when same_phone and diff <= 0.20 then 0.98 when ha = hb and cos >= 0.85 and not conflict then 0.92 else 0.90 end::double as confidence, count(*) as n from d where decision = 'auto_merge' group by 1, 2")
+@query("v07_decisions", _LINKS + " select 'auto_merge' as decision, confidence, count(*) as n from d where confidence is not null group by confidence")
 def _(m):
-    return dedup.judged_pairs(_items(m)).where("decision = 'auto_merge'").groupBy("decision", "confidence").agg(F.count("*").alias("n"))
+    return dedup.merge_links(_described(m, m.sightings)).where("decision is not null").groupBy("decision", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("j16_similar_pairs", _PAIRS + " select a_id, b_id from d where decision = 'auto_merge'")
+@query("j16_similar_pairs", _LINKS + " select a_id, b_id from d where confidence is not null union all select head, id from c where id <> head")
 def _(m):
-    return dedup.judged_pairs(_items(m)).where("decision = 'auto_merge'").select("a_id", "b_id")
+    return dedup.merge_links(_described(m, m.sightings)).select("a_id", "b_id")
 
 
-@query("v08_eligible", f"with {_ITEM} select i.id from items i join sightings s on s.raw_message_id = i.id join listings l on l.id = s.listing_id where l.extraction_confidence >= 0.3 and title <> ''")
+@query("v08_eligible", f"with {_ITEM} select id from items where confidence >= 0.3 and title <> ''")
 def _(m):
-    return dedup.eligible(_items(m)).select("id")
+    return dedup.eligible(_described(m, m.sightings)).select("id")
 
 
 def _clusters(m):
@@ -369,9 +368,9 @@ def _(m):
     return m.part.select("p_partkey", F.round(similarity.trigram_similarity(F.col("p_name"), L("small rings")), 9).alias("sim"))
 
 
-@query("s05_unaccent", "select id, strip_accents(substr(raw_text, 1, 40)) as t from raw_messages where not regexp_matches(raw_text, 'ß')")
+@query("s05_unaccent", "select id, replace(strip_accents(raw_text), 'ß', 'ss') as t from raw_messages")
 def _(m):
-    return m.raw_messages.where("raw_text not like '%ß%'").select("id", similarity.unaccent(F.substring("raw_text", 1, 40)).alias("t"))
+    return m.raw_messages.select("id", similarity.unaccent(F.col("raw_text")).alias("t"))
 
 
 @query("s06_search_filters", "select id from listings where status = 'live' and category_slug = 'building' and price_etb >= 1000 and price_etb <= 90000")
@@ -511,14 +510,14 @@ def _(m):
     "m14_requested_holds",
     """with h as (select distinct listing_id from reservations where status = 'paid' and id % 10 = 0), q as (select event_id as id, event_id % 1600 as listing_id, user_id as buyer_id from events where event_type = 'click'),
 c as (select q.*, case when l.id is null then 'not_found' when l.status <> 'live' then 'not_live' when l.seller_id is null then 'no_seller' when l.seller_id = q.buyer_id then 'own_listing' when l.price_etb is null then 'no_price' when l.price_etb <= 0 then 'no_deposit' when h.listing_id is not null then 'already_held' end as reason, l.price_etb
-  from q left join (select * from listings where id < 1500) l on l.id = q.listing_id left join h on h.listing_id = q.listing_id),
+  from q left join listings l on l.id = q.listing_id left join h on h.listing_id = q.listing_id),
 r as (select *, case when reason is null and row_number() over (partition by listing_id, reason is null order by id) > 1 then 'raced' else reason end as final from c)
 select id, listing_id, buyer_id, final as reason, case when final is null then least((floor(least(greatest(price_etb * 0.05::double, 50), 1000) / 10 + 0.5) * 10)::int, price_etb) end as deposit_etb from r""",
 )
 def _(m):
     requests = m.events.where("event_type = 'click'").select(F.col("event_id").alias("id"), (F.col("event_id") % 1600).alias("listing_id"), F.col("user_id").alias("buyer_id"))
     held = m.reservations.where("status = 'paid' and id % 10 = 0").select("listing_id").distinct()
-    return holds.requested_holds(requests, m.listings.where("id < 1500"), held)
+    return holds.requested_holds(requests, m.listings, held)
 
 
 @query("m15_settle", "select id, case when status = 'pending' and id % 3 = 0 then 'paid' when status = 'pending' and id % 3 = 1 then 'failed' else status end as status from reservations")

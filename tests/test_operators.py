@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallwise.functions import similarity, text
-from stallwise.operators import browse, dedup, merge, nlparse, price, search
+from stallwise.operators import browse, dedup, merge, nlparse, price, ranking, search
 from stallwise.sources import files
 from stallwise.streaming import sessions
 
@@ -26,6 +26,60 @@ def test_handles(spark):
     assert one(spark, text.handles, "Contact @addis_seller or check t.me/bole_market for details @my_shop") == ["@addis_seller", "@bole_market", "@my_shop"]
 
 
+def _plain_handles(t):
+    """Handles by walking over each ``@`` and each link, without patterns."""
+    word = lambda c: c.isalnum() or c == "_"
+    ascii_run = lambda s: len(s) - len(s.lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"))
+    found = set()
+    for i, c in enumerate(t):
+        n = ascii_run(t[i + 1 :])
+        if c == "@" and not (i and word(t[i - 1])) and 4 <= n <= 32 and not (i + 1 + n < len(t) and word(t[i + 1 + n])):
+            found.add("@" + t[i + 1 : i + 1 + n])
+    low = t.lower()
+    for head in ("t.me/", "telegram.me/"):
+        for i in range(len(t)):
+            if low.startswith(head, i):
+                rest = t[i + len(head) :]
+                if ascii_run(rest) >= 4:
+                    found.add("@" + rest[: min(32, ascii_run(rest))])
+    return ",".join(sorted(found))
+
+
+def test_handles_of_all_messages_equal_a_plain_walk(spark, sf_dir):
+    from stallwise.plans import registry, registry_more  # noqa: F401
+
+    hard = ["mail jane@example.com or @jane_doe.", "see https://T.me/bole_market, telegram.me/abc t.me/abcd", "@ab @abcd @" + "x" * 33, "@abcdé ça@abcd", None, ""]
+    made = spark.createDataFrame(list(enumerate(hard)), "id int, t string").select("id", F.array_join(text.handles(F.col("t")), ",").alias("h"))
+    assert {r["id"]: r["h"] for r in made.collect()} == {i: _plain_handles(t or "") for i, t in enumerate(hard)}
+    got = {r["id"]: r["handles"] for r in registry.QUERIES["x04_handles"](spark, sf_dir).collect()}
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert got == {r["doc_id"]: _plain_handles(r["text"] or "") for r in texts}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_numbers_and_maxima_across_ranges(spark, partitions):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), rng.randint(0, 9), rng.choice([None, 1, 2, 3, 4, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, key string, t int, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        numbers = {r["id"]: r["n"] for r in ranking.numbered(df, "key", [F.desc("t"), "id"], "n").collect()}
+        highs = {r["id"]: r["m"] for r in ranking.running_max(df, "key", [F.desc("t"), "id"], "v", "m").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for key in ("hot", "b", None):
+        high = None
+        for n, (i, _, _, v) in enumerate(sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0])), 1):
+            high = v if high is None or v is not None and v > high else high
+            assert (numbers[i], highs[i]) == (n, high)
+    assert len(numbers) == len(highs) == len(rows)
+    empty = df.where("id < 0")
+    assert ranking.numbered(empty, "key", ["t", "id"], "n").count() == ranking.running_max(empty, "key", ["t", "id"], "v", "m").count() == 0
+
+
 def test_first_pass(spark):
     got = one(spark, text.first_pass, "iPhone 13 ዋጋ 45,000 ብር ድርድር 0911223344")
     assert (got["price_etb"], got["negotiable"], got["phone_normalized"], got["is_potential_listing"]) == (45_000, True, "+251911223344", True)
@@ -124,6 +178,13 @@ def test_leader_clusters_equal_the_sequential_pass_over_all_pairs(spark):
         hit = next((j for j in lead if (j, i) in near), None)
         want[i] = i if hit is None else hit
         lead += [i] if hit is None else []
+    links = dedup.merge_links(items)
+    of = {r["b_id"]: r["a_id"] for r in links.where("decision is null").collect()}
+    heads = {i: of.get(i, i) for i in want}
+    firsts = {(r["a_id"], r["b_id"]) for r in links.where("decision is not null").collect()}
+    assert firsts == {(a, b) for a, b in near if heads[a] == a and heads[b] == b} and of
+    joined = lambda a, b: heads[a] == heads[b] or (heads[a], heads[b]) in firsts or (heads[b], heads[a]) in firsts
+    assert all(((a, b) in near or (b, a) in near) == joined(a, b) for a in want for b in want if a < b)
     got = dedup.leader_clusters(items).collect()
     assert len(got) == len(rows) and {r["id"]: r["leader_id"] for r in got} == want and 1 < len(lead) < len(rows) / 2
 
