@@ -71,13 +71,21 @@ parts as (
   from bare),
 u as (select page_id, html, host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as canonical_url from parts),
 b as (
-  select q.page_id, q.canonical_url, md5(q.html) as tag, max(p.page_id) as base_page_id
-  from u q left join u p on p.canonical_url = q.canonical_url and 2 * p.page_id < 2 * q.page_id + {lag} group by all)
-select b.page_id, b.canonical_url, b.base_page_id,
-  case when base_page_id is null then 'missing' when md5(p.html) = tag then 'resolved' else 'mismatch' end as outcome,
-  case when md5(p.html) = tag then 'content-type=text/html;date=later;etag=W/"' || tag || '"' else 'date=later;etag=W/"' || tag || '";server=x' end as headers,
-  case when md5(p.html) = tag then length(p.html) end as payload_chars, case when md5(p.html) = tag then tag end as payload_md5
-from b left join u p on p.page_id = b.base_page_id"""
+  select q.page_id, q.canonical_url, md5(q.html) as tag, length(q.html) as n, q.page_id % 4 as kind, max(p.page_id) as base_page_id
+  from u q left join u p on p.canonical_url = q.canonical_url and 2 * p.page_id < 2 * q.page_id + {lag} group by all),
+j as (select b.*, p.html, md5(p.html) as base_tag, length(p.html) as base_n, p.page_id % 4 as base_kind from b left join u p on p.page_id = b.base_page_id),
+o as (
+  select *, case when base_page_id is null then 'missing'
+    when kind < 2 and base_kind < 2 then case when tag = base_tag then 'resolved' else 'mismatch' end
+    when kind in (1, 2) and base_kind <> 0 then case when n = base_n then 'resolved' else 'mismatch' end else 'unchecked' end as outcome,
+    case when kind < 2 then 'etag=W/"' || tag || '"' end as own_tag, case when kind in (1, 2) then 'last-modified=length ' || n end as own_modified,
+    case when base_kind < 2 then 'etag="' || base_tag || '"' end as old_tag, case when base_kind <> 0 then 'last-modified=length ' || base_n end as old_modified
+  from j)
+select page_id, canonical_url, base_page_id, outcome,
+  case when outcome in ('resolved', 'unchecked') then concat_ws(';', 'content-type=text/html', 'date=later', coalesce(own_tag, old_tag), coalesce(own_modified, old_modified))
+    else concat_ws(';', 'date=later', own_tag, own_modified, 'server=x') end as headers,
+  case when outcome in ('resolved', 'unchecked') then base_n end as payload_chars, case when outcome in ('resolved', 'unchecked') then base_tag end as payload_md5
+from o"""
 
 
 JACCARD_SQL = """

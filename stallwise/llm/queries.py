@@ -42,16 +42,21 @@ REVISIT_LAG = 2001
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Every page as a full response, and as a later revisit that claims it has not changed since."""
-    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    """Every page as a full response, and as a later revisit that claims it has not changed since.
+
+    By page_id modulo 4 the validators are an ETag, both, a Last-Modified, and a Last-Modified of the response alone.
+    """
+    tag, validator = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.col("page_id") % 4
+    modified = F.when(validator != 0, F.concat(F.lit("length "), F.length("html")))
+    named = lambda pairs: F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     full = pages.select(
         (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 2).alias("ts"), F.lit(200).alias("status"),
-        F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.col("page_id").cast("string")).alias("headers"),
+        named([("ETag", F.when(validator < 2, tag)), ("Last-Modified", modified), ("Content-Type", F.lit("text/html")), ("Date", F.col("page_id").cast("string"))]).alias("headers"),
         F.col("html").alias("payload"),
     )
     revisit = pages.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 2 + REVISIT_LAG).alias("ts"), F.lit(304).alias("status"),
-        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), F.lit("later"), F.lit("server"), F.lit("x")).alias("headers"),
+        named([("etag", F.when(validator < 2, F.concat(F.lit("W/"), tag))), ("last-modified", F.when(validator != 3, modified)), ("date", F.lit("later")), ("server", F.lit("x"))]).alias("headers"),
         F.lit(None).cast("string").alias("payload"),
     )
     return full.unionByName(revisit)
@@ -86,7 +91,7 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts_as_media(table(spark, sf_dir, "documents"))
     described = media.media_features(stored.withColumn("media_bytes", F.length("media").cast("long")))
-    return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
+    return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"))
 
 
 def op9_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A revisit (a 304 capture) is joined to the latest earlier full response of the same canonical URL. Its validators
 must agree with that response, and the headers that a 304 may update are merged over the response's.
 
-The as-of join carries compact pointers only. Each URL's captures are dealt out in time slices: the last full
-response of each slice is carried forward over slices, and a window within a slice finds the nearer ones, so one
-URL with a third of all captures is spread over its slices. Payloads are joined to pointers at the end.
+The as-of join carries compact pointers only. Captures lie in ranges of (URL, time) of about equally many rows: the
+last full response of a URL's earlier ranges is carried forward, and a window within a range finds the nearer ones, so
+one URL with a third of all captures is spread over its ranges. Payloads are joined to pointers at the end, those of a
+carried response once a range, so that a response with very many revisits isn't one task either.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 #: Query parameters that do not change a page, fixed values.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)="
 SLICE_ROWS = 20_000
+#: Up to so many rows of one URL, or one number, each are broadcast.
+SMALL_ROWS = 50_000
+#: Marks a response in its revisit's own range.
+NEAR = -1
 
 
 def canonical_url(url: Column) -> Column:
@@ -53,6 +58,11 @@ def merge_headers(base: Column, update: Column) -> Column:
     return F.map_concat(kept, update)
 
 
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are at most ``n``, as the broadcast side of a join while that many are small."""
+    return F.broadcast(rows) if n <= SMALL_ROWS else rows
+
+
 def resolve_revisits(captures: DataFrame, payload: str = "payload") -> DataFrame:
     """A row for each revisit of ``captures``: (record_id, url, ts, status, headers, payload).
     ``ts`` is a whole number.
@@ -72,18 +82,20 @@ def resolve_revisits(captures: DataFrame, payload: str = "payload") -> DataFrame
     pointers = checkpoint(
         rows.select("record_id", "canonical_url", "ts", "status", _strong(header(F.col("headers"), "etag")).alias("etag"), header(F.col("headers"), "last-modified").alias("modified"))
     )
-    bounds = pointers.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n")).first()
-    n_slices = max(1, bounds["n"] // SLICE_ROWS)
-    width = max(1.0, ((bounds["high"] or 0) - (bounds["low"] or 0) + 1) / n_slices)
-    pointers = pointers.withColumn("_slice", F.floor((F.col("ts") - F.lit(bounds["low"] or 0)) / F.lit(width)))
-    full = F.when((F.col("status") == 200) & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.struct("ts", "record_id", "etag", "modified"))
-    sums = pointers.groupBy("canonical_url", "_slice").agg(F.max(full).alias("_last"))
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    n_slices = max(1, pointers.where(placed).count() // SLICE_ROWS)
+    dealt = checkpoint(pointers.where(placed).repartitionByRange(n_slices, "canonical_url", "ts").withColumn("_slice", F.spark_partition_id()))
+    full = F.when(F.col("status") == 200, F.struct("ts", "record_id", "etag", "modified"))
+    sums = dealt.groupBy("canonical_url", "_slice").agg(F.max(full).alias("_last"))
     before = Window.partitionBy("canonical_url").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("canonical_url", "_slice", F.max("_last").over(before).alias("_carried"))
+    carried = sums.select("canonical_url", "_slice", F.max("_last").over(before).alias("_carried")).where("_carried is not null")
     earlier = Window.partitionBy("canonical_url", "_slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    found = pointers.withColumn("_near", F.max(full).over(earlier)).where("status = 304")
-    found = found.withColumn("_near", F.when(F.col("ts").isNotNull(), F.col("_near")))
-    found = found.join(carried, ["canonical_url", "_slice"], "left").withColumn("_base", F.coalesce("_near", "_carried"))
+    found = dealt.withColumn("_near", F.max(full).over(earlier)).where("status = 304")
+    # a URL has a carried response where it goes on from the range before: once a range at most
+    found = found.join(_bounded(carried, n_slices), ["canonical_url", "_slice"], "left").withColumn("_base", F.coalesce("_near", "_carried"))
+    found = found.withColumn("_copy", F.when(F.col("_near").isNull(), F.col("_slice")).otherwise(NEAR))
+    nowhere = pointers.where((F.col("status") == 304) & ~placed)
+    found = found.drop("_near", "_carried", "_slice").unionByName(nowhere, allowMissingColumns=True)
     tag, date = F.col("_base.etag"), F.col("_base.modified")
     outcome = (
         F.when(F.col("_base").isNull(), "missing")
@@ -91,11 +103,14 @@ def resolve_revisits(captures: DataFrame, payload: str = "payload") -> DataFrame
         .when(F.col("modified").isNotNull() & date.isNotNull(), F.when(F.col("modified") == date, "resolved").otherwise("mismatch"))
         .otherwise("unchecked")
     )
-    found = found.select("record_id", "canonical_url", "ts", F.col("_base.record_id").alias("base_id"), outcome.alias("outcome"))
-    own = captures.where(F.col("status") == 304).select(F.col("record_id"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("_own")).dropDuplicates(["record_id"])
-    base = captures.where(F.col("status") == 200).select(F.col("record_id").alias("base_id"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("_headers"), F.col(payload).alias("payload")).dropDuplicates(["base_id"])
+    found = checkpoint(found.select("record_id", "canonical_url", "ts", F.col("_base.record_id").alias("base_id"), outcome.alias("outcome"), "_copy"))
+    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    own = captures.where(F.col("status") == 304).select("record_id", headers.alias("_own")).dropDuplicates(["record_id"])
+    base = captures.where(F.col("status") == 200).select(F.col("record_id").alias("base_id"), headers.alias("_headers"), F.col(payload).alias("payload")).dropDuplicates(["base_id"])
     took = F.col("outcome").isin("resolved", "unchecked")
-    joined = found.withColumn("_from", F.when(took, F.col("base_id"))).join(own, "record_id", "left").join(base.withColumnRenamed("base_id", "_from"), "_from", "left")
+    copies = found.where(took & (F.col("_copy") != NEAR)).select("base_id", "_copy").distinct()
+    bases = base.withColumn("_copy", F.lit(NEAR)).unionByName(base.join(_bounded(copies, n_slices), "base_id"))
+    joined = found.where(took).join(bases, ["base_id", "_copy"], "left").unionByName(found.where(~took), allowMissingColumns=True).join(own, "record_id", "left")
     return joined.select(
         "record_id", "canonical_url", "ts", "base_id", "outcome",
         F.when(took, merge_headers(F.col("_headers"), F.col("_own"))).otherwise(F.col("_own")).alias("headers"),

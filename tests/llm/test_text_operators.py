@@ -167,6 +167,7 @@ def test_media_round_trip(spark, sf_dir):
         payload = data + b"\xff" * (-len(data) % 576 or 576 * (not data))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert r["tile_sha256"] == hashlib.sha256(media.npy_tile(np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH))).hexdigest()
     for d in (awkward(spark), empty(spark)):
         rows = media.media_features(media.store_texts_as_media(d, keys=("doc_id", "size"))).collect()
         assert len(rows) == d.count() and all(np.load(__import__("io").BytesIO(r["tile"])).shape == (24, 24) for r in rows)
@@ -513,3 +514,24 @@ def test_revisits(spark, monkeypatch):
     }
     assert got[2]["headers"] == {"etag": 'W/"1"', "date": "d", "content-type": "t", "server": "s"}
     assert warc.resolve_revisits(captures.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_revisits_of_one_url_and_of_one_response(spark, monkeypatch, small):
+    monkeypatch.setattr(warc, "SLICE_ROWS", 7)
+    monkeypatch.setattr(warc, "SMALL_ROWS", small)
+    often = [(i, "a.com/x", i // 3, 200 if i % 3 == 0 else 304, {"etag": str(i // 40)}, str(i)) for i in range(120)]
+    once = [(1000 + i, "b.com/y", 0 if i == 0 else i, 200 if i == 0 else 304, {"last-modified": "m"} if i % 2 == 0 else None, f"y{i}") for i in range(90)]
+    rows = often + once + [(2000 + i, None, i, 304, None, None) for i in range(30)]
+    captures = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>, payload string")
+    want = {}
+    for k, url, ts, status, headers, _ in rows:
+        if status != 304:
+            continue
+        base = max(((t, b, h, p) for b, u, t, s, h, p in rows if s == 200 and u is not None and u == url and t < ts), default=None, key=lambda x: x[:2])
+        same = [base[2][n] == headers[n] for n in ("etag", "last-modified") if base and n in (headers or {}) and n in base[2]]
+        outcome = "missing" if base is None else "unchecked" if not same else "resolved" if same[0] else "mismatch"
+        want[k] = (outcome, base and base[1], base[3] if outcome in ("resolved", "unchecked") else None)
+    got = warc.resolve_revisits(captures).collect()
+    assert len(got) == len(want) and {r["record_id"]: (r["outcome"], r["base_id"], r["payload"]) for r in got} == want
+    assert len({w[0] for w in want.values()}) == 4
