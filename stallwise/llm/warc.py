@@ -103,14 +103,18 @@ def resolve_revisits(captures: DataFrame, payload: str = "payload") -> DataFrame
         .when(F.col("modified").isNotNull() & date.isNotNull(), F.when(F.col("modified") == date, "resolved").otherwise("mismatch"))
         .otherwise("unchecked")
     )
-    found = checkpoint(found.select("record_id", "canonical_url", "ts", F.col("_base.record_id").alias("base_id"), outcome.alias("outcome"), "_copy"))
     headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     own = captures.where(F.col("status") == 304).select("record_id", headers.alias("_own")).dropDuplicates(["record_id"])
-    base = captures.where(F.col("status") == 200).select(F.col("record_id").alias("base_id"), headers.alias("_headers"), F.col(payload).alias("payload")).dropDuplicates(["base_id"])
+    found = found.select("record_id", "canonical_url", "ts", F.col("_base.record_id").alias("base_id"), outcome.alias("outcome"), "_copy")
+    found = checkpoint(found.join(own, "record_id", "left"))
     took = F.col("outcome").isin("resolved", "unchecked")
-    copies = found.where(took & (F.col("_copy") != NEAR)).select("base_id", "_copy").distinct()
-    bases = base.withColumn("_copy", F.lit(NEAR)).unionByName(base.join(_bounded(copies, n_slices), "base_id"))
-    joined = found.where(took).join(bases, ["base_id", "_copy"], "left").unionByName(found.where(~took), allowMissingColumns=True).join(own, "record_id", "left")
+    base = captures.where(F.col("status") == 200).select(F.col("record_id").alias("base_id"), headers.alias("_headers"), F.col(payload).alias("payload"))
+    near = found.where(took & (F.col("_copy") == NEAR)).join(base.dropDuplicates(["base_id"]), "base_id", "left")
+    far = found.where(took & (F.col("_copy") != NEAR))
+    copies = checkpoint(far.select("base_id", "_copy").distinct())
+    few = base.join(_bounded(copies.select("base_id").distinct(), n_slices), "base_id", "left_semi").dropDuplicates(["base_id"])
+    far = far.join(few.join(_bounded(copies, n_slices), "base_id"), ["base_id", "_copy"], "left")
+    joined = near.unionByName(far).unionByName(found.where(~took), allowMissingColumns=True)
     return joined.select(
         "record_id", "canonical_url", "ts", "base_id", "outcome",
         F.when(took, merge_headers(F.col("_headers"), F.col("_own"))).otherwise(F.col("_own")).alias("headers"),
