@@ -104,15 +104,16 @@ def promotion(text: Column) -> Column:
 
 
 def first_pass(text: Column) -> Column:
-    """All of the above for one message as a struct; negotiable is null without price or token."""
+    """All of the above for one message as a struct of 13 fields; negotiable is null without price or token."""
     t = F.trim(F.coalesce(text, F.lit("")))
     found, numbers, names = price(t), phones(t), handles(t)
     has_price, has_phone = found.isNotNull(), F.size(numbers) > 0
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     listing = ~promotion(t) & (has_price | (has_phone & (words >= 4) & ~t.startswith("http")))
     return F.struct(
-        found["etb"].alias("price_etb"), found["raw"].alias("price_raw"), F.when(has_price | negotiable(t), negotiable(t)).alias("negotiable"),
-        F.get(numbers, F.lit(0))["raw"].alias("phone_raw"), F.get(numbers, F.lit(0))["normalised"].alias("phone_normalized"), names.alias("handles"),
+        found["etb"].alias("price_etb"), found["raw"].alias("price_raw"), F.when(has_price | negotiable(t), negotiable(t)).alias("negotiable"), F.lit("ETB").alias("currency"),
+        F.get(numbers, F.lit(0))["raw"].alias("phone_raw"), F.get(numbers, F.lit(0))["normalised"].alias("phone_normalized"),
+        F.transform(numbers, lambda x: x["raw"]).alias("all_phones"), F.transform(numbers, lambda x: x["normalised"]).alias("all_phones_normalized"), names.alias("handles"),
         has_price.alias("has_price"), has_phone.alias("has_phone"), (F.size(names) > 0).alias("has_handle"), (listing & (t != "")).alias("is_potential_listing"),
     )
 

@@ -45,6 +45,16 @@ where raw_message_id % 2 = 0""",
     "raw_messages": """
 select doc_id as id, cast(substr(source, 4) as bigint) as channel_id, doc_id as message_id, text as raw_text, doc_id * 60 as posted_at,
   case when doc_id % 3 = 0 then null else doc_id * 60 + 5 end as processed_at from {documents}""",
+    "posts": """
+select id, channel_id, amount, kind, tv, digits, phone, case kind when 0 then concat(title, ' price ', cast(amount as string), ' birr call ', phone)
+    when 1 then concat(title, ' ዋጋ ', thousands, ',', lpad(cast(amount % 1000 as string), 3, '0'), ' ብር', chr(10), 'ስልክ ', phone, chr(10), '@market_', cast(channel_id as string))
+    when 2 then concat(title, ' only ', thousands, 'k negotiable') when 3 then concat(title, ' in good state call ', phone)
+    when 4 then concat('see @seller_', cast(channel_id as string), ' or https://t.me/market_', cast(channel_id as string), ' for more') when 5 then concat('join our channel ', title, ' price ', cast(amount as string), ' ETB')
+    when 6 then concat('http://shop.example/', cast(id as string), ' call us now ', phone) else concat(title, ' price: ', cast(amount as string), ' call ', phone) end as raw_text
+from (select *, case when tv then 'Samsung TV' else 'Toyota Vitz' end as title, cast(cast(floor(amount / 1000) as bigint) as string) as thousands,
+    case id % 3 when 0 then concat('09', digits) when 1 then concat('+2519', digits) else concat('9', digits) end as phone
+  from (select id, channel_id, amount, kind, id % 5 = 0 as tv, lpad(cast(id % 100000000 as string), 8, '0') as digits
+    from (select l_orderkey * 8 + l_linenumber as id, (l_orderkey + l_linenumber) % 8 as kind, min(l_suppkey) as channel_id, cast(max(floor(l_extendedprice)) as bigint) as amount from {lineitem} group by l_orderkey, l_linenumber) g) h) p""",
     "reports": "select event_id as id, event_id % 1499 as listing_id, cast(ts as date) as created_on from {events} where event_type = 'error'",
     "ratings": "select event_id as id, user_id as seller_id, cast(1 + event_id % 5 as int) as score from {events} where event_type = 'purchase'",
     "removal_requests": """

@@ -698,3 +698,93 @@ def _(m):
 def _(m):
     out = nlparse.fill_gaps({"category": ("phones", 0.9)}, {"category": ("books", 0.99), "max_price": (5000, 0.99)})
     return m.spark.createDataFrame([(out["category"][0], out["max_price"][0], out["max_price"][1])], "category string, max_price long, confidence double")
+
+
+# -- posts with prices, phones and handles (X, A) -----------------------------------------------------------
+
+#: What the rules find in the view's posts, told from the columns that they were put together from.
+_POSTS = """f as (
+  select id, kind, channel_id, tv, raw_text, phone, case when kind in (0, 1, 5, 7) then amount when kind = 2 and amount // 1000 > 0 and not (tv and amount // 1000 in (2, 4, 5, 8)) then amount // 1000 * 1000 end::int as etb,
+    case when kind in (0, 1, 3, 6, 7) then '+2519' || digits end as number, kind in (1, 4) as has_handle, amount from posts),
+p as (select *, kind not in (4, 5, 6) and (etb is not null or number is not null) as potential,
+  case when etb is null then null when kind = 0 then amount || ' birr' when kind = 1 then (amount // 1000) || ',' || lpad((amount % 1000)::varchar, 3, '0') || ' ብር' when kind = 2 then (amount // 1000) || 'k' when kind = 5 then amount || ' ETB' else 'price: ' || amount end as raw from f)"""
+
+
+def _first_pass(m):
+    return m.posts.select("id", text.first_pass(F.col("raw_text")).alias("x"))
+
+
+@query("x01_phones_of_posts", f"with {_POSTS} select id, phone as raw, number as normalised from p where number is not null")
+def _(m):
+    return m.posts.select("id", F.explode(text.phones(F.col("raw_text"))).alias("p")).select("id", "p.raw", "p.normalised")
+
+
+@query("x06_prices_of_posts", f"with {_POSTS} select id, etb, raw from p")
+def _(m):
+    return m.posts.select("id", text.price(F.col("raw_text")).alias("p")).select("id", "p.etb", "p.raw")
+
+
+@query(
+    "x09_first_pass_of_posts",
+    f"""with {_POSTS} select id, raw as price_raw, etb as price_etb, case when etb is not null or kind = 2 then kind = 2 end as negotiable, 'ETB' as currency, case when number is not null then phone end as phone_raw, number as phone_normalized,
+  case when number is not null then phone else '' end as all_phones, coalesce(number, '') as all_phones_normalized, case kind when 1 then '@market_' || channel_id when 4 then '@market_' || channel_id || ',@seller_' || channel_id else '' end as handles,
+  etb is not null as has_price, number is not null as has_phone, has_handle, potential as is_potential_listing from p""",
+)
+def _(m):
+    rows = _first_pass(m).select("id", "x.*")
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("all_phones", "all_phones_normalized", "handles")})
+
+
+@query(
+    "a14_metrics_of_posts",
+    f"""with {_POSTS} select count(*) as messages, count(etb) as with_price, count(number) as with_phone, count(*) filter (etb is not null and number is not null) as with_both, count(*) filter (has_handle) as with_handle, count(*) filter (potential) as potential,
+  round(100.0::double * count(*) filter (not potential) / count(*), 4) as filter_rate, round(count(*)::double / ceil(count(*) filter (potential) / 20), 4) as compression from p""",
+)
+def _(m):
+    c, x = counters.count_if, _first_pass(m)
+    listing = F.col("x.is_potential_listing")
+    counts = x.agg(F.count("*").alias("messages"), c(F.col("x.has_price")).alias("with_price"), c(F.col("x.has_phone")).alias("with_phone"), c(F.col("x.has_price") & F.col("x.has_phone")).alias("with_both"), c(F.col("x.has_handle")).alias("with_handle"), c(listing).alias("potential"))
+    requests = F.ceil(F.col("potential") / 20)
+    return counts.withColumns({"filter_rate": F.round(100.0 * (F.col("messages") - F.col("potential")) / F.col("messages"), 4), "compression": F.when(requests > 0, F.round(F.col("messages") / requests, 4)).otherwise(L(float("inf")))})
+
+
+@query("x15_contact_lines_of_posts", "select id, replace(raw_text, chr(10) || 'ስልክ ' || phone || chr(10), chr(10) || chr(10)) as t from posts")
+def _(m):
+    return m.posts.select("id", text.strip_contact_lines(F.col("raw_text")).alias("t"))
+
+
+# -- fallback, allowlist and job claims (N10, ST07, ST05) ---------------------------------------------------
+
+
+@query("n10_keyword_fallback", "select id, case when id % 3 = 0 then nullif(trim(body, ' '), '') else lower(body) end as q, case when id % 3 = 0 or body is null then 'none' else 'rules' end as source from messages")
+def _(m):
+    parsed = F.when((F.col("id") % 3 != 0) & F.col("body").isNotNull(), F.struct(F.lower("body").alias("q"), L("rules").alias("source")))
+    return m.messages.select("id", nlparse.or_keywords(parsed, F.col("body")).alias("x")).select("id", "x.*")
+
+
+_VERSIONS = "select id as channel_id, active, 0::bigint as changed_at from channels union all select id, not active, id * 997 % 50000 from channels where id % 2 = 0 union all select id, active, id * 613 % 90000 from channels where id % 3 = 0"
+
+
+@query(
+    "st07_allowlist",
+    f"with v as ({_VERSIONS}), r as (select id, channel_id, posted_at + id % 59 as ts from raw_messages) select id, channel_id from r where (select v.active from v where v.channel_id = r.channel_id and v.changed_at <= r.ts - r.ts % 60 order by v.changed_at desc, v.active desc limit 1)",
+)
+def _(m):
+    k = F.col("id")
+    first = m.channels.select(k.alias("channel_id"), "active", L(0).cast("long").alias("changed_at"))
+    second = m.channels.where(k % 2 == 0).select(k.alias("channel_id"), (~F.col("active")).alias("active"), (k * 997 % 50_000).alias("changed_at"))
+    third = m.channels.where(k % 3 == 0).select(k.alias("channel_id"), "active", (k * 613 % 90_000).alias("changed_at"))
+    messages = m.raw_messages.select("id", "channel_id", (F.col("posted_at") + k % 59).alias("ts"))
+    return sessions.allowlisted(messages, first.unionByName(second).unionByName(third)).select("id", "channel_id")
+
+
+@query(
+    "st05_claim",
+    """with j as (select event_id as id, case when event_type = 'click' then 'pending' else 'done' end as status, event_id * 7919 % 10007 as run_after, event_id % 4 as attempts from events),
+c as (select id from j where status = 'pending' and run_after <= 5000 order by run_after, id limit 1)
+select id, case when id in (select id from c) then 'running' else status end as status, run_after, attempts + case when id in (select id from c) then 1 else 0 end as attempts from j""",
+)
+def _(m):
+    k = F.col("event_id")
+    jobs = m.events.select(k.alias("id"), F.when(F.col("event_type") == "click", "pending").otherwise("done").alias("status"), (k * 7919 % 10_007).alias("run_after"), (k % 4).alias("attempts"))
+    return sessions.claimed(jobs, 5000)

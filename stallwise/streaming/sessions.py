@@ -100,3 +100,27 @@ def next_job_state(attempts: Column, failed: Column) -> Column:
 def merge_each_batch(stream: DataFrame, merge, checkpoint_dir: str):
     """Run ``merge(batch, batch_id)`` on every micro-batch of what has arrived, then stop; idempotent merges make replays harmless."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+
+
+def allowlisted(messages: DataFrame, versions: DataFrame, every: int = 60) -> DataFrame:
+    """Messages whose channel was active when the allowlist was last read, which is every ``every`` seconds, as a whole.
+
+    ``messages`` has channel_id and ts, ``versions`` channel_id, active and changed_at, all in whole seconds; of versions of one
+    second an active one counts. A channel without a version by then is not allowed. A channel is judged once a
+    reading and not once a message. On a stream, ``merge_each_batch`` reads the list anew for each batch.
+    """
+    read = messages.withColumn("_read", F.col("ts") - F.col("ts") % every)
+    known = versions.select(F.col("channel_id").alias("_c"), F.col("changed_at").alias("_at"), F.col("active").alias("_active"))
+    asked = read.select("channel_id", "_read").distinct().join(known, (F.col("channel_id") == F.col("_c")) & (F.col("_at") <= F.col("_read")))
+    allowed = asked.groupBy("channel_id", "_read").agg(F.max_by("_active", F.struct("_at", "_active")).alias("_ok")).where("_ok").drop("_ok")
+    return read.join(allowed, ["channel_id", "_read"], "left_semi").drop("_read")
+
+
+def claimed(jobs: DataFrame, now: int, most: int = 1) -> DataFrame:
+    """``jobs`` after a worker took the ``most`` that have waited longest: pending, due by ``now``, first by run_after and id.
+
+    They are running and have one more attempt. ``most`` is a worker's share, a few rows, and so is broadcast.
+    """
+    due = jobs.where((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "id").limit(most).select("id", F.lit(True).alias("_mine"))
+    rows, mine = jobs.join(F.broadcast(due), "id", "left"), F.col("_mine").isNotNull()
+    return rows.withColumns({"status": F.when(mine, "running").otherwise(F.col("status")), "attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts"))}).drop("_mine")
