@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import licenses, quality, warc
+from stallwise.llm import chat, licenses, quality, warc
 
 _WS = r"[ \x09-\x0D]+"
 
@@ -101,3 +101,62 @@ reach as (select doc_id, doc_id as root from x union select l.b, r.root from rea
 copies as (select doc_id, count(*) over (partition by w4) as n_class from (select doc_id, list_sort(list(s)) as w4 from s group by doc_id))
 select x.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, coalesce(n_class, 1)::bigint as n_class
 from x join (select doc_id, min(root) as component_id from reach group by doc_id) c using (doc_id) left join n using (doc_id) left join copies using (doc_id)"""
+
+
+#: Phrases of 2 to 5 words with 100 or more occurrences in a language.
+COLLOCATION_SQL = r"""
+with p as (
+  select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') as w from p),
+g as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, generate_series(1, 5) as t(k) where len(w) >= k)),
+total as (select lang, sum(len(w))::bigint as n from w group by lang),
+f as (select lang, k, phrase, count(*)::bigint as f from g group by all having count(*) >= 100),
+words as (select *, string_split(phrase, ' ') as w from f),
+cuts as (
+  select lang, k, phrase, f as a, cut, array_to_string(w[1 : cut], ' ') as head, array_to_string(w[cut + 1 :], ' ') as tail
+  from words, generate_series(1, 4) as t(cut) where cut < k),
+scored as (
+  select c.lang, c.k, c.phrase, c.a, x.f as l, y.f as r, total.n, c.cut, ((1000::hugeint * c.a * total.n) // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = c.head join f y on y.lang = c.lang and y.phrase = c.tail join total on total.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+around as (
+  select lang, phrase, max(f) as f
+  from (select lang, f, array_to_string(w[i : i + m - 1], ' ') as phrase from words, generate_series(2, 4) as s(m), generate_series(1, 4) as t(i) where m < k and i + m - 1 <= k)
+  group by all),
+kept as (select best.* from best left join around on around.lang = best.lang and around.phrase = best.phrase where around.f is null or 100 * around.f < 100 * best.a)
+select * from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a, l, r, n, score from kept)
+where rank <= 2000
+"""
+
+
+def chat_sql(planted: list[tuple]) -> str:
+    template = chat.Template()
+    text = lambda c: f"regexp_replace({c}, '{_one(template)}', '\\1\\2\\4\\5\\\\\\3\\6', 'g')"
+    around = " ".join(f"when role = {_quoted(name)} then {len(m.open + m.close)}" for name, m in template.roles.items())
+    other = len(template.role.open + template.role.close + template.other.open + template.other.close)
+    rows = ", ".join(f"({c}, {t}, {_quoted(role)}, {_quoted(x)})" for c, t, role, x in planted)
+    return f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations union all select * from (values {rows}) as p(conv_id, turn, role, text))),
+e as (
+  select *, length({text('text')}) + case {around} else {other} + length({text('role')}) end as chars,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text) as before,
+    row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as left_over
+  from t)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  ({len(template.begin)} + sum(chars))::bigint as formatted_chars,
+  bool_and(case role when 'system' then before is null when 'user' then before is null or before in ('system', 'assistant') when 'assistant' then before is not distinct from 'user' else false end
+    and (left_over > 1 or role = 'assistant')) as valid
+from e group by conv_id
+"""
+
+
+def _one(template: chat.Template) -> str:
+    return "|".join(chat.mark_patterns(template))
