@@ -1,10 +1,12 @@
 """Phrases whose words meet more often than chance has it.
 
-A first pass counts the n-grams of every text in count-min sketches: two rows of counters, a counter for a
-range of hashes. Tasks send the counters that they touched as compressed parts; parts of the same range are added. A counter is at
+First, the n-grams of every text are counted in count-min sketches: two rows of counters, a counter for a range
+of hashes. Tasks send the counters that they touched as compressed parts; parts of the same range are added. A counter is at
 least the count of each n-gram that it holds, so an n-gram with a counter below the threshold in either row is not frequent. What is
-left of the merged sketch is one bit a counter. A second pass reads the texts again, keeps an n-gram if its counters
-and those of its first and last words pass, and counts the survivors by their text: exact, and nothing frequent is lost.
+left of a merged sketch is one bit a counter. One sketch has words and pairs, a second one longer n-grams, of which it
+takes those whose pairs have passed. Then the texts are read once more, an n-gram is kept if its counters and those of its
+first and last words pass, and the survivors are counted by their text: exact, and nothing frequent is lost. Tasks send
+their survivors packed by hash bucket, each once.
 
 Scores and subsumption are joins of that table of frequent n-grams with itself.
 """
@@ -25,17 +27,21 @@ from stallwise.llm.common import text_or_empty
 from stallwise.session import ship_package, stored
 
 #: Counters of one sent part, n-grams that a task holds before it sends parts, and bytes of text at once.
-PART, HELD, SLICE = 1 << 18, 1 << 23, 4 << 20
+PART, HELD, SLICE = 1 << 18, 1 << 23, 2 << 20
 #: Rows of a sketch, n-grams for each counter of a row, and most counters of a row: 256 MB of bits for both rows, which the driver hands on.
-ROWS, LOAD, MOST_COUNTERS = 2, 16, 1 << 30
+ROWS, LOAD, MOST_COUNTERS = 2, 32, 1 << 30
 #: Counters are added up to here; a threshold may be as large.
 FULL = 255
-#: Words that a worker remembers.
-REMEMBERED = 600_000
+#: Languages whose word counts are broadcast.
+MOST_LANGS = 10_000
+#: Words that a worker remembers, survivors that it holds before it sends them, and survivors of one bucket.
+REMEMBERED, SURVIVORS, BUCKET = 300_000, 200_000, 20_000
 
 #: The marks at which texts are cut to pieces, as one of them; none is part of a word.
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"..........")
 _EDGE = b"."
+#: The first sketch's longest n-grams.
+SHORT = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,16 +109,36 @@ def _cells(h: np.ndarray, row: int, counters: int) -> np.ndarray:
     return ((h >> np.uint64(33 * row)) & np.uint64(counters - 1)).astype(np.uint32)
 
 
-def _sketch(most: int, counters: int):
+def _passes(h: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for row in range(ROWS):
+        cell = _cells(h, row, 8 * len(bits[row]))
+        out &= (bits[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _alive(hashes: list[np.ndarray], inside: np.ndarray, bits: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each k the places of n-grams whose parts have passed, and which of them pass; the last sketch holds for every longer n-gram."""
+    alive = inside
+    for k, h in enumerate(hashes, 1):
+        where = np.flatnonzero(inside[: len(h)] if k == 1 else alive[: len(h)] & alive[1 : len(h) + 1])
+        own = bits[0] if k <= SHORT else bits[1] if len(bits) > 1 else None
+        passed = _passes(h[where], own) if own is not None else np.ones(len(where), bool)
+        yield k, where, passed
+        alive = np.zeros(len(h), bool)
+        alive[where[passed]] = True
+
+
+def _sketch(ks: range, counters: int, shared):
     """Parts (row, part, places, counts) of the sketch of a task's texts, a few times a task; places is null where all counters are sent."""
     names, kinds = ["row", "part", "places", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     part = min(PART, counters)
 
-    def parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def parts(h: np.ndarray) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        h = np.concatenate(held)
         for row in range(ROWS):
-            cells = np.sort(_cells(h, row, counters))
+            cells = _cells(h, row, counters)
+            cells.sort()
             ends = np.searchsorted(cells, np.arange(part, counters + 1, part, dtype=np.uint64)).tolist()
             start = 0
             for p, end in enumerate(ends):
@@ -128,18 +154,25 @@ def _sketch(most: int, counters: int):
                 start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = _Hashes(), [], 0
+        bits = shared.value if shared is not None else []
+        known, held, n = _Hashes(), np.empty(HELD, np.uint64), 0
         for batch in batches:
             for texts, langs in _slices(batch):
-                _, _, inside, hashes = _grams(texts, langs, most, known)
-                for k, h in enumerate(hashes, 1):
-                    held.append(h[_together(inside, k)])
-                    n += len(held[-1])
-                if n >= HELD:
-                    yield from parts(held)
-                    held, n = [], 0
+                _, _, inside, hashes = _grams(texts, langs, ks[-1], known)
+                if bits:
+                    new = [hashes[k - 1][where] for k, where, _ in _alive(hashes, inside, bits) if k in ks]
+                else:
+                    new = [hashes[k - 1][_together(inside, k)] for k in ks]
+                for h in new:
+                    while len(h):
+                        more = h[: HELD - n]
+                        held[n : n + len(more)] = more
+                        n, h = n + len(more), h[len(more) :]
+                        if n == HELD:
+                            yield from parts(held)
+                            n = 0
         if n:
-            yield from parts(held)
+            yield from parts(held[:n])
 
     return run
 
@@ -166,12 +199,12 @@ def _passing(threshold: int, counters: int):
     return run
 
 
-def sketch_bits(docs: DataFrame, most: int, threshold: int, counters: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, the bits of the counters that reach ``threshold``."""
+def sketch_bits(docs: DataFrame, ks: range, threshold: int, counters: int, shared=None) -> list[np.ndarray]:
+    """For each row of the merged sketch of n-grams of ``ks`` words, the bits of the counters that reach ``threshold``."""
     part = min(PART, counters)
-    made = docs.mapInArrow(_sketch(most, counters), "row int, part int, places binary, counts binary")
+    made = docs.mapInArrow(_sketch(ks, counters, shared), "row int, part int, places binary, counts binary")
     added = made.repartition("row", "part").sortWithinPartitions("row", "part").mapInArrow(_passing(threshold, counters), "row int, part int, bits binary")
-    out = [np.zeros(max(1, counters // 8), np.uint8) for _ in range(ROWS)]
+    out = [np.zeros(counters // 8, np.uint8) for _ in range(ROWS)]
     for found in added.collect():
         at = found["part"] * part // 8
         bits = np.frombuffer(found["bits"], np.uint8)
@@ -179,40 +212,68 @@ def sketch_bits(docs: DataFrame, most: int, threshold: int, counters: int) -> li
     return out
 
 
-def _survivors(most: int, counters: int, shared):
-    """Rows (lang, k, phrase, count) of n-grams that the sketch leaves, summed over a slice of texts; k is 0 for all words of a language."""
-    names, kinds = ["lang", "k", "phrase", "f"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
+_SENT = "bucket int, lang array<string>, k array<int>, phrase array<string>, f array<long>"
 
-    def passes(h: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for row in range(ROWS):
-            cell = _cells(h, row, counters)
-            out &= (bits[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-        return out
+
+def _survivors(most: int, buckets: int, shared):
+    """Rows (bucket, lang, k, phrase, f) of the n-grams of a task that the sketches leave; k is 0 for all words of a language."""
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+
+    def sent(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        keys = np.fromiter(held, np.uint64, len(held))
+        own = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(own, kind="stable")
+        starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+        offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
+        rows = [held[key] for key in keys[order].tolist()]
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(values, kind)) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(own[order][starts]), *columns], ["bucket", "lang", "k", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, _Hashes()
+        bits, known, held = shared.value, _Hashes(), {}
         for batch in batches:
             for texts, langs in _slices(batch):
                 flat, at, inside, hashes = _grams(texts, langs, most, known)
                 codes = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-                code = np.array([codes[lang] for lang in langs])
-                n = np.bincount(code[at[inside]], minlength=len(codes))
-                out: tuple[list, list, list, list] = (list(codes), [0] * len(codes), [""] * len(codes), n.tolist())
-                alive = None
-                for k, h in enumerate(hashes, 1):
-                    live = inside[: len(h)].copy() if k == 1 else alive[: len(h)] & alive[1 : len(h) + 1]
-                    where = np.flatnonzero(live)
-                    where = where[passes(h[where], bits)]
-                    alive = np.zeros(len(h), bool)
-                    alive[where] = True
-                    _, first, counts = np.unique(h[where], return_index=True, return_counts=True)
-                    first = where[first]
-                    out[0].extend(langs[i] for i in at[first].tolist())
-                    out[1].extend([k] * len(first))
-                    out[2].extend(b" ".join(flat[i : i + k]).decode("utf-8", "surrogatepass") for i in first.tolist())
-                    out[3].extend(counts.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], names)
+                n = np.bincount(np.array([codes[lang] for lang in langs])[at[inside]], minlength=len(codes)).tolist()
+                for lang, i in codes.items():
+                    held.setdefault(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=2), [lang, 0, "", 0])[3] += n[i]
+                for k, where, passed in _alive(hashes, inside, bits):
+                    where = where[passed]
+                    found, first, counts = np.unique(hashes[k - 1][where], return_index=True, return_counts=True)
+                    for key, i, c in zip(found.tolist(), where[first].tolist(), counts.tolist(), strict=True):
+                        if (old := held.get(key)) is not None:
+                            old[3] += c
+                        else:
+                            held[key] = [langs[at[i]], k, b" ".join(flat[i : i + k]).decode("utf-8", "surrogatepass"), c]
+                if len(held) >= SURVIVORS:
+                    yield from sent(held)
+                    held = {}
+        if held:
+            yield from sent(held)
+
+    return run
+
+
+def _added(threshold: int):
+    """Exact counts of the n-grams of each bucket, which come sorted by bucket; those of ``threshold`` or more stay."""
+
+    def kept(total: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+        rows = [(*key, f) for key, f in total.items() if f >= threshold or key[1] == 0]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total = None, {}
+        for batch in batches:
+            for i, own in enumerate(batch.column("bucket").to_pylist()):
+                if own != bucket:
+                    yield from kept(total)
+                    bucket, total = own, {}
+                for lang, k, phrase, f in zip(*(batch.column(c)[i].as_py() for c in ("lang", "k", "phrase", "f")), strict=True):
+                    key = (lang, k, phrase)
+                    total[key] = total.get(key, 0) + f
+        yield from kept(total)
 
     return run
 
@@ -220,8 +281,8 @@ def _survivors(most: int, counters: int, shared):
 def frequent_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, threshold: int = 100, max_counters: int = MOST_COUNTERS) -> DataFrame:
     """Every n-gram of 1 to ``most`` words that occurs ``threshold`` times or more in a language: lang, k, phrase, f; k 0 has all words.
 
-    The sketch has a counter for each ``LOAD`` n-grams, up to ``max_counters``; beyond that it lets more n-grams
-    pass to the exact count, whose result stays the same. Within a slice of texts n-grams are told apart by 64-bit hashes, and by text after it.
+    A sketch has a counter for each ``LOAD`` n-grams, up to ``max_counters``; beyond that it lets more n-grams
+    pass to the exact count, whose result stays the same. Within a task n-grams are told apart by 64-bit hashes, and by text after it.
     """
     if not 1 <= threshold <= FULL:
         raise ValueError(f"a threshold from 1 to {FULL}")
@@ -229,11 +290,14 @@ def frequent_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang", mos
     ship_package(spark)
     read = docs.select(text_or_empty(F.col(text)).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     chars = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = chars * most // (6 * LOAD)
+    wanted = chars * min(most, SHORT) // (6 * LOAD)
     counters = min(max_counters, 1 << max(12, int(wanted).bit_length()))
-    shared = spark.sparkContext.broadcast(sketch_bits(read, most, threshold, counters))
-    counted = read.mapInArrow(_survivors(most, counters, shared), "lang string, k int, phrase string, f long")
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("k") == 0))
+    bits = [sketch_bits(read, range(1, min(most, SHORT) + 1), threshold, counters)]
+    if most > SHORT:
+        bits.append(sketch_bits(read, range(SHORT + 1, most + 1), threshold, counters, spark.sparkContext.broadcast(bits)))
+    likely = sum(min(int(np.bitwise_count(row).sum()) for row in x) for x in bits)
+    sent = read.mapInArrow(_survivors(most, 16 + likely // BUCKET, spark.sparkContext.broadcast(bits)), _SENT)
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added(threshold), "lang string, k int, phrase string, f long")
 
 
 def score_phrases(grams: DataFrame) -> DataFrame:
@@ -249,7 +313,9 @@ def score_phrases(grams: DataFrame) -> DataFrame:
     )
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
     score = F.expr("(cast(1000 AS decimal(4, 0)) * cast(a AS decimal(14, 0)) * cast(n AS decimal(16, 0))) div (cast(l AS decimal(16, 0)) * cast(r AS decimal(16, 0)))")
-    least = cuts.join(words, "lang").withColumn("score", score).groupBy("lang", "k", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("best"))
+    # Languages are few; where they are not, their counts are shuffled.
+    few = len(words.take(MOST_LANGS + 1)) <= MOST_LANGS
+    least = cuts.join(F.broadcast(words) if few else words, "lang").withColumn("score", score).groupBy("lang", "k", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("best"))
     return least.select("lang", "k", "phrase", *[F.col(f"best.{c}").alias(c) for c in ("a", "l", "r", "n", "score")])
 
 

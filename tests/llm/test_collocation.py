@@ -71,7 +71,7 @@ def test_sketch_never_underestimates(spark):
     f, n = counts(docs, 5)
     got = {(r.lang, r.phrase): r.f for r in grams.collect() if r.k}
     assert got == {(lang, " ".join(p)): a for (lang, p), a in f.items() if a >= 4}
-    wide = collocation.sketch_bits(df, 5, 4, 1 << 20)
+    wide = collocation.sketch_bits(df, range(1, 6), 4, 1 << 20)
     known = collocation._Hashes()
     passed = seen = 0
     for text, lang in docs:
@@ -93,6 +93,8 @@ def test_sparse_and_full_parts_add_up(spark, monkeypatch):
     one = sorted(collocation.frequent_ngrams(df, threshold=8).collect())
     monkeypatch.setattr(collocation, "HELD", 50)
     monkeypatch.setattr(collocation, "SLICE", 100)
+    monkeypatch.setattr(collocation, "SURVIVORS", 5)
+    monkeypatch.setattr(collocation, "BUCKET", 3)
     assert sorted(collocation.frequent_ngrams(df, threshold=8, max_counters=1 << 20).collect()) == one
 
 
