@@ -28,8 +28,9 @@ from stallwise.session import ship_package, stored
 
 #: Counters of one sent part, n-grams that a task holds before it sends parts, and bytes of text at once.
 PART, HELD, SLICE = 1 << 18, 1 << 23, 2 << 20
-#: Rows of a sketch, n-grams for each counter of a row, and most counters of a row: 256 MB of bits for both rows, which the driver hands on.
-ROWS, LOAD, MOST_COUNTERS = 2, 32, 1 << 30
+#: Rows of a sketch, n-grams for each counter of a row as a multiple of the threshold (of these, in text, most are of frequent ones, which share
+#: few counters), and most counters of a row: 256 MB of bits for both rows, which the driver hands on.
+ROWS, LOAD, MOST_COUNTERS = 2, 2, 1 << 30
 #: Counters are added up to here; a threshold may be as large.
 FULL = 255
 #: Languages whose word counts are broadcast.
@@ -212,22 +213,27 @@ def sketch_bits(docs: DataFrame, ks: range, threshold: int, counters: int, share
     return out
 
 
-_SENT = "bucket int, lang array<string>, k array<int>, phrase array<string>, f array<long>"
+_SENT = "bucket int, langs array<string>, lang binary, k binary, phrases binary, f binary"
 
 
 def _survivors(most: int, buckets: int, shared):
-    """Rows (bucket, lang, k, phrase, f) of the n-grams of a task that the sketches leave; k is 0 for all words of a language."""
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+    """The n-grams of a task that the sketches leave, a row for each bucket, as compressed columns; k is 0 for all words of a language.
+
+    Phrases are joined by line feeds, of which they have none.
+    """
+    names = ["bucket", "langs", "lang", "k", "phrases", "f"]
 
     def sent(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter(held, np.uint64, len(held))
-        own = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(own, kind="stable")
-        starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
-        offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
-        rows = [held[key] for key in keys[order].tolist()]
-        columns = [pa.ListArray.from_arrays(offsets, pa.array(values, kind)) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(own[order][starts]), *columns], ["bucket", "lang", "k", "phrase", "f"])
+        press = zstandard.ZstdCompressor(level=1)
+        by: dict[int, list] = {}
+        for key, row in held.items():
+            by.setdefault((key >> 20) % buckets, []).append(row)
+        for bucket, rows in by.items():
+            rows.sort()
+            langs = {lang: i for i, lang in enumerate(dict.fromkeys(r[0] for r in rows))}
+            packed = [np.array([langs[r[0]] for r in rows], np.int32), np.array([r[1] for r in rows], np.int8), "\n".join(r[2] for r in rows).encode("utf-8", "surrogatepass"), np.array([r[3] for r in rows], np.int64)]
+            columns = [pa.array([press.compress(x if isinstance(x, bytes) else x.tobytes())], pa.binary()) for x in packed]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([list(langs)], pa.list_(pa.string())), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known, held = shared.value, _Hashes(), {}
@@ -264,15 +270,16 @@ def _added(threshold: int):
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, total = None, {}
+        press, bucket, total = zstandard.ZstdDecompressor(), None, {}
         for batch in batches:
-            for i, own in enumerate(batch.column("bucket").to_pylist()):
+            for own, langs, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != bucket:
                     yield from kept(total)
                     bucket, total = own, {}
-                for lang, k, phrase, f in zip(*(batch.column(c)[i].as_py() for c in ("lang", "k", "phrase", "f")), strict=True):
-                    key = (lang, k, phrase)
-                    total[key] = total.get(key, 0) + f
+                lang, k, phrases, f = map(press.decompress, packed)
+                for row in zip(np.frombuffer(lang, np.int32).tolist(), np.frombuffer(k, np.int8).tolist(), phrases.decode("utf-8", "surrogatepass").split("\n"), np.frombuffer(f, np.int64).tolist(), strict=True):
+                    key = (langs[row[0]], row[1], row[2])
+                    total[key] = total.get(key, 0) + row[3]
         yield from kept(total)
 
     return run
@@ -281,7 +288,7 @@ def _added(threshold: int):
 def frequent_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, threshold: int = 100, max_counters: int = MOST_COUNTERS) -> DataFrame:
     """Every n-gram of 1 to ``most`` words that occurs ``threshold`` times or more in a language: lang, k, phrase, f; k 0 has all words.
 
-    A sketch has a counter for each ``LOAD`` n-grams, up to ``max_counters``; beyond that it lets more n-grams
+    A sketch has a counter for each ``LOAD * threshold`` n-grams, up to ``max_counters``; beyond that it lets more n-grams
     pass to the exact count, whose result stays the same. Within a task n-grams are told apart by 64-bit hashes, and by text after it.
     """
     if not 1 <= threshold <= FULL:
@@ -290,7 +297,7 @@ def frequent_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang", mos
     ship_package(spark)
     read = docs.select(text_or_empty(F.col(text)).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     chars = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = chars * min(most, SHORT) // (6 * LOAD)
+    wanted = chars * min(most, SHORT) // (6 * LOAD * threshold)
     counters = min(max_counters, 1 << max(12, int(wanted).bit_length()))
     bits = [sketch_bits(read, range(1, min(most, SHORT) + 1), threshold, counters)]
     if most > SHORT:
