@@ -86,7 +86,7 @@ def conditions(query: ListingQuery, text: Column | None = None) -> Column:
         parts.append(F.col("price_etb") >= query.min_price)
     if query.max_price is not None and query.max_price < MAX_PRICE_FILTER:
         parts.append(F.col("price_etb") <= query.max_price)
-    if SORTS[query.sort][2]:
+    if query.min_price is not None or query.max_price is not None or SORTS[query.sort][2]:
         parts.append(F.col("price_etb").isNotNull())
     return reduce(lambda a, b: a & b, parts)
 

@@ -140,6 +140,11 @@ def _(m):
     return m.listings.where(browse.conditions(browse.ListingQuery(min_price=0, max_price=150_000, sort="price_desc"))).select("id")
 
 
+@query("f01_open_maximum", "select id from listings where status = 'live' and price_etb is not null")
+def _(m):
+    return m.listings.where(browse.conditions(browse.ListingQuery(max_price=150_000))).select("id")
+
+
 @query("f02_area_aliases", "select * from (values ('bole', 'bole'), ('bole', 'Bole'), ('bole', 'ቦሌ'), ('NATION_3', 'NATION_3')) t(area, spelling)")
 def _(m):
     return m.spark.createDataFrame([(a, s) for a in ("bole", "NATION_3") for s in browse.area_aliases(a)], "area string, spelling string")
@@ -289,7 +294,8 @@ def _(m):
 
 # -- aggregates (A) and price semantics (M01-M03) -------------------------------------------------------
 
-#: Statistics of every bucket that a live, priced listing belongs to. Fences come from windows over the bucket's own offers.
+#: Statistics of every bucket that a live, priced listing belongs to. Prices beyond 3 interquartile ranges of a bucket of 12 or
+#: more go, and fences are 1.5 interquartile ranges of the logarithms beyond the quartiles.
 _STATS = f"""
 offers as (
   select id, price_etb, unnest([
@@ -301,11 +307,11 @@ fenced as (
   from offers where b.k is not null window w as (partition by b.k)),
 quantiles as (
   select bucket_key, scope, offered, count(*) as used, quantile_cont(price_etb, [0.25, 0.5, 0.75]) as price, quantile_cont(ln(price_etb), [0.25, 0.75]) as log_price, min(price_etb) as min_etb, max(price_etb) as max_etb
-  from fenced where offered < 12 or abs(price_etb - (lower_quarter + upper_quarter) / 2) <= 3.5 * (upper_quarter - lower_quarter) group by all),
+  from fenced where offered < 12 or price_etb between lower_quarter - 3 * (upper_quarter - lower_quarter) and upper_quarter + 3 * (upper_quarter - lower_quarter) group by all),
 stats as (
   select bucket_key, scope, offered::int as raw_sample_size, used::int as sample_size, (offered - used)::int as trimmed_count,
     round_even(price[2], 0)::int as median_etb, round_even(price[1], 0)::int as p25_etb, round_even(price[3], 0)::int as p75_etb, min_etb, max_etb,
-    greatest(1, round_even(exp(2.5 * log_price[1] - 1.5 * log_price[2]), 0)::int) as low_fence_etb, round_even(exp(2.5 * log_price[2] - 1.5 * log_price[1]), 0)::int as high_fence_etb
+    greatest(1, round_even(exp(log_price[1] - 1.5 * (log_price[2] - log_price[1])), 0)::int) as low_fence_etb, round_even(exp(log_price[2] + 1.5 * (log_price[2] - log_price[1])), 0)::int as high_fence_etb
   from quantiles)"""
 
 

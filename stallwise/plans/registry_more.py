@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stallwise.functions import similarity, text
-from stallwise.operators import browse, counters, dedup, holds, messaging, moderation, nlparse, price, ranking, search
+from stallwise.operators import browse, counters, dedup, holds, messaging, moderation, nlparse, price, ranking, search, textindex, vectorindex
 from stallwise.plans.registry import _LADDER, _TERM, _stats, _termed, query
+from stallwise.session import shared_folder
 from stallwise.sources import files
 from stallwise.streaming import sessions
 
@@ -316,8 +319,9 @@ def _(m):
 
 
 def _clusters(m):
+    """All items, and the clusters of the eligible ones."""
     items = _described(m, m.sightings)
-    return items, dedup.leader_clusters(items)
+    return items, dedup.leader_clusters(dedup.eligible(items))
 
 
 @query("v09_leader_clusters")
@@ -333,7 +337,7 @@ def _(m):
 @query("a18_dedup_report")
 def _(m):
     items, clusters = _clusters(m)
-    return dedup.dedup_report(clusters, dedup.cluster_rows(items, clusters))
+    return dedup.dedup_report(items, clusters, dedup.cluster_rows(items, clusters))
 
 
 @query("v11_embedding_text", "select id, trim(concat_ws(' ', title_en, title_am, case when category_slug is null then '' else category_slug end)) as t from listings")
@@ -355,9 +359,39 @@ def _(m):
     return search.expand_table(tokens, m.synonyms).select("token", F.array_join("expansions", ",").alias("expansions"))
 
 
-@query("s03_ranked_hits")
+#: Queries of the index, and their parts as parse_queries gives them: query, clause, unit, excluded, words.
+_ASKED = [(0, 'ring -small or "blue bolt"'), (1, "ring blue"), (2, '"hot gear" -brand#11 or widget or plate plate'), (3, "brand small"), (4, "gear or gear"), (5, "nothing like it"), (6, '"ring ring"')]
+_ASKED_UNITS = [
+    (0, 0, 0, False, ["ring"]), (0, 0, 1, True, ["small"]), (0, 1, 3, False, ["blue", "bolt"]), (1, 0, 0, False, ["ring"]), (1, 0, 1, False, ["blue"]), (2, 0, 0, False, ["hot", "gear"]), (2, 0, 1, True, ["brand", "11"]),
+    (2, 1, 3, False, ["widget"]), (2, 2, 5, False, ["plate"]), (2, 2, 6, False, ["plate"]), (3, 0, 0, False, ["brand"]), (3, 0, 1, False, ["small"]), (4, 0, 0, False, ["gear"]), (4, 1, 2, False, ["gear"]),
+    (5, 0, 0, False, ["nothing"]), (5, 0, 1, False, ["like"]), (5, 0, 2, False, ["it"]), (6, 0, 0, False, ["ring", "ring"]),
+]
+
+
+def _covers_sql(units: list[tuple], source: str = "select id, title_en as title from listings") -> str:
+    """Common tables up to ``ranks`` (q, id, rank): every span of two occurrences is tried as a cover."""
+    rows = ", ".join(f"({q}, {c}, {u}, {str(neg).lower()}, {len(words)}, {j}, '{w}')" for q, c, u, neg, words in units for j, w in enumerate(words))
+    return f"""words as (select id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), lambda w: w <> '')) as w, generate_subscripts(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), lambda w: w <> ''), 1) - 1 as pos from ({source})),
+u(q, c, u, neg, n, j, w) as (values {rows}),
+occ as (select q, c, u, neg, n, id, pos - j as s, pos - j + n - 1 as e from u join words using (w) group by all having count(distinct j) = n),
+wanted as (select q, c, count(distinct u) filter (not neg) as k from u group by all),
+held as (select q, c, id from occ join wanted using (q, c) group by q, c, id, k having count(distinct u) filter (not neg) = k and count(distinct u) filter (neg) = 0),
+good as (select occ.* from occ join held using (q, c, id) where not neg),
+spans as (select distinct a.q, a.c, a.id, a.s as l, b.e from good a join good b on a.q = b.q and a.c = b.c and a.id = b.id and a.s <= b.e),
+covers as (select s.q, s.c, s.id, s.l, s.e from spans s join good g on g.q = s.q and g.c = s.c and g.id = s.id and g.s >= s.l and g.e <= s.e join wanted w on w.q = s.q and w.c = s.c group by all having count(distinct g.u) = any_value(w.k)),
+least as (select * from covers a where not exists (select 1 from covers b where b.q = a.q and b.c = a.c and b.id = a.id and b.l >= a.l and b.e <= a.e and (b.l > a.l or b.e < a.e))),
+own as (select distinct q, c, id, unnest(generate_series(s, e)) as p from good),
+ranks as (select q, id, round(sum(0.1 / (2 + e - l - inside)), 9) as rank from (select least.*, (select count(*) from own where own.q = least.q and own.c = least.c and own.id = least.id and p between l and e) as inside from least) group by all)"""
+
+
+def _index(m):
+    return textindex.postings(m.listings.select("id", "title_en"), search.document_tokens(F.col("title_en")))
+
+
+@query("s01_index_queries", f"with {_covers_sql(_ASKED_UNITS)} select q as query_id, id, rank from ranks")
 def _(m):
-    return search.ranked(search.keyword_hits(m.listings, "blue bolt", ["bolt", "blue bolt"])).select("id", "score")
+    asked = m.spark.createDataFrame(_ASKED, "query_id int, q string")
+    return textindex.search(textindex.parse_queries(asked), _index(m), m.listings.select("id"))
 
 
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(lower({0}), ' '), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -368,6 +402,43 @@ def _(m):
     return m.part.select("p_partkey", F.round(similarity.trigram_similarity(F.col("p_name"), L("small rings")), 9).alias("sim"))
 
 
+#: Queries of both passes, the terms that they stand for, and the vectors that stand for their meaning.
+_SEARCHED = [(0, "blue bolt"), (1, "hot gear"), (2, "something to sit on"), (3, "smal ring")]
+_EXPANDED = [(0, "bolt"), (0, "blue bolt"), (1, "gear"), (1, "hot gear"), (2, "sit"), (3, "smal"), (3, "ring")]
+_EXPANDED_UNITS = [(q, i, 0, False, e.split()) for i, (q, e) in enumerate(_EXPANDED)]
+_SIM = "coalesce(len(list_intersect(ga, gq))::double / nullif(len(list_distinct(list_concat(ga, gq))), 0), 0)"
+
+
+def _keyword_sql(where: str) -> str:
+    asked = ", ".join(f"({q}, '{text}')" for q, text in _SEARCHED)
+    plain = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_\u1200-\u137f]+'), lambda w: w <> '')"
+    grams = lambda c: f"list_distinct(flatten(list_transform({plain.format(c)}, lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    sim = lambda a: _SIM.replace("ga", a)
+    return f"""kept as (select * from listings where status = 'live' and {where}), {_covers_sql(_EXPANDED_UNITS, "select id, concat_ws(' ', title_en, title_am) as title from kept").replace("[^a-z0-9_]+", "[^a-z0-9_\u1200-\u137f]+")},
+asked(q, text) as (values {asked}), gq as (select q, {grams('text')} as gq from asked), gl as (select id, price_etb, {grams('title_en')} as ge, {grams('title_am')} as gam from kept),
+scored as (select q, id, price_etb, rank, {sim('ge')} as en, {sim('gam')} as am from gl cross join gq left join ranks using (q, id)),
+hits as (select q, id, price_etb, round(4 * coalesce(rank, 0) + en + am, 9) as score from scored where rank is not null or en > 0.35 or am > 0.35),
+first as (select *, row_number() over (partition by q order by score desc, price_etb asc nulls last, id) as rank from hits qualify rank <= 24)"""
+
+
+def _searched(m, listings):
+    index = textindex.postings(listings, search.document_tokens(F.col("title_en"), F.col("title_am")))
+    return index, m.spark.createDataFrame(_SEARCHED, "query_id int, q string"), m.spark.createDataFrame(_EXPANDED, "query_id int, expansion string")
+
+
+@query("s03_ranked_hits", f"with {_keyword_sql('true')} select q as query_id, id, rank::int as rank, score from first")
+def _(m):
+    live = search.passing(m.listings)
+    return search.ranked(search.keyword_ranks(live, *_searched(m, live))).select("query_id", "id", "rank", "score")
+
+
+@query("s04_trigram_join", f"with g as (select p_partkey as id, {_GRAMS.format('p_name')} as ga from part), q as (select distinct p_partkey as query_id, {_GRAMS.format('p_name')} as gq from part where p_partkey % 20 = 0), s as (select query_id, id, {_SIM} as sim from g cross join q) select query_id, id, round(sim, 9) as sim from s where sim > 0.35")
+def _(m):
+    names = m.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    asked = names.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("q"))
+    return textindex.trigram_matches(asked, names, search.SIMILAR).select("query_id", "id", F.round("sim", 9).alias("sim"))
+
+
 @query("s05_unaccent", "select id, replace(strip_accents(raw_text), 'ß', 'ss') as t from raw_messages")
 def _(m):
     return m.raw_messages.select("id", similarity.unaccent(F.col("raw_text")).alias("t"))
@@ -378,11 +449,38 @@ def _(m):
     return m.listings.where((F.col("status") == "live") & (F.col("category_slug") == "building") & F.col("price_etb").between(1000, 90_000)).select("id")
 
 
-@query("s07_hybrid")
+#: A listing's vector is the one of its id; a query's the one of ten times its own.
+_HYBRID = f"""with {_keyword_sql("price_etb >= 1000 and price_etb <= 250000")},
+short as (select asked.q, count(first.id) as n from asked left join first on first.q = asked.q group by all having n < 5),
+near as (select short.q, short.n, kept.id, list_cosine_similarity(e.embedding::double[], v.embedding::double[]) as cos from short join embeddings v on v.vec_id = 10 * short.q, kept join embeddings e on e.vec_id = kept.id
+  where not exists (select 1 from first where first.q = short.q and first.id = kept.id)),
+filled as (select *, n + row_number() over (partition by q order by cos desc, id) as rank from near qualify rank <= 24),
+every as (select q, rank, id, score, 'keyword_hybrid' as method from first union all select q, rank, id, round(cos, 9), 'semantic_vector' from filled)
+select every.q as query_id, rank::int as rank, id, score, method, case when short.n is null then 'keyword_hybrid' when short.n = 0 then 'semantic_vector_fallback' else 'keyword_with_semantic_fallback' end as method_used from every left join short on short.q = every.q"""
+
+
+@query("s07_hybrid", _HYBRID)
+def _(m):
+    kept = search.passing(m.listings, min_price=1000, max_price=250_000)
+    vectors = m.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where(F.col("id").isin([10 * q for q, _ in _SEARCHED])).select((F.col("id") / 10).cast("int").alias("query_id"), "embedding")
+    index, queries, expansions = _searched(m, kept)
+    return search.hybrid(kept, index, queries, expansions, vectors, asked)
+
+
+@query("t07_nearest_many", "with s as (select q.vec_id as query_id, v.vec_id as id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as cos from embeddings v, embeddings q where q.vec_id % 20 = 0) select query_id, id, round(cos, 9) as score, row_number() over (partition by query_id order by cos desc, id)::int as rank from s qualify rank <= 10")
+def _(m):
+    vectors = m.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vectorindex.nearest_many(vectors, asked, 10).withColumn("score", F.round("score", 9))
+
+
+@query("t07_vector_index")
 def _(m):
     vectors = m.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    first = m.embeddings.where("vec_id = 0").select("embedding").first()["embedding"]
-    return search.hybrid(m.listings, "something to sit on", ["sit"], vectors, first)
+    asked = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = vectorindex.build(vectors, f"{shared_folder(m.spark)}/cells-{uuid.uuid4().hex}")
+    return vectorindex.search(index, asked, 10, probes=max(8, len(index.centroids) // 8))
 
 
 @query("s09_equivalent_queries", "select true as same")
