@@ -483,10 +483,15 @@ def _(m):
     return vectorindex.search(index, asked, 10, probes=max(8, len(index.centroids) // 8))
 
 
-@query("s09_equivalent_queries", "select true as same")
+@query("s09_equivalent_queries", "select a.synonym as q, b.synonym as other, count(l.id) as n from synonyms a join synonyms b on a.canonical_term = b.canonical_term and a.synonym < b.synonym left join listings l on list_has_any(string_split(lower(title_en), ' '), (select list(synonym) from synonyms s where s.canonical_term = a.canonical_term and not contains(synonym, ' '))) or exists (select 1 from synonyms s where s.canonical_term = a.canonical_term and contains(synonym, ' ') and contains(' ' || lower(title_en) || ' ', ' ' || synonym || ' ')) group by all")
 def _(m):
-    words = [r.asDict() for r in m.synonyms.collect()]
-    return m.spark.createDataFrame([(search.expand("ring", words) == search.expand("small ring", words),)], "same boolean")
+    """Pairs of one term's synonyms, and how many listings both find; synonyms that find other listings would be left out."""
+    words = m.synonyms.select(F.col("synonym").alias("token"))
+    asked = search.expand_table(words, m.synonyms).select(F.xxhash64("token").alias("query_id"), F.col("token").alias("q"), "expansions")
+    found = textindex.search(textindex.phrase_units(asked.select("query_id", F.explode("expansions").alias("expansion"))), _index(m), m.listings.select("id"))
+    hits = asked.join(found.groupBy("query_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids")), "query_id", "left").select("q", "expansions", F.coalesce("n", L(0).cast("long")).alias("n"), "ids")
+    other = hits.select(F.col("q").alias("other"), "expansions", F.col("n").alias("m"), F.col("ids").alias("same"))
+    return hits.join(other, "expansions").where((F.col("q") < F.col("other")) & (F.col("n") == F.col("m")) & F.col("ids").eqNullSafe(F.col("same"))).select("q", "other", "n")
 
 
 @query("s10_semantic_filtered", "with q as (select embedding as e from embeddings where vec_id = 3) select vec_id, round(list_cosine_similarity(embedding::double[], e::double[]), 6) as score from embeddings, q where label = 4 order by list_cosine_similarity(embedding::double[], e::double[]) desc, vec_id limit 10")
@@ -495,17 +500,25 @@ def _(m):
     return search.nearest(m.embeddings.where("label = 4"), one, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-_SENTENCES = ["ring under 20000", "widget less than 3000 birr", "bolt ከ10000 በታች ቦሌ", "gear ከ2000 እስከ 8000", "brand new plate in bole", "plate 20k", "plate 20000"]
+#: A sentence for each listing, by its id; what it says of price, place and condition is known from its columns.
+_SENTENCE = """select id, word, slug, amount, id % 6 as kind,
+  concat(case id % 5 when 0 then 'brand new ' when 1 then 'used ' else '' end, word, ' in ', case id % 4 when 0 then 'bole' when 1 then 'ፒያሳ' else 'town' end,
+    case id % 6 when 0 then concat(' under ', cast(amount as string)) when 1 then concat(' ከ', cast(amount as string), ' ብር በላይ') when 2 then concat(' ', cast(amount as string), ' to ', cast(amount + 700 as string), ' birr')
+      when 3 then concat(' at least ', cast(amount as string), 'k') when 4 then concat(' ', cast(amount as string)) else '' end) as query
+from (select id, case id % 3 when 0 then 'small ring' when 1 then 'gadget' else 'plate' end as word, case id % 3 when 0 then 'household' when 1 then 'machinery' else 'furniture' end as slug, 3000 + id % 7 * 10 as amount from {listings}) x"""
 
 
 @query(
     "n02_sentences",
-    """select i, category, cast(area as varchar) as area, condition, min_price::bigint as min_price, max_price::bigint as max_price, q from (values (0, 'household', null, null, null, 20000, 'ring'), (1, 'machinery', null, null, null, 3000, 'widget'), (2, 'building', null, null, null, 10000, 'bolt'), (3, 'automobile', null, null, 2000, 8000, 'gear'),
-  (4, 'furniture', null, 'brand_new', null, null, 'plate'), (5, 'furniture', null, null, null, 20000, 'plate'), (6, 'furniture', null, null, null, null, 'plate')) t(i, category, area, condition, min_price, max_price, q)""",
+    f"""select id, slug as category, case when id % 4 = 0 and exists (select 1 from listings where status = 'live' and lower(location_area) = 'bole') then 'Bole' end as area, case when id % 5 = 0 then 'brand_new' end as condition,
+  case id % 5 when 1 then 'lightly_used' end as suggest_condition, (case kind when 1 then amount when 2 then amount when 3 then amount * 1000 end)::bigint as min_price, (case kind when 0 then amount when 2 then amount + 700 end)::bigint as max_price, (case kind when 4 then amount end)::bigint as suggest_max_price,
+  concat(case word when 'small ring' then 'ring' when 'gadget' then 'widget' else word end, case when id % 4 > 1 then ' town' else '' end, case kind when 4 then '' else '' end) as q
+  from ({_SENTENCE.replace('{listings}', 'listings').replace('as string)', 'as varchar)')}) s""",
 )
 def _(m):
-    words = nlparse.lexicon(m.synonyms, m.categories, m.listings)
-    return nlparse.parse_column(_frame(m, _SENTENCES, "query"), words).drop("query")
+    queries = m.spark.sql(_SENTENCE, listings=m.listings)
+    parsed = nlparse.assembled(nlparse.parse(queries, m.synonyms, m.categories, m.listings, key="id"), "id")
+    return parsed.select("id", "category", "area", "condition", "suggest_condition", "min_price", "max_price", "suggest_max_price", "q")
 
 
 @query("n07_assemble", "select id, case when extraction_confidence >= 0.7 then category_slug end as applied, case when extraction_confidence >= 0.35 and extraction_confidence < 0.7 then category_slug end as suggested from listings")
@@ -786,16 +799,18 @@ def _(m):
     return embedded.select("p_partkey", F.size("e").cast("long").alias("dims"), F.round(similarity.dot(F.col("e"), F.col("e")), 6).alias("norm"))
 
 
-@query("s08_explain")
-def _(m):
-    plan = search.plan_text(search.ranked(search.keyword_hits(m.listings, "bolt", ["bolt"])))
-    return m.spark.createDataFrame([(line,) for line in plan.split("\n") if line.strip()], "line string")
-
-
-@query("n08_fill_gaps", "select 'phones' as category, 5000::bigint as max_price, 0.85::double as confidence")
+@query(
+    "n08_fill_gaps",
+    """select id, case when category_slug is null or 0.9 < 0.85 then case when id % 2 = 0 then 'books' end else category_slug end as category, case when price_etb is not null then 0.9 when id % 2 = 0 then 0.85 end::double as sure,
+  case when price_etb is not null then price_etb end as min_price, case when id % 4 = 0 and coalesce(price_etb <= 5000, true) then 5000 end as max_price from listings""",
+)
 def _(m):
-    out = nlparse.fill_gaps({"category": ("phones", 0.9)}, {"category": ("books", 0.99), "max_price": (5000, 0.99)})
-    return m.spark.createDataFrame([(out["category"][0], out["max_price"][0], out["max_price"][1])], "category string, max_price long, confidence double")
+    field = lambda value, sure, when: F.when(when & value.isNotNull(), F.struct(value.alias("value"), L(float(sure)).alias("sure")))
+    yes, even = L(True), F.col("id") % 2 == 0
+    rules = {"category": field(F.col("category_slug"), 0.9, yes), "min_price": field(F.col("price_etb"), 0.9, yes)}
+    model = {"category": field(L("books"), 0.99, even), "max_price": field(L(5000), 0.99, F.col("id") % 4 == 0), "min_price": field(L(None).cast("int"), 0.99, yes), "sure": field(L(1), 0.99, even)}
+    out = nlparse.fill_gaps(rules, model)
+    return m.listings.select("id", out["category"]["value"].alias("category"), F.coalesce(out["min_price"]["sure"], out["sure"]["sure"]).alias("sure"), out["min_price"]["value"].alias("min_price"), out["max_price"]["value"].alias("max_price"))
 
 
 # -- posts with prices, phones and handles (X, A) -----------------------------------------------------------

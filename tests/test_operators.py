@@ -199,11 +199,10 @@ def test_clusters_take_every_sighting(spark, sf_dir, name):
 
 
 def test_every_live_place_is_known_among_many(spark):
-    synonyms = spark.createDataFrame([], "synonym string, canonical_term string, category_slug string")
-    categories = spark.createDataFrame([], "slug string, name_en string")
     listings = spark.range(30_000).selectExpr("'live' as status", "concat('area ', id) as location_area")
-    listings = listings.unionByName(spark.createDataFrame([("live", a) for a in browse.AREA_SPELLINGS], "status string, location_area string"))
-    assert nlparse.lexicon(synonyms, categories, listings).live_areas == {a.lower() for a in browse.AREA_SPELLINGS}
+    listings = listings.unionByName(spark.createDataFrame([("live", a) for a in list(browse.AREA_SPELLINGS)[3:]] + [("queued", a) for a in browse.AREA_SPELLINGS], "status string, location_area string"))
+    sure = {r.value: r.sure for r in nlparse.places(listings).collect()}
+    assert sure == {a: nlparse.UNSEEN_AREA if i < 3 else nlparse.KNOWN_AREA for i, a in enumerate(browse.AREA_SPELLINGS)}
 
 
 def test_bands_share_one_at_six_flips(spark):
@@ -226,19 +225,37 @@ SYNONYMS = [
 ]
 
 
-@pytest.mark.parametrize(
-    ("query", "want"),
-    [
+SENTENCES = [
         ("ላፕቶፕ under 20000", {"category": "computers", "max_price": 20000}), ("bag less than 3000 birr", {"category": "fashion", "max_price": 3000, "q": "bag"}),
         ("ስልክ ከ10000 በታች ቦሌ", {"category": "phones", "max_price": 10000, "area": "Bole"}), ("ሶፋ ቦሌ", {"category": "furniture", "area": "Bole", "q": "sofa"}), ("አዲስ አይፎን", {"category": "phones", "condition": "brand_new", "q": "iphone"}),
         ("የቤት እቃ ከ5ሺ በላይ", {"category": "furniture", "min_price": 5000}), ("ጠረጴዛ ከ2000 እስከ 8000", {"category": "furniture", "min_price": 2000, "max_price": 8000, "q": "table"}), ("ቴሌቪዥን መገናኛ", {"category": "tv-audio", "area": "Megenagna", "q": "tv"}),
         ("laptop 20k", {"category": "computers", "max_price": 20000}), ("ላፕቶፕ ዴል", {"category": "computers", "q": "dell"}), ("brand new samsung in bole", {"category": "phones", "area": "Bole", "condition": "brand_new", "q": "samsung"}),
         ("laptop 20000", {"category": "computers"}), ("iphone 13 under 30k bole", {"category": "phones", "area": "Bole", "max_price": 30000, "q": "iphone 13"}), ("", {}), ("x" * 300, {"q": "x" * 200}),
-    ],
-)
-def test_sentences(query, want):
-    words = nlparse.Lexicon({s: (c, k) for c, s, k in SYNONYMS}, {"የቤት እቃ": "furniture"}, frozenset({"bole", "megenagna"}))
-    assert nlparse.assemble(nlparse.parse(query, words))[0] == want
+        ("sofa between 100 and 400", {"category": "furniture", "q": "sofa between 100 400"}), ("bag 2k-3k", {"category": "fashion", "min_price": 2000, "max_price": 3000, "q": "bag"}), ("bag 900 - 100", {"category": "fashion", "q": "bag 100"}),
+        ("iphone13 no more than 1,500 etb", {"max_price": 1500, "q": "iphone13"}), ("bag more than 5000 under 900", {"category": "fashion", "min_price": 5000, "max_price": 900, "q": "bag"}), ("bag 128gb", {"category": "fashion", "q": "bag 128gb"}),
+        ("bag in 22 over 4m", {"category": "fashion", "min_price": 4_000_000, "q": "bag"}), ("sofa table bag", {"q": "sofa bag table"}), (None, {}), ("bag ከ3000 birr በታች 9000", {"category": "fashion", "max_price": 3000, "q": "bag 9000"}), ("cheap nice bag for me", {"category": "fashion", "q": "bag"}),
+        ("toyota 2018", {"q": "toyota 2018"}),
+]
+
+
+def test_sentences(spark):
+    synonyms = spark.createDataFrame(SYNONYMS, "canonical_term string, synonym string, category_slug string")
+    categories = spark.createDataFrame([("furniture", "የቤት እቃ")], "slug string, name_en string")
+    listings = spark.createDataFrame([("live", "Bole"), ("live", "Megenagna"), ("queued", "Hayahulet")], "status string, location_area string")
+    queries = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(SENTENCES)], "query_id int, query string")
+    parsed = nlparse.assembled(nlparse.parse(queries, synonyms, categories, listings))
+    got = {r["query_id"]: {k: r[k] for k in (*nlparse.FIELDS, "q") if r[k] is not None} for r in parsed.collect()}
+    for i, (q, want) in enumerate(SENTENCES):
+        assert got[i] == want, q
+
+
+def test_models_fill_gaps(spark):
+    kind = "category struct<value:string,sure:double>, min_price struct<value:long,sure:double>"
+    rows = spark.createDataFrame([((("phones", 0.9), None), (("books", 0.99), (5000, 0.99))), ((("phones", 0.5), (9000, 0.9)), (("books", 0.6), (100, 0.3)))], f"rules struct<{kind}>, model struct<category:struct<value:string,sure:double>,max_price:struct<value:long,sure:double>>")
+    side = lambda x, names: {n: F.col(f"{x}.{n}") for n in names}
+    out = nlparse.fill_gaps(side("rules", ("category", "min_price")), side("model", ("category", "max_price")))
+    got = [tuple(tuple(v) if v else None for v in r) for r in rows.select(*[c.alias(n) for n, c in out.items()]).collect()]
+    assert got == [(("phones", 0.9), None, (5000, 0.85)), (("books", 0.6), (9000, 0.9), None)]
 
 
 def test_expansions_agree():
