@@ -32,8 +32,6 @@ from stallwise.session import checkpoint, ship_package
 
 #: Defaults of ``fit``: seeds, units of endings, classes, and words whose counts and classes every task holds.
 SEEDS, ENDINGS, CLASSES, HELD = 1000, 256, 48, 50_000
-#: Most frequent words of a task's part that compete to be seeds.
-CANDIDATES = 20_000
 #: Hash that stands for the end of a text; words' hashes are even.
 END_HASH = 1
 REMEMBERED = 500_000
@@ -83,14 +81,15 @@ def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n) of the most frequent words of this part."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n) of the words of this part, of each once for every ``REMEMBERED`` words."""
     seen: Counter[bytes] = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if seen:
-            top = seen.most_common(CANDIDATES)
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w, _ in top], pa.int64()), pa.array([n for _, n in top], pa.int64())], ["h", "n"])
+        words = list(seen)
+        for at in range(0, len(words), 100_000):
+            some = words[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in some], pa.int64()), pa.array([seen[w] for w in some], pa.int64())], ["h", "n"])
         seen.clear()
 
     for whole in batches:
@@ -342,13 +341,14 @@ def fit(docs: DataFrame, training: Column, classes: int = CLASSES, seeds: int =
     clustering, and thereby its memory and time on the driver; ``held`` only saves shuffling. Counts cover all rows.
 
     A null or empty text is one end token. Without training rows every count is 0 and smoothing is uniform. Repeated rows count
-    each time. Other columns of ``docs`` than ``text`` and those in ``training`` are not read.
+    each time. Very long texts are read whole. The model does not depend on how rows lie in partitions. Other columns of ``docs`` than ``text``
+    and those in ``training`` are not read.
     """
     if not 2 <= classes <= 128:
         raise ValueError("from 2 to 128 classes")
     ship_package(docs.sparkSession)
     texts = docs.where(training).select("text")
-    top = {r["h"]: i for i, r in enumerate(most_frequent(checkpoint(texts.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))), seeds))}
+    top = {r["h"]: i for i, r in enumerate(most_frequent(checkpoint(texts.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))), seeds))}
     units = len(top) + endings + 1
     pairs = texts.mapInArrow(_bigrams(top, endings), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(units * units)
