@@ -25,7 +25,7 @@ DIMS, BITS, HASHED = 3, 10, 64
 #: Distinct chunks of text whose ids a Python worker remembers; beyond it the memory is emptied.
 REMEMBERED = 600_000
 #: Bits of a cell of the curve, least bytes of ids in a range, and most ranges.
-CELL_BITS, RANGE_BYTES, MOST_RANGES = 14, 8 << 20, 20_000
+CELL_BITS, RANGE_BYTES, MOST_RANGES = 14, 8 << 20, 200_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,17 +65,19 @@ class _Tokens:
     """A tokenizer with a memory of chunks between spaces, as two little-endian bytes an id.
 
     Its normalizer and its splitter must never look across a space or a line feed, so that the ids of a text are those
-    of its chunks in order; a tokenizer that gives other ids for ``PROBES`` is refused. One lives in each Python worker.
+    of its chunks in order; a tokenizer that gives other ids for ``PROBES`` is refused, and one whose special tokens take blanks. Special
+    tokens that a text names get their ids, as the library does without further settings. One lives in each Python worker.
     """
 
-    PROBES = ("a b", " a  b\nc ", "The cat's 12 345.67 (x) ... \n\n\tend", "\u00e9 e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\u200d x", "a\u00a0b\r\nc ---- ## 1 2 3")
+    PROBES = ("a b", " a  b\nc ", "The cat's 12 345.67 (x) ... \n\n\tend", "\u00e9 e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\u200d x", "a\u00a0b\r\nc ---- ## 1 2 3", "a <|endoftext|> b<|endoftext|>c <|startoftext|><|endoftext |>")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        if any(" " in t.content or "\n" in t.content or t.lstrip or t.rstrip or t.single_word for t in self.model.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens that take blanks or look at their neighbours")
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than two bytes")
         self.known: dict[str, bytes] = {}

@@ -146,7 +146,6 @@ def test_packing_loses_no_id(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     _check_pieces(queries.op7_curve_packing(spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
     odd = awkward(spark)
@@ -157,6 +156,16 @@ def test_packing_loses_no_id(spark, sf_dir):
     assert curve_packing.pack_along_curve(empty(spark), path).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext |> <|ENDOFTEXT|>", "a<|endoftext|>"]
+    rows = curve_packing.pack_along_curve(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    _check_pieces(rows, list(enumerate(texts)), Tokenizer.from_file(path))
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[0] == 4
+
+
 # -- media -------------------------------------------------------------------------------------------
 
 
@@ -445,6 +454,19 @@ def test_most_frequent_words_by_histogram(spark):
     assert brown.most_frequent(counts.limit(0), 5) == []
 
 
+def test_brown_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).select("doc_id", "text")
+    found = []
+    for k in (2, 24):
+        own = docs.repartition(k)
+        model, words = brown.fit(own, F.lit(True), seeds=300)
+        assert words.count() == model.distinct
+        found.append((model.seeds, {r["doc_id"]: r["score"] for r in brown.score(own, model, words).collect()}))
+    (seeds, scores), (others, again) = found
+    assert list(seeds.items()) == list(others.items()) and scores.keys() == again.keys()
+    assert all(abs(scores[i] - again[i]) < 1e-6 for i in scores)
+
+
 def test_brown_of_awkward_rows(spark):
     for d in (awkward(spark), empty(spark)):
         model, words = brown.fit(d, F.lit(True))
