@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.operators import ranking
+from stallwise.session import checkpoint
 
 #: Least samples of a bucket by use, and the trimming and outlier rules; fixed values.
 MIN_SAMPLE, MODERATION_MIN_SAMPLE, AUTOFILL_MIN_SAMPLE, TRIM_MIN_SAMPLE, OUTLIER_RATIO = 8, 5, 5, 12, 0.3
@@ -34,30 +35,68 @@ def bucket_keys(category: Column, condition: Column, term: Column) -> Column:
     return F.filter(rungs, lambda r: r["bucket_key"].isNotNull())
 
 
+def price_counts(listings: DataFrame) -> DataFrame:
+    """(bucket_key, scope, price_etb, n) of live, priced ``listings`` (with ``term``): how often each bucket has each price.
+
+    Counts of separate sets of listings add up, so yesterday's can be kept and today's merged into them.
+    """
+    live = listings.where((F.col("status") == "live") & (F.col("price_etb") > 0))
+    each = live.select("price_etb", F.explode(bucket_keys(F.col("category_slug"), F.col("condition"), F.col("term"))).alias("b"))
+    return each.groupBy("b.bucket_key", "b.scope", "price_etb").agg(F.count("*").alias("n"))
+
+
+def _quantiles(summed: DataFrame, spans: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """For each bucket of ``spans`` (bucket_key, first, k), the quantiles of its ``k`` prices from rank ``first`` (0 is the lowest) on.
+
+    ``summed`` has each price's count ``n`` and the count ``upto`` it. A quantile lies between the prices at two ranks, columns
+    ``{name}_lo`` and ``{name}_hi``, by the part ``{name}_f``.
+    """
+    aggs = []
+    for name, share in shares.items():
+        at = (F.col("k") - 1) * F.lit(share)
+        for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            rank = F.col("first") + rank
+            aggs.append(F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("price_etb"))).alias(f"{name}_{end}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"{name}_f"))
+    return summed.join(spans, "bucket_key").groupBy("bucket_key").agg(*aggs)
+
+
+def _between(name: str, f=lambda c: c) -> Column:
+    low, high, part = f(F.col(f"{name}_lo").cast("double")), f(F.col(f"{name}_hi").cast("double")), F.col(f"{name}_f")
+    return low + (high - low) * part
+
+
 def price_stats(listings: DataFrame) -> DataFrame:
-    """Statistics of each bucket of live, priced ``listings`` (with ``term``).
+    return stats_of_counts(price_counts(listings))
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """Statistics of each bucket of ``price_counts``.
 
     Prices beyond three interquartile ranges go from buckets of ``TRIM_MIN_SAMPLE`` or more. Quartiles interpolate and
-    round ties to even; fences are Tukey's in log space, the low one at least 1. One explode feeds both passes, and
-    the buckets' raw quartiles come back by a join on the bucket key.
+    round ties to even; fences are Tukey's in log space, the low one at least 1.
+
+    Quantiles are exact and no bucket is gathered: running sums of counts in ranges of (bucket, price) say where each rank lies,
+    and the prices that are kept are a run of ranks, so both passes read the same sums.
     """
-    live = listings.where((F.col("status") == "live") & (F.col("price_etb") > 0))
-    each = live.select("price_etb", F.explode(bucket_keys(F.col("category_slug"), F.col("condition"), F.col("term"))).alias("b")).select("b.bucket_key", "b.scope", "price_etb")
-    quart = lambda p, c="price_etb": F.percentile(c, F.lit(p))
-    raw = each.groupBy("bucket_key").agg(F.count("*").alias("raw_n"), quart(0.25).alias("q1"), quart(0.75).alias("q3"))
+    summed = checkpoint(ranking.running_sum(counts, "bucket_key", ["price_etb"], "n", "upto"))
+    totals = summed.groupBy("bucket_key", "scope").agg(F.sum("n").alias("raw_n"))
+    raw = _quantiles(summed, totals.select("bucket_key", F.lit(0).cast("long").alias("first"), F.col("raw_n").alias("k")), {"q1": 0.25, "q3": 0.75})
+    bounds = totals.join(raw, "bucket_key").select("bucket_key", "scope", "raw_n", _between("q1").alias("q1"), _between("q3").alias("q3"))
     spread = 3 * (F.col("q3") - F.col("q1"))
-    kept = each.join(raw, "bucket_key").where((F.col("raw_n") < TRIM_MIN_SAMPLE) | F.col("price_etb").between(F.col("q1") - spread, F.col("q3") + spread))
-    log = F.log("price_etb")
-    agg = kept.groupBy("bucket_key", "scope", "raw_n").agg(
-        F.count("*").alias("n"), quart(0.25).alias("p25"), quart(0.5).alias("p50"), quart(0.75).alias("p75"), F.min("price_etb").alias("min_etb"), F.max("price_etb").alias("max_etb"),
-        quart(0.25, log).alias("l25"), quart(0.75, log).alias("l75"),
+    keeps = (F.col("raw_n") < TRIM_MIN_SAMPLE) | F.col("price_etb").between(F.col("q1") - spread, F.col("q3") + spread)
+    kept = checkpoint(
+        summed.drop("scope").join(bounds, "bucket_key").where(keeps).groupBy("bucket_key", "scope", "raw_n")
+        .agg(F.sum("n").alias("k"), F.min(F.col("upto") - F.col("n")).alias("first"), F.min("price_etb").alias("min_etb"), F.max("price_etb").alias("max_etb"))
     )
+    found = kept.join(_quantiles(summed, kept.select("bucket_key", "first", "k"), {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "bucket_key")
     whole = lambda c: F.rint(c).cast("int")
-    reach = 1.5 * (F.col("l75") - F.col("l25"))
-    return agg.select(
-        "bucket_key", "scope", F.col("raw_n").cast("int").alias("raw_sample_size"), F.col("n").cast("int").alias("sample_size"), (F.col("raw_n") - F.col("n")).cast("int").alias("trimmed_count"),
-        whole(F.col("p50")).alias("median_etb"), whole(F.col("p25")).alias("p25_etb"), whole(F.col("p75")).alias("p75_etb"), "min_etb", "max_etb",
-        F.greatest(F.lit(1), whole(F.exp(F.col("l25") - reach))).alias("low_fence_etb"), whole(F.exp(F.col("l75") + reach)).alias("high_fence_etb"),
+    l25, l75 = _between("p25", F.log), _between("p75", F.log)
+    reach = 1.5 * (l75 - l25)
+    return found.select(
+        "bucket_key", "scope", F.col("raw_n").cast("int").alias("raw_sample_size"), F.col("k").cast("int").alias("sample_size"), (F.col("raw_n") - F.col("k")).cast("int").alias("trimmed_count"),
+        whole(_between("p50")).alias("median_etb"), whole(_between("p25")).alias("p25_etb"), whole(_between("p75")).alias("p75_etb"), "min_etb", "max_etb",
+        F.greatest(F.lit(1), whole(F.exp(l25 - reach))).alias("low_fence_etb"), whole(F.exp(l75 + reach)).alias("high_fence_etb"),
     )
 
 
@@ -68,7 +107,7 @@ def ladder(listings: DataFrame, stats: DataFrame, min_sample: int, scopes: tuple
     if scopes:
         usable = usable.where(F.col("scope").isin(*scopes))
     names = [c for c in stats.columns]
-    found = rungs.join(F.broadcast(usable), "bucket_key").groupBy("id").agg(F.min_by(F.struct(*names), "rank").alias("s"))
+    found = rungs.join(usable, "bucket_key").groupBy("id").agg(F.min_by(F.struct(*names), "rank").alias("s"))
     return listings.join(found.select("id", "s.*"), "id", "left")
 
 

@@ -38,3 +38,10 @@ def running_max(rows: DataFrame, key: str, order: Order, value: str, name: str)
     dealt = _dealt(rows, key, order)
     here = F.max(value).over(Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return _carried(dealt.withColumn("_here", here), key, F.max(value), F.max).withColumn(name, F.greatest("_here", "_before")).drop("_range", "_here", "_before")
+
+
+def running_sum(rows: DataFrame, key: str, order: Order, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` (a count, never null) of its ``key`` up to each row in ``order``, which has no ties. Null is a key."""
+    dealt = _dealt(rows, key, order)
+    here = F.sum(value).over(Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _carried(dealt.withColumn("_here", here), key, F.sum(value), F.sum).withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_range", "_here", "_before")
