@@ -61,6 +61,10 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: Closing marks that are looked up apart from their words.
+MARKS = frozenset(".,;:!?")
+
+
 class _Tokens:
     """A tokenizer with a memory of chunks between spaces, as two little-endian bytes an id.
 
@@ -69,7 +73,7 @@ class _Tokens:
     tokens that a text names get their ids, as the library does without further settings. One lives in each Python worker.
     """
 
-    PROBES = ("a b", " a  b\nc ", "The cat's 12 345.67 (x) ... \n\n\tend", "\u00e9 e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\u200d x", "a\u00a0b\r\nc ---- ## 1 2 3", "a <|endoftext|> b<|endoftext|>c <|startoftext|><|endoftext |>")
+    PROBES = ("a b", " a  b\nc ", "The cat's 12 345.67 (x) ... \n\n\tend", "\u00e9 e\u0301 \ud55c\uad6d\uc5b4 \U0001f600\u200d x", "a\u00a0b\r\nc ---- ## 1 2 3", "a <|endoftext|> b<|endoftext|>c <|startoftext|><|endoftext |>", "End. Word, WHY? no! So: it; x.. \u00e9. \ud55c, It's. a1. (B). <X>. <|endoftext|>.")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,13 +94,32 @@ class _Tokens:
         if len(known) > REMEMBERED:
             known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(known))
+        parts = {chunk: self._parts(chunk) for chunk in set().union(*split).difference(known)}
+        new = list({p for own in parts.values() for p in own}.difference(known))
         for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, "<u2").tobytes()
+            self._encode(new[at : at + 4096])
+        for chunk, own in parts.items():
+            known[chunk] = b"".join(map(known.__getitem__, own))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
+    def _encode(self, chunks: list[str]) -> None:
+        """Ids of many chunks by one call over a line of them, told apart by where each id's text starts."""
+        e = self.model.encode(" ".join(chunks), add_special_tokens=False)
+        first = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        at = np.searchsorted(first, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
+        data = np.array(e.ids, "<u2").tobytes()
+        bounds = (2 * np.cumsum([0, *np.bincount(at, minlength=len(chunks)).tolist()])).tolist()
+        for i, chunk in enumerate(chunks):
+            self.known[chunk] = data[bounds[i] : bounds[i + 1]]
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, ...]:
+        """A mark behind a letter is a piece of its own, and case is folded anyway where a special token cannot be; ``PROBES`` prove both."""
+        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS and chunk[-2:-1].isalpha() else (chunk, "")
+        if word.isascii() and "<" not in word:
+            word = word.lower()
+        return (word, mark) if mark else (word,)
+
 
 def _tokens(path: str) -> _Tokens:
     made = sys.modules[__name__].__dict__.setdefault("_LOADED", {})
