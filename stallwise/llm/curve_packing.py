@@ -23,7 +23,7 @@ from stallwise.session import checkpoint, ship_package
 
 DIMS, BITS, HASHED = 3, 10, 64
 #: Distinct chunks of text whose ids a Python worker remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Bits of a cell of the curve, least bytes of ids in a range, and most ranges.
 CELL_BITS, RANGE_BYTES, MOST_RANGES = 14, 8 << 20, 200_000
 
@@ -94,12 +94,16 @@ class _Tokens:
         if len(known) > REMEMBERED:
             known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = {chunk: self._parts(chunk) for chunk in set().union(*split).difference(known)}
-        new = list({p for own in parts.values() for p in own}.difference(known))
+        parts = []
+        for chunk in set().union(*split).difference(known):
+            # a mark behind a letter is a piece of its own, and case is folded anyway where a special token cannot be; PROBES prove both
+            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS and chunk[-2:-1].isalpha() else (chunk, "")
+            parts.append((chunk, word.lower() if word.isascii() and "<" not in word else word, mark))
+        new = list({p[1] for p in parts}.union(MARKS).difference(known))
         for at in range(0, len(new), 4096):
             self._encode(new[at : at + 4096])
-        for chunk, own in parts.items():
-            known[chunk] = b"".join(map(known.__getitem__, own))
+        for chunk, word, mark in parts:
+            known[chunk] = known[word] + known[mark] if mark else known[word]
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
     def _encode(self, chunks: list[str]) -> None:
@@ -112,14 +116,6 @@ class _Tokens:
         for i, chunk in enumerate(chunks):
             self.known[chunk] = data[bounds[i] : bounds[i + 1]]
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, ...]:
-        """A mark behind a letter is a piece of its own, and case is folded anyway where a special token cannot be; ``PROBES`` prove both."""
-        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS and chunk[-2:-1].isalpha() else (chunk, "")
-        if word.isascii() and "<" not in word:
-            word = word.lower()
-        return (word, mark) if mark else (word,)
-
 
 def _tokens(path: str) -> _Tokens:
     made = sys.modules[__name__].__dict__.setdefault("_LOADED", {})
