@@ -39,3 +39,19 @@ def word_phrases(texts: DataFrame, dictionary: DataFrame, keys: list[str], token
     apart = lambda kept, x: ~F.exists(kept, lambda k: (k["i"] < x["i"] - x["n"]) & (x["i"] < k["i"] - k["n"]))
     kept = F.aggregate(F.coalesce("hits", F.array().cast(kind)), F.array().cast(kind), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return joined.select(*keys, "tokens", kept.alias("terms"))
+
+
+def labels(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", unclear: tuple[str, ...] = ()) -> DataFrame:
+    """(``keys``, kind, label): a text's label of each kind for which it contains a phrase, by one look-up for all kinds.
+
+    ``dictionary`` has kind, phrase, label and ``rank``. The longest phrase counts, of equally long ones that of the least rank;
+    a kind in ``unclear`` has no label where phrases of two labels are contained. Phrases and texts are compared as they are.
+    """
+    lengths = [r[0] for r in dictionary.select(F.char_length("phrase")).distinct().collect() if r[0]]
+    size = F.char_length(text)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    parts = F.filter(F.array(*[F.when(size >= n, cut(n)) for n in sorted(lengths)]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<array<string>>")
+    met = texts.select(*keys, F.explode(F.array_distinct(F.flatten(parts))).alias("phrase")).join(dictionary, "phrase")
+    best = F.max_by("label", F.struct(F.char_length("phrase"), -F.col("rank")))
+    found = met.groupBy(*keys, "kind").agg(best.alias("label"), (F.min("label") != F.max("label")).alias("_two"))
+    return found.where(~(F.col("kind").isin(*unclear) & F.col("_two")) if unclear else F.lit(True)).drop("_two")

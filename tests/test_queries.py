@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from stallwise.plans import registry, registry_more  # noqa: F401
+from stallwise.plans import registry, registry_more, registry_sources  # noqa: F401
 from tests.oracle import connect, same
 
 
