@@ -12,7 +12,7 @@ from stallwise.operators import browse, counters, dedup, holds, messaging, moder
 from stallwise.plans.registry import _LADDER, _TERM, _stats, _termed, query
 from stallwise.session import shared_folder
 from stallwise.sources import files
-from stallwise.streaming import sessions
+from stallwise.streaming import alerts, sessions
 
 L = F.lit
 
@@ -742,7 +742,7 @@ select s.id::bigint as search_id, l.id as listing_id from listings l join s on l
 def _(m):
     rows = [(1, "household", None, None, None), (2, None, "NATION_3", 1000, 90_000), (3, "building", "NATION_4", None, 200_000)]
     searches = m.spark.createDataFrame([(*r, None, True) for r in rows] + [(4, None, None, None, None, None, False)], "id long, category string, area string, min_price int, max_price int, last_alert_at date, alerts_on boolean")
-    return sessions.alerts(m.listings, searches)
+    return alerts.alerts(m.listings, searches)
 
 
 @query("st05_job_states", "select event_id, least(pow(2, event_id % 8), 60)::int as backoff, case when event_type <> 'error' then 'done' when event_id % 8 >= 5 then 'failed' else 'pending' end as state from events")

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from stallwise.functions import imagehash
-from stallwise.operators import merge, phrases
-from stallwise.plans.registry import _STATS, _NEW, _stats, query
+from stallwise.operators import dedup, merge, outcomes, phrases
+from stallwise.plans.registry import _NEW, _STATS, _stats, query
+from stallwise.plans.registry_more import _described
 from stallwise.session import shared_folder
 from stallwise.sources import history, objects, versions
 from stallwise.streaming import alerts
@@ -138,3 +139,9 @@ def _(m):
     one = lambda k: F.max(F.when(F.col("kind") == k, F.col("label"))).alias(k)
     each = found.groupBy("id").agg(one("category"), one("condition"), one("area"))
     return titles.select("id").join(each, "id", "left").fillna({"category": "other"})
+
+
+@query("v07_outcomes")
+def _(m):
+    """Pairs of eligible sightings by outcome. All pairs are too many for SQL; tested against all pairs of small tables."""
+    return outcomes.outcome_counts(dedup.eligible(_described(m, m.sightings)))

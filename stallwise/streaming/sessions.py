@@ -70,24 +70,6 @@ def _sorted_pages(limit: int, seconds: int):
     return run
 
 
-def alerts(fresh: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search_id, listing_id) of new live listings and the searches that want alerts and have had none since.
-
-    A search's filters that are null filter nothing. The searches are the smaller side; a category that is given
-    joins by equality, the others by the remaining conditions.
-    """
-    s = searches.where("alerts_on").select(*[F.col(c).alias(f"s_{c}") for c in ("id", "category", "area", "min_price", "max_price", "last_alert_at")])
-    same = lambda a, b: F.col(a).isNull() | (F.col(a) == F.col(b))
-    rest = (
-        same("s_area", "location_area") & (F.col("s_min_price").isNull() | (F.col("price_etb") >= F.col("s_min_price"))) & (F.col("s_max_price").isNull() | (F.col("s_max_price") >= 150_000) | (F.col("price_etb") <= F.col("s_max_price")))
-        & (F.col("s_last_alert_at").isNull() | (F.col("posted_at") > F.col("s_last_alert_at")))
-    )
-    live = fresh.where(F.col("status") == "live")
-    by_category = live.join(s.where(F.col("s_category").isNotNull()), (F.col("s_category") == F.col("category_slug")) & rest)
-    any_category = live.join(F.broadcast(s.where(F.col("s_category").isNull())), rest)
-    return by_category.unionByName(any_category).select(F.col("s_id").alias("search_id"), F.col("id").alias("listing_id")).distinct()
-
-
 def backoff_minutes(attempts: Column) -> Column:
     return F.least(F.pow(F.lit(2), attempts), F.lit(60)).cast("int")
 
