@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stallwise.functions import imagehash
+from stallwise.functions import imagehash, text
 from stallwise.operators import dedup, merge, outcomes, phrases
 from stallwise.plans.registry import _NEW, _STATS, _stats, query
 from stallwise.plans.registry_more import _described
@@ -145,3 +145,22 @@ def _(m):
 def _(m):
     """Pairs of eligible sightings by outcome. All pairs are too many for SQL; tested against all pairs of small tables."""
     return outcomes.outcome_counts(dedup.eligible(_described(m, m.sightings)))
+
+
+@query(
+    "sc12_upsert_images",
+    """with o as (select r2_key, listing_id, case when sort_order % 3 > 0 then phash end as phash, sort_order from images where listing_id % 2 = 0),
+n as (select r2_key, listing_id + 1 as listing_id, case when sort_order % 2 = 0 then reverse(phash) end as phash, cast(sort_order + 10 as int) as sort_order from images where listing_id % 3 = 0)
+select r2_key, coalesce(o.listing_id, n.listing_id) as listing_id, coalesce(n.phash, o.phash) as phash, coalesce(n.sort_order, o.sort_order) as sort_order from o full join n using (r2_key)""",
+)
+def _(m):
+    held = m.images.where("listing_id % 2 = 0").select("r2_key", "listing_id", F.when(F.col("sort_order") % 3 > 0, F.col("phash")).alias("phash"), "sort_order")
+    new = m.images.where("listing_id % 3 = 0").select("r2_key", (F.col("listing_id") + 1).alias("listing_id"), F.when(F.col("sort_order") % 2 == 0, F.reverse("phash")).alias("phash"), (F.col("sort_order") + 10).cast("int").alias("sort_order"))
+    return merge.upsert(held, new, ["r2_key"], {"listing_id": merge.older, "phash": merge.newer_if_set})
+
+
+@query("x11_leaks_of_posts", "select count(*) as n, count(*) filter (kind in (0, 1, 3, 6, 7)) as with_phone, count(*) filter (kind in (1, 4)) as with_handle, 0::bigint as leaking from posts")
+def _(m):
+    masked = m.posts.select("raw_text", text.mask(F.col("raw_text")).alias("x")).select("raw_text", F.col("x.masked").alias("masked"))
+    has = lambda what: F.count(F.when(F.col("masked").contains(what), 1))
+    return masked.agg(F.count("*").alias("n"), has("[PHONE_1]").alias("with_phone"), has("[USER_1]").alias("with_handle"), F.count(F.when(text.leaks(F.col("masked")), 1)).alias("leaking"))
