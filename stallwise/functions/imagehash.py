@@ -11,9 +11,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.session import ship_package
+
 #: Grey of red, green and blue in 65536ths; the hash's size; the filter's lobes. Fixed values.
 GREY = (19595, 38470, 7471)
 WIDTH, HEIGHT, LOBES = 9, 8, 3
@@ -140,6 +142,7 @@ def hash_of(data: bytes | None) -> str | None:
 
 def image_hash_of_bytes(content: Column) -> Column:
     """The difference hash of a binary column's images, null for damaged bytes."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf("string")
     def hashed(content: pd.Series) -> pd.Series:
