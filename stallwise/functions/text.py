@@ -162,7 +162,8 @@ def strip_contact_lines(text: Column) -> Column:
 
 def slug_unicode(title: Column, id_: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)[^\w\s-]", ""), r"(?U)[\s_-]+", "-")
-    return F.concat_ws("-", F.substring(F.regexp_replace(body, "^-+|-+$", ""), 1, 60), id_.cast("string"))
+    body = F.regexp_replace(body, "^-+|-+$", "")
+    return F.concat_ws("-", F.substring(F.when(body == "", "item").otherwise(body), 1, 60), id_.cast("string"))
 
 
 def slug_ascii(title: Column) -> Column:

@@ -334,6 +334,14 @@ def _(m):
     return dedup.cluster_rows(*_clusters(m))
 
 
+@query("v10_cluster_images")
+def _(m):
+    items, clusters = _clusters(m)
+    key = F.concat_ws("/", L("raw"), F.col("channel_id").cast("string"), F.concat(F.col("id").cast("string"), L(".jpg")))
+    media = m.images.groupBy("r2_key").agg(F.collect_list("r2_key").alias("media_refs"))
+    return dedup.cluster_images(items.join(media, key == F.col("r2_key")).drop("r2_key"), clusters)
+
+
 @query("a18_dedup_report")
 def _(m):
     items, clusters = _clusters(m)

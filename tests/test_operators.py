@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -189,6 +190,31 @@ def test_leader_clusters_equal_the_sequential_pass_over_all_pairs(spark):
     assert len(got) == len(rows) and {r["id"]: r["leader_id"] for r in got} == want and 1 < len(lead) < len(rows) / 2
 
 
+def test_peeling_equals_all_pairs_on_a_hot_phone_and_on_no_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, i // 3, rng.choice(["a", "b", "", None]), rng.choice(["iphone 13", "m1", "sofa"]), "1" if i % 5 else None, rng.choice([0, None, *range(100, 2000, 60)]) if i % 9 else 10**6 + i, f"{i % 4:016x}", [1.0, 0.0] if i % 2 else None) for i in range(90)]
+    items = spark.createDataFrame(rows, "id long, ord long, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
+    got = {r["id"]: r["leader_id"] for r in dedup.peeled(items).collect()}
+    want = {r["id"]: r["leader_id"] for r in dedup.leaders(items.select("id", "ord"), dedup.merge_edges(items)).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+    assert dedup.peeled(items.limit(0)).collect() == []
+
+
+def test_cluster_rows_and_images(spark):
+    items = spark.createDataFrame(
+        [(1, 5, "!!!", 300, "aa", 7, ["k1", None, "k2"]), (2, 6, "b", None, "bb", 8, ["k2", "", "k3"]), (3, 7, "c", 200, None, 7, None), (4, 8, "d", None, None, None, ["k4", "k5"])],
+        "id long, ord long, title string, price_etb int, phash string, channel_id long, media_refs array<string>",
+    )
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, leader_id long")
+    rows = {r["leader_id"]: r.asDict() for r in dedup.cluster_rows(items, clusters).collect()}
+    assert rows[1] == {"leader_id": 1, "title_en": "!!!", "phash": "aa", "lowest_etb": 200, "n_channels": 2, "n_members": 3, "slug": "item-1"}
+    assert (rows[4]["lowest_etb"], rows[4]["n_channels"], rows[4]["n_members"], rows[4]["slug"]) == (None, 1, 1, "d-4")
+    derived = lambda k: hashlib.sha256(k.encode()).hexdigest()[:16]
+    got = {(r["leader_id"], r["r2_key"]): (r["phash"], r["sort_order"]) for r in dedup.cluster_images(items, clusters).collect()}
+    assert got == {(1, "k1"): ("aa", 0), (1, "k2"): (derived("k2"), 0), (1, "k3"): (derived("k3"), 2), (4, "k4"): (None, 0), (4, "k5"): (derived("k5"), 1)}
+    assert dedup.cluster_images(items.limit(0), clusters).collect() == []
+
+
 @pytest.mark.parametrize("name", ["v09_leader_clusters", "v10_canonical_rows", "a18_dedup_report"])
 def test_clusters_take_every_sighting(spark, sf_dir, name):
     from stallwise.plans import market, registry, registry_more  # noqa: F401
