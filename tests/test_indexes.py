@@ -73,6 +73,20 @@ def test_trigram_join_equals_scan(spark, threshold):
     assert got == {(r.query_id, r.id): r.sim for r in both.where(F.col("sim") > threshold).collect()}
 
 
+def test_copies_of_a_title_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "COPIES", 20)
+    seen = []
+    found = textindex._similar_texts
+    monkeypatch.setattr(textindex, "_similar_texts", lambda q, t, threshold: seen.append((q.count(), t.count())) or found(q, t, threshold))
+    names = ["red bolt", "red ring", "old gear", "Réd bolt", None]
+    titles = spark.createDataFrame([(i, names[i % 5]) for i in range(500)], "id int, title string")
+    asked = titles.where("id % 20 < 3").select(F.col("id").alias("query_id"), F.col("title").alias("q"))
+    got = {(r.query_id, r.id): r.sim for r in textindex.trigram_matches(asked, titles, 0.35).collect()}
+    both = asked.crossJoin(titles).select("query_id", "id", similarity.trigram_similarity(F.col("q"), F.col("title")).alias("sim"))
+    assert got == {(r.query_id, r.id): r.sim for r in both.where("sim > 0.35").collect()} and len(got) == 10_000
+    assert seen == [(3, 4)]
+
+
 def clustered(n: int = 1500, dims: int = 16) -> list[tuple]:
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, dims))
