@@ -129,3 +129,11 @@ def test_labels_of_a_dictionary_table(spark):
     got = phrases.labels(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(words, "kind string, phrase string, label string, rank int"), ["id"], unclear=("a",))
     assert {(r["id"], r["kind"]): r["label"] for r in got.collect()} == {(0, "c"): "home", (1, "c"): "sleep", (1, "a"): "bole", (2, "c"): "y", (2, "a"): "bole"}
     assert phrases.labels(spark.createDataFrame([(1, "a")], "id int, text string"), spark.createDataFrame([], "kind string, phrase string, label string, rank int"), ["id"]).collect() == []
+
+
+def test_alerts_offer_a_listing_in_few_keys(spark):
+    listings = [(i, "abc"[i % 3], "xy"[i % 2], None if i % 7 == 0 else i * 997 % 600_000, i % 10, "live") for i in range(200)]
+    searches = [(i, "a" if i % 2 else None, "x" if i % 3 else None, i * 7 % 99_999 if i % 4 else None, i * 7 % 99_999 + i * 131 % 70_000 if i % 5 else None, None, True) for i in range(200)]
+    offered, wants = alerts._sides(spark.createDataFrame(listings, LISTING), spark.createDataFrame(searches, SEARCH))
+    assert offered.groupBy("listing_id").count().agg(F.max("count")).first()[0] <= 12
+    assert wants.groupBy("search_id").count().agg(F.max("count")).first()[0] <= alerts.FAN + 2
