@@ -5,6 +5,9 @@ Java's classes are ASCII by default; patterns that read Amharic use ``(?U)``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ BARE_NUMBER = r"(?U)(?<!\w)(\d{1,3}(?:,\d{3})+)(?!\w)"
 DISPLAY = r"(?iuU)(?:uhd|hdr|oled|qled|\bled\b|resolution|\btv\b|monitor|projector|camera|inch|ኢንች|ቲቪ|ቴሌቪዥን|ካሜራ|ስክሪን|screen|display)"
 NEGOTIABLE = r"(?iuU)(?:የሚደራደር|ድርድር|ይደራደራል|መነሻ\s*ዋጋ|negotiable|neg)"
 PROMOTION = r"(?iuU)cross\s*promo|ፕሮሞሽን|ለማስተዋወቅ|join\s*our\s*channel|ቻናላችንን\s*ይቀላቀሉ|^[\s\W]*welcome[\s\W]*$"
+# What a match of the patterns above must contain, in forms that are quick to rule out; digits are those that the patterns read.
+DIGIT, GROUPED = r"\p{Nd}", r"\p{Nd},\p{Nd}"
+SUBSCRIBER = r"(?U)[97](?:[\s.-]?\d){8}"
+UNIT_BEHIND, CURRENCY_BEHIND = rf"(?iuU)\d\s*(?:{UNIT})", rf"(?iuU)\d\s*{CURRENCY}"
 LEAST_PRICE, MOST_PRICE = 50, 150_000_000
 
 
@@ -31,7 +38,12 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" "))
+
+
+def _has(text: Column, *words: str) -> Column:
+    """Whether a text contains one of the words, given in lower case."""
+    return bind(F.lower(text), lambda t: reduce(or_, [t.contains(w) for w in words]))
 
 
 def normalise_phone(raw: Column) -> Column:
@@ -52,17 +64,38 @@ def strict_phone(raw: Column) -> Column:
     return F.when(tail != "", F.concat(F.lit("+251"), tail))
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that it reads many times and that is computed once a row."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _numbers(text: Column) -> Column:
+    """(raw, normalised) of each written number of a clean text, repeated ones too; texts without a subscriber's nine digits are not searched."""
+    found = F.when(text.rlike(SUBSCRIBER), _matches(text, PHONE)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(found, lambda m: F.struct(F.trim(m).alias("raw"), normalise_phone(m).alias("normalised"))), lambda x: x["normalised"].isNotNull())
+
+
+def _first_forms(numbers: Column) -> Column:
+    nothing = F.array().cast("array<struct<raw:string,normalised:string>>")
+    distinct = lambda all_: F.aggregate(all_, nothing, lambda kept, x: F.when(F.exists(kept, lambda y: y["normalised"] == x["normalised"]), kept).otherwise(F.concat(kept, F.array(x))))
+    return bind(numbers, lambda n: F.when(F.size(n) < 2, n).otherwise(distinct(n)))
+
+
 def phones(text: Column) -> Column:
     """(raw, normalised) of each distinct normalised number, first raw form first."""
-    found = F.transform(_matches(_clean(text), PHONE), lambda m: F.struct(F.trim(m).alias("raw"), normalise_phone(m).alias("normalised")))
-    found = F.filter(found, lambda x: x["normalised"].isNotNull())
-    return F.aggregate(found, F.array().cast("array<struct<raw:string,normalised:string>>"), lambda kept, x: F.when(F.exists(kept, lambda y: y["normalised"] == x["normalised"]), kept).otherwise(F.concat(kept, F.array(x))))
+    return bind(_clean(text), lambda t: _first_forms(_numbers(t)))
 
 
 def handles(text: Column) -> Column:
     """Sorted distinct @handles, those of t.me links among them."""
-    t = F.coalesce(text, F.lit(""))
-    both = F.concat(_matches(t, HANDLE, 1), _matches(t, LINK, 1))
+
+    def of(t: Column) -> Column:
+        none = F.array().cast("array<string>")
+        at = F.when(t.contains("@"), _matches(t, HANDLE, 1)).otherwise(none)
+        link = F.when(t.rlike(r"\.[mM][eE]/"), _matches(t, LINK, 1)).otherwise(none)
+        return F.concat(at, link)
+
+    both = bind(F.coalesce(text, F.lit("")), of)
     return F.array_sort(F.array_distinct(F.transform(both, lambda h: F.concat(F.lit("@"), h))))
 
 
@@ -80,23 +113,31 @@ def price(text: Column) -> Column:
     A single digit and k is a resolution where the text speaks of displays; a bare number counts only beside
     a currency or price word.
     """
-    t = _clean(text)
-    spec = t.rlike(DISPLAY)
 
-    def first(pattern: str, units: bool, skip_spec: bool = False) -> Column:
-        raws, numbers = _matches(t, pattern), _matches(t, pattern, 1)
-        unit = _matches(t, pattern, 2) if units else F.transform(numbers, lambda n: F.lit(""))
-        rows = F.zip_with(F.zip_with(raws, numbers, lambda r, n: F.struct(r.alias("r"), n.alias("n"))), unit, lambda x, u: F.struct(price_value(x["n"], u).alias("etb"), F.trim(x["r"]).alias("raw")))
-        if skip_spec:
-            rows = F.filter(rows, lambda x: ~(spec & x["raw"].rlike(r"(?i)^[2458]\s*k$")))
-        return F.get(F.filter(rows, lambda x: x["etb"].isNotNull()), F.lit(0))
 
-    bare = F.when(t.rlike(f"(?iu){CURRENCY}") | t.rlike(f"(?iu){PRICE_WORDS}"), first(BARE_NUMBER, False))
-    return F.coalesce(first(WITH_UNIT, True, skip_spec=True), first(WITH_CURRENCY, False), first(WITH_PREFIX, True), bare)
+    def of(t: Column) -> Column:
+        def first(pattern: str, units: bool, skip_spec: bool = False) -> Column:
+            # a match alone has the groups that it has in its text: what stands around it only bounds where it ends
+            part = lambda raw, n: F.regexp_extract(raw, pattern, n)
+            read = lambda raw: F.struct(price_value(part(raw, 1), part(raw, 2) if units else F.lit("")).alias("etb"), F.trim(raw).alias("raw"))
+            raws = _matches(t, pattern)
+            if skip_spec:
+                raws = F.filter(raws, lambda r: ~(F.trim(r).rlike(r"(?i)^[2458]\s*k$") & t.rlike(DISPLAY)))
+            rows = F.filter(F.transform(raws, read), lambda x: x["etb"].isNotNull())
+            return F.get(rows, F.lit(0))
+
+        # each later rule is tried only where those before it find nothing; the letters ı and İ match i too
+        unit = F.when(t.rlike(UNIT_BEHIND), first(WITH_UNIT, True, skip_spec=True))
+        currency = F.when(t.rlike(CURRENCY_BEHIND), first(WITH_CURRENCY, False))
+        prefix = F.when(_has(t, "ዋጋ", "መነሻ", "price", "fixed") | t.rlike("[ıİ]"), first(WITH_PREFIX, True))
+        bare = F.when(t.rlike(GROUPED) & (t.rlike(f"(?iu){CURRENCY}") | t.rlike(f"(?iu){PRICE_WORDS}")), first(BARE_NUMBER, False))
+        return F.when(t.rlike(DIGIT), F.coalesce(unit, currency, prefix, bare))
+
+    return bind(_clean(text), of)
 
 
 def negotiable(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(NEGOTIABLE)
+    return bind(F.coalesce(text, F.lit("")), lambda t: _has(t, "የሚደራደር", "ድርድር", "ይደራደራል", "መነሻ", "neg") & t.rlike(NEGOTIABLE))
 
 
 def promotion(text: Column) -> Column:
@@ -105,17 +146,24 @@ def promotion(text: Column) -> Column:
 
 def first_pass(text: Column) -> Column:
     """All of the above for one message as a struct of 13 fields; negotiable is null without price or token."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    found, numbers, names = price(t), phones(t), handles(t)
-    has_price, has_phone = found.isNotNull(), F.size(numbers) > 0
-    words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
-    listing = ~promotion(t) & (has_price | (has_phone & (words >= 4) & ~t.startswith("http")))
-    return F.struct(
-        found["etb"].alias("price_etb"), found["raw"].alias("price_raw"), F.when(has_price | negotiable(t), negotiable(t)).alias("negotiable"), F.lit("ETB").alias("currency"),
-        F.get(numbers, F.lit(0))["raw"].alias("phone_raw"), F.get(numbers, F.lit(0))["normalised"].alias("phone_normalized"),
-        F.transform(numbers, lambda x: x["raw"]).alias("all_phones"), F.transform(numbers, lambda x: x["normalised"]).alias("all_phones_normalized"), names.alias("handles"),
-        has_price.alias("has_price"), has_phone.alias("has_phone"), (F.size(names) > 0).alias("has_handle"), (listing & (t != "")).alias("is_potential_listing"),
-    )
+
+    def of(t: Column) -> Column:
+        return bind(F.struct(price(t).alias("found"), phones(t).alias("numbers"), handles(t).alias("names"), negotiable(t).alias("negotiable")), lambda x: fields(t, x))
+
+    def fields(t: Column, x: Column) -> Column:
+        found, numbers, names = x["found"], x["numbers"], x["names"]
+        has_price, has_phone = found.isNotNull(), F.size(numbers) > 0
+        # words are counted for texts with a phone only; promotion is looked for in what may be a listing otherwise
+        words = lambda: F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
+        listing = (has_price | (has_phone & ~t.startswith("http") & (words() >= 4))) & ~promotion(t)
+        return F.struct(
+            found["etb"].alias("price_etb"), found["raw"].alias("price_raw"), F.when(has_price | x["negotiable"], x["negotiable"]).alias("negotiable"), F.lit("ETB").alias("currency"),
+            F.get(numbers, F.lit(0))["raw"].alias("phone_raw"), F.get(numbers, F.lit(0))["normalised"].alias("phone_normalized"),
+            F.transform(numbers, lambda x: x["raw"]).alias("all_phones"), F.transform(numbers, lambda x: x["normalised"]).alias("all_phones_normalized"), names.alias("handles"),
+            has_price.alias("has_price"), has_phone.alias("has_phone"), (F.size(names) > 0).alias("has_handle"), (listing & (t != "")).alias("is_potential_listing"),
+        )
+
+    return bind(F.trim(F.coalesce(text, F.lit(""))), of)
 
 
 def mask(text: Column) -> Column:
@@ -123,25 +171,35 @@ def mask(text: Column) -> Column:
 
     Each written form of a number is masked, so nothing that the finder knows is left.
     """
-    numbers, names = phones(text), handles(text)
 
     def put(acc: Column, raw: Column, token: Column) -> Column:
         return F.replace(acc, raw, token)
 
-    t = _clean(text)
-    each = F.transform(_matches(t, PHONE), lambda m: F.struct(F.trim(m).alias("raw"), normalise_phone(m).alias("normalised")))
-    each = F.reverse(F.array_sort(F.transform(F.filter(each, lambda x: x["normalised"].isNotNull()), lambda x: F.struct(F.length(x["raw"]).alias("n"), x["raw"].alias("raw"), F.array_position(F.transform(numbers, lambda y: y["normalised"]), x["normalised"]).alias("k")))))
-    t = F.aggregate(each, t, lambda acc, x: put(acc, x["raw"], F.concat(F.lit("[PHONE_"), x["k"].cast("string"), F.lit("]"))))
-    named = F.reverse(F.array_sort(F.transform(names, lambda h, i: F.struct(F.length(h).alias("n"), h.alias("h"), (i + 1).alias("k")))))
-    t = F.aggregate(named, t, lambda acc, x: put(acc, x["h"], F.concat(F.lit("[USER_"), x["k"].cast("string"), F.lit("]"))))
-    t = F.aggregate(named, t, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?:https?://)?t(?:elegram)?\.me/"), F.substring(x["h"], 2, 40), F.lit(r"(?![A-Za-z0-9_])")), F.concat(F.lit("[USER_"), x["k"].cast("string"), F.lit("]"))))
-    return F.struct(t.alias("masked"), F.transform(numbers, lambda x: x["raw"]).alias("phones"), names.alias("handles"))
+    def masked(t: Column, numbers: Column, all_numbers: Column, names: Column) -> Column:
+        known = F.transform(numbers, lambda y: y["normalised"])
+        each = lambda known: F.reverse(F.array_sort(F.transform(all_numbers, lambda x: F.struct(F.length(x["raw"]).alias("n"), x["raw"].alias("raw"), F.array_position(known, x["normalised"]).alias("k")))))
+        out = F.aggregate(bind(known, each), t, lambda acc, x: put(acc, x["raw"], F.concat(F.lit("[PHONE_"), x["k"].cast("string"), F.lit("]"))))
+        named = F.reverse(F.array_sort(F.transform(names, lambda h, i: F.struct(F.length(h).alias("n"), h.alias("h"), (i + 1).alias("k")))))
+        user = lambda x: F.concat(F.lit("[USER_"), x["k"].cast("string"), F.lit("]"))
+        link = lambda x: F.concat(F.lit(r"(?i)(?:https?://)?t(?:elegram)?\.me/"), F.substring(x["h"], 2, 40), F.lit(r"(?![A-Za-z0-9_])"))
+
+        def unnamed(named: Column) -> Column:
+            at = F.aggregate(named, out, lambda acc, x: put(acc, x["h"], user(x)))
+            return F.aggregate(named, at, lambda acc, x: F.regexp_replace(acc, link(x), user(x)))
+
+        return F.struct(F.when(F.size(names) > 0, bind(named, unnamed)).otherwise(out).alias("masked"), F.transform(numbers, lambda x: x["raw"]).alias("phones"), names.alias("handles"))
+
+    def of(t: Column) -> Column:
+        found = bind(_numbers(t["clean"]), lambda all_: F.struct(_first_forms(all_).alias("first"), all_.alias("all")))
+        return bind(F.struct(found.alias("p"), handles(t["own"]).alias("names")), lambda x: masked(t["clean"], x["p"]["first"], x["p"]["all"], x["names"]))
+
+    return bind(F.struct(_clean(text).alias("clean"), text.alias("own")), of)
 
 
 def leaks(masked: Column) -> Column:
     """Whether a masked text still holds a phone or a handle."""
     t = F.regexp_replace(masked, r"\[(PHONE|USER)_[0-9]+\]", " ")
-    return (F.size(phones(t)) > 0) | (F.size(handles(t)) > 0)
+    return bind(t, lambda t: (F.size(phones(t)) > 0) | (F.size(handles(t)) > 0))
 
 
 def reattach(value: Column, mapping: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -343,3 +344,48 @@ def test_empty_tables(spark):
     synonyms = spark.createDataFrame([], "canonical_term string, synonym string, category_slug string")
     termed = price.best_term(listings, synonyms)
     assert price.price_stats(termed).count() == 0 and price.price_context(termed, price.price_stats(termed)).count() == 0
+
+
+def test_text_rules_search_a_text_once_for_each_pattern(spark):
+    rows = spark.createDataFrame([("x",)], "t string")
+    searches = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    t = F.col("t")
+    assert searches(text.price(t)) <= 4 and searches(text.phones(t)) <= 1 and searches(text.first_pass(t)) <= 7
+    assert searches(text.mask(t)) <= 3 and searches(text.leaks(t)) <= 3
+
+
+def test_text_rules_know_odd_letters_and_digits(spark):
+    texts = ["PR\u0130CE 900", "pr\u0131ce: 900", "12\u212a", "4k 12k tv", "@abcd T.ME/abcd", "mened\u00a00911223344", "mNEGx", None]
+    got = [r["x"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").coalesce(1).select(text.first_pass(F.col("s")).alias("x")).collect()]
+    assert [x["price_etb"] for x in got] == [900, 900, 12000, 12000, None, None, None, None]
+    assert [x["handles"] for x in got][4] == ["@abcd"] and got[5]["all_phones_normalized"] == ["+251911223344"]
+    assert [x["negotiable"] for x in got] == [False, False, False, False, None, None, True, None]
+
+
+def test_hashed_embedding_equals_the_loop(spark):
+    words = ["", None, "a", "a b c d e", "b b b", "one two three four five six seven"]
+    signs = spark.createDataFrame([(i, w) for i, s in enumerate(words) for w in (s or "").split()], "i int, w string")
+    known = signs.select("i", F.pmod(F.xxhash64("w"), F.lit(8)).alias("slot"), F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")).collect()
+    want = {i: [0.0] * 8 for i in range(len(words))}
+    for r in known:
+        want[r["i"]][r["slot"]] += r["sign"]
+    for i, v in want.items():
+        n = math.sqrt(sum(x * x for x in v))
+        want[i] = [x / n for x in v] if n else ([1.0] + [0.0] * 7 if any(r["i"] == i for r in known) else v)
+    e = similarity.hashed_embedding(F.col("s"), 8)
+    frame = spark.createDataFrame(list(enumerate(words)), "i int, s string").select("i", e.alias("e"))
+    assert {r["i"]: r["e"] for r in frame.collect()} == want
+    assert "array_position" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_sentences_are_parsed_once(spark, monkeypatch):
+    seen = []
+    parse = nlparse._parse
+    monkeypatch.setattr(nlparse, "_parse", lambda queries, *a: seen.append(queries.count()) or parse(queries, *a))
+    queries = spark.createDataFrame([(i, ["ring under 3000", "plate", None][i % 3]) for i in range(60)], "query_id int, query string")
+    synonyms = spark.createDataFrame([("ring", "ring", "household")], "canonical_term string, synonym string, category_slug string")
+    categories = spark.createDataFrame([("household", "All household")], "slug string, name_en string")
+    listings = spark.createDataFrame([("Bole", "live")], "location_area string, status string")
+    got = {r["query_id"]: r for r in nlparse.parse(queries, synonyms, categories, listings).collect()}
+    assert seen == [3] and len(got) == 60
+    assert {r["max_price"]["value"] for i, r in got.items() if i % 3 == 0} == {3000} and all(r["max_price"] is None and r["q"] is None for i, r in got.items() if i % 3 == 2)
