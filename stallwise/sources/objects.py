@@ -1,75 +1,51 @@
 """An object store of packs: put, get and exists for whole tables of keys, bytes stored once, commits that show all of a write or nothing.
 
-Tasks write Parquet packs under names of their own attempt. The driver's commit lists the packs of the attempts that
-succeeded as the next version; packs of killed or repeated attempts are never listed, so nobody reads them.
+A write's tasks make Parquet packs in a folder of that write. The driver's commit lists the packs of the attempts that
+succeeded as the next version; a write that fails is never listed, so nobody reads its packs.
 """
 
 from __future__ import annotations
 
 import os
-import sys
 import uuid
 
-import pyarrow as pa
 import pyarrow.parquet
-from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from stallwise.sources import versions
 
-NAME = "stallwise_objects"
 #: ``content`` is null where the bytes lie in another row; ``put`` is a number that rises with every write.
 SCHEMA = "key string, sha256 string, size long, put long, content binary"
 
 
-class _Packed(WriterCommitMessage):
+class _Packed:
+    """A pack, by its path below the store, and its rows."""
+
     def __init__(self, pack: str, rows: int) -> None:
         self.pack, self.rows = pack, rows
 
 
-class _Writer(DataSourceArrowWriter):
+class _Writer:
+    """A write of one job, which comes after version ``seen``."""
+
     def __init__(self, path: str, seen: int) -> None:
         self.path, self.seen, self.job = path, seen, uuid.uuid4().hex
 
-    def write(self, iterator):
-        task = TaskContext.get()
-        name = f"packs/{self.job}-{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}.parquet"
-        out, rows = None, 0
-        target = os.path.join(versions._local(self.path), name)
-        for batch in iterator:
-            if out is None:
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                out = pa.parquet.ParquetWriter(target, batch.schema)
-            out.write_batch(batch)
-            rows += batch.num_rows
-        if out is not None:
-            out.close()
-        return _Packed(name if rows else "", rows)
-
-    def commit(self, messages):
-        packs = [m.pack for m in messages if m is not None and m.pack]
+    def write(self, rows: DataFrame) -> list[_Packed]:
+        """The packs of the tasks' attempts that succeeded, by Spark's own writer, so rows do not pass through Python."""
+        folder = f"packs/{self.job}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        top = os.path.join(versions._local(self.path), folder)
+        packs = sorted(n for n in os.listdir(top) if n.endswith(".parquet"))
+        return [_Packed(f"{folder}/{n}", pyarrow.parquet.read_metadata(os.path.join(top, n)).num_rows) for n in packs]
+
+    def commit(self, messages: list[_Packed]) -> None:
+        packs = [m.pack for m in messages if m.rows]
         if packs:
             # a version lists its own packs only, so commits stay as small as their writes
             versions.commit(self.path, self.seen + 1, {"packs": packs})
 
-    def abort(self, messages):
-        for m in messages:
-            if m is not None and m.pack:
-                os.unlink(os.path.join(versions._local(self.path), m.pack))
-
-
-class ObjectSink(DataSource):
-    """Options: ``path``, and ``seen``, the version that the write comes after."""
-
-    @classmethod
-    def name(cls):
-        return NAME
-
-    def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], int(self.options["seen"]))
-
 
 def _packs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     last = versions.newest(path) if version is None else version
@@ -84,9 +60,6 @@ def put(objects: DataFrame, path: str) -> int:
     Raises ``versions.Conflict`` if another write was committed meanwhile; then nothing of this one is to be seen.
     """
     spark = objects.sparkSession
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    cloudpickle.register_pickle_by_value(versions)
-    spark.dataSource.register(ObjectSink)
     seen = versions.newest(path)
     rows = objects.where("key is not null and content is not null").select("key", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"), "content")
     names = rows.groupBy("key").agg(F.max(F.struct("sha256", "size")).alias("n")).select("key", "n.*")
@@ -95,7 +68,8 @@ def put(objects: DataFrame, path: str) -> int:
     fresh = rows.join(names.select("key", "sha256"), ["key", "sha256"], "left_semi").join(stored, "sha256", "left_anti").groupBy("sha256", "size").agg(F.first("content").alias("content"))
     out = names.select("key", "sha256", "size", F.lit(seen + 1).cast("long").alias("put"), F.lit(None).cast("binary").alias("content"))
     bytes_ = fresh.select(F.lit(None).cast("string").alias("key"), "sha256", "size", F.lit(seen + 1).cast("long").alias("put"), "content")
-    out.unionByName(bytes_).write.format(NAME).options(path=path, seen=str(seen)).mode("append").save()
+    writer = _Writer(path, seen)
+    writer.commit(writer.write(out.unionByName(bytes_)))
     return versions.newest(path)
 
 

@@ -166,3 +166,10 @@ def test_a_failed_write_shows_nothing(spark, tmp_path):
     writer = objects._Writer(root, 0)
     with pytest.raises(versions.Conflict):
         writer.commit([objects._Packed("packs/x.parquet", 1)])
+
+
+def test_objects_are_written_without_python(spark, tmp_path):
+    root = str(tmp_path / "o")
+    frame = spark.createDataFrame([("a", b"1")], "key string, content binary")
+    assert objects.put(frame.limit(0), root) == 0 and objects.put(frame, root) == 1 and objects.put(frame.limit(0), root) == 1
+    assert not hasattr(objects, "DataSourceArrowWriter") and all(p.startswith("packs/") for p in versions.manifest(root, 1)["packs"])
