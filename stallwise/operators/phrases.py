@@ -45,8 +45,11 @@ def labels(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str =
     """(``keys``, kind, label): a text's label of each kind for which it contains a phrase, by one look-up for all kinds.
 
     ``dictionary`` has kind, phrase, label and ``rank``. The longest phrase counts, of equally long ones that of the least rank;
-    a kind in ``unclear`` has no label where phrases of two labels are contained. Phrases and texts are compared as they are.
+    a kind in ``unclear`` has no label where phrases of two labels are contained. Phrases and texts are compared as they are, equal texts once.
     """
+    if keys != [text]:
+        own = texts.select(*keys, F.col(text).alias("_text"))
+        return own.join(labels(own.select("_text").distinct(), dictionary, ["_text"], "_text", unclear), "_text").select(*keys, "kind", "label")
     lengths = [r[0] for r in dictionary.select(F.char_length("phrase")).distinct().collect() if r[0]]
     size = F.char_length(text)
     cut = lambda n: F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))

@@ -135,10 +135,10 @@ def _(m):
     part, word = m.part, "split(p_name, ' ')[1]"
     dictionary = m.spark.sql(_DICTIONARY.format(word=word).replace("from part", "from {part}"), part=part)
     titles = m.listings.select("id", F.lower("title_en").alias("text"))
-    found = phrases.labels(titles, dictionary, ["id"], unclear=("area",))
+    found = phrases.labels(titles.select("text").distinct(), dictionary, ["text"], unclear=("area",))
     one = lambda k: F.max(F.when(F.col("kind") == k, F.col("label"))).alias(k)
-    each = found.groupBy("id").agg(one("category"), one("condition"), one("area"))
-    return titles.select("id").join(each, "id", "left").fillna({"category": "other"})
+    each = found.groupBy("text").agg(one("category"), one("condition"), one("area"))
+    return titles.join(each, "text", "left").drop("text").fillna({"category": "other"})
 
 
 @query("v07_outcomes")

@@ -137,3 +137,12 @@ def test_alerts_offer_a_listing_in_few_keys(spark):
     offered, wants = alerts._sides(spark.createDataFrame(listings, LISTING), spark.createDataFrame(searches, SEARCH))
     assert offered.groupBy("listing_id").count().agg(F.max("count")).first()[0] <= 12
     assert wants.groupBy("search_id").count().agg(F.max("count")).first()[0] <= alerts.FAN + 2
+
+
+def test_equal_texts_are_labelled_once(spark):
+    texts = spark.createDataFrame([(i, "red box" if i % 2 else "old box") for i in range(40)], "id int, text string")
+    words = spark.createDataFrame([("a", "red", "RED", 0), ("a", "box", "BOX", 1), ("b", "old", "OLD", 0)], "kind string, phrase string, label string, rank int")
+    out = phrases.labels(texts, words, ["id"])
+    assert sorted((r["id"], r["kind"], r["label"]) for r in out.collect()) == sorted([(i, "a", "RED" if i % 2 else "BOX") for i in range(40)] + [(i, "b", "OLD") for i in range(0, 40, 2)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_text" in plan[plan.index("Generate") :]
