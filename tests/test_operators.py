@@ -389,3 +389,12 @@ def test_equal_sentences_are_parsed_once(spark, monkeypatch):
     got = {r["query_id"]: r for r in nlparse.parse(queries, synonyms, categories, listings).collect()}
     assert seen == [3] and len(got) == 60
     assert {r["max_price"]["value"] for i, r in got.items() if i % 3 == 0} == {3000} and all(r["max_price"] is None and r["q"] is None for i, r in got.items() if i % 3 == 2)
+
+
+def test_clusters_shuffle_no_vectors_and_do_not_depend_on_broadcasts(spark, monkeypatch):
+    rows = [(i, i % 7, "ab"[i % 2], "t", None if i % 5 == 0 else f"p{i % 2}", 100 + i % 4 * 60, f"{i % 3:016x}", [float(i % 3 == 0), 1.0]) for i in range(24)]
+    items = spark.createDataFrame(rows, "id long, ord int, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
+    assert "embedding" not in dedup._folded(items)[1].columns
+    want = {r["id"]: r["leader_id"] for r in dedup.leader_clusters(items).collect()}
+    monkeypatch.setattr(dedup, "SMALL", -1)
+    assert {r["id"]: r["leader_id"] for r in dedup.leader_clusters(items).collect()} == want and len(want) == 24
