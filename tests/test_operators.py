@@ -398,3 +398,21 @@ def test_clusters_shuffle_no_vectors_and_do_not_depend_on_broadcasts(spark, monk
     want = {r["id"]: r["leader_id"] for r in dedup.leader_clusters(items).collect()}
     monkeypatch.setattr(dedup, "SMALL", -1)
     assert {r["id"]: r["leader_id"] for r in dedup.leader_clusters(items).collect()} == want and len(want) == 24
+
+
+def test_places_as_numbers_keep_the_order_and_the_ids(spark):
+    ids = [-(2**63), -5, 0, 7, 2**63 - 1]
+    rows = [(i, o) for i in ids for o in (None, -(2**31), -1, 0, 3, 2**31 - 1)]
+    items = spark.createDataFrame(rows, "id long, ord int")
+    placed = items.withColumn("k", dedup._place(items)).withColumn("s", F.struct("ord", "id"))
+    assert placed.dtypes[2][1].startswith("decimal")
+    got = placed.select("s", dedup._id(placed, "k").alias("id")).orderBy("k").collect()
+    want = placed.select("s", F.col("id")).orderBy("s").collect()
+    assert got == want and len(got) == len(rows)
+
+
+def test_titles_keep_no_classes_of_leaders_apart(spark):
+    rows = [(i, i // 4, "a", f"title {i}", "p" if i % 2 else None, 100 if i % 2 else i, "0" * 16, [1.0, 0.5]) for i in range(40)]
+    items = spark.createDataFrame(rows, "id long, ord int, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
+    assert dedup._folded(items, titles=False)[1].count() == 2 and dedup._folded(items)[1].count() == 21
+    assert {r["leader_id"] for r in dedup.leader_clusters(items).collect()} == {0}
