@@ -409,6 +409,19 @@ def test_places_as_numbers_keep_the_order_and_the_ids(spark):
     got = placed.select("s", dedup._id(placed, "k").alias("id")).orderBy("k").collect()
     want = placed.select("s", F.col("id")).orderBy("s").collect()
     assert got == want and len(got) == len(rows)
+    parts = placed.select("s", dedup._parted(placed, "k").alias("p"))
+    assert [r["s"] for r in parts.orderBy("p").collect()] == [r["s"] for r in want] and {r["p"]["id"] for r in parts.collect()} == set(ids)
+
+
+def test_pairs_meet_once_whatever_their_categories_and_confidence(spark):
+    rows = [(i, i, c, t, "p", price, h, v) for i, (c, t, price, h, v) in enumerate((c, t, price, h, v) for c in ("a", "b", "", None) for t in ("m1", "m2", "sofa") for price in (100, 90, None, 0) for h, v in (("0" * 16, [1.0, 0.0]), ("f" * 16, [0.9, 0.1])))]
+    rows += [(1000 + r[0], 50 - r[1], *r[2:4], None, *r[5:]) for r in rows[::5]]
+    items = spark.createDataFrame(rows, "id long, ord int, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
+    side = lambda n: items.select(F.struct("ord", "id").alias(f"k{n}"), F.struct(*dedup.ITEM).alias(n))
+    every = side("a").crossJoin(side("b")).where("ka < kb").select("ka.id", F.col("kb.id").alias("b"), dedup.decision().alias("d")).where("d.decision = 'auto_merge'").select("id", "b", "d.confidence")
+    want = sorted(map(tuple, every.collect()))
+    got = dedup.merge_edges(items).select("ka.id", F.col("kb.id").alias("b"), "confidence").collect()
+    assert sorted(map(tuple, got)) == want and {r[2] for r in want} == {0.98, 0.92, 0.90}
 
 
 def test_titles_keep_no_classes_of_leaders_apart(spark):
