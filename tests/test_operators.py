@@ -424,6 +424,14 @@ def test_pairs_meet_once_whatever_their_categories_and_confidence(spark):
     assert sorted(map(tuple, got)) == want and {r[2] for r in want} == {0.98, 0.92, 0.90}
 
 
+def test_report_needs_the_sizes_of_clusters_alone(spark):
+    items = spark.createDataFrame([(1, 1, 7, 30), (2, 1, 8, None), (3, 1, 7, 20), (4, 4, None, None)], "id long, leader_id long, channel_id long, price_etb int")
+    sizes = dedup.cluster_sizes(items)
+    assert sorted(map(tuple, sizes.collect())) == [(1, 20, 2, 3), (4, None, 1, 1)]
+    assert dedup.dedup_report(items, sizes).first().asDict() == {"evaluated": 4, "clusters": 2, "auto_merges": 2, "cross_channel": 1, "max_channels": 2}
+    assert dedup.dedup_report(items, sizes.limit(0)).first().asDict() == {"evaluated": 4, "clusters": 0, "auto_merges": 0, "cross_channel": 0, "max_channels": None}
+
+
 def test_titles_keep_no_classes_of_leaders_apart(spark):
     rows = [(i, i // 4, "a", f"title {i}", "p" if i % 2 else None, 100 if i % 2 else i, "0" * 16, [1.0, 0.5]) for i in range(40)]
     items = spark.createDataFrame(rows, "id long, ord int, category_slug string, title string, phone string, price_etb int, phash string, embedding array<double>")
